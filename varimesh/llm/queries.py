@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing, simhash
+from . import bpe, exact, packing, quality_rules, simhash
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": lambda spark, d: bpe.query(documents(spark, d)),
+        "op3_quality_rules": quality_rules.query,
         "op6_simhash": lambda spark, d: simhash.query(documents(spark, d)),
         "op7_packing": lambda spark, d: packing.query(documents(spark, d)),
         "op8_exact_dedup": exact.query,
