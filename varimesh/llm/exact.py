@@ -18,7 +18,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 def normalised(column: str = "text") -> Column:
     """The text without any ASCII white space; null counts as empty."""
-    return F.translate(whole_text(column), SPACE, "")
+    text = whole_text(column)
+    for c in SPACE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def sha(text: Column) -> Column:
@@ -52,6 +55,8 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, digest=sha, file
     settings = {
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves megabytes of disk
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     }
@@ -93,14 +98,13 @@ def deduplicate(spark: SparkSession, path: str, digest=sha, checkpoint: str | No
     rows = docs.select("doc_id", digest(normalised()).alias("digest"))
     found = saved(rows.join(state, "digest"))
 
-    # The check. The text that stays is dealt to as many salts as its group's size asks for, so no group meets in one task.
-    salts = F.ceil(F.col("group_size") / rows_per_salt).cast("int")
-    many = state.where("group_size > 1").withColumn("salts", salts)
-    keepers = docs.join(many.select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("own"), "salts"), "doc_id")
-    keepers = keepers.where(digest(normalised()) == F.col("own"))
-    keepers = keepers.select(F.col("own").alias("digest"), normalised().alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    copies = docs.withColumn("digest", digest(normalised())).join(many.select("digest", "salts"), "digest")
-    copies = copies.select("doc_id", "digest", normalised().alias("own_text"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    # The check: only rows of groups of two or more are fetched with their texts, once. The text that stays is dealt to as
+    # many salts as its group's size asks for, so no group meets in one task.
+    hits = found.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / rows_per_salt).cast("int"))
+    texts = docs.join(hits.select("doc_id", "digest", "keep_id", "salts").distinct(), "doc_id").where("doc_id is not null")
+    texts = saved(texts.select("doc_id", "digest", "keep_id", "salts", normalised().alias("own_text")))
+    keepers = texts.where("doc_id = keep_id").select("digest", F.col("own_text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    copies = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     wrong = copies.join(keepers, ["digest", "salt"]).where("own_text <> kept_text").select("digest").distinct()
     wrong = saved(wrong)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
