@@ -100,3 +100,28 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, most: int) -> DataFrame:
+    """``(text, label)`` of labelled rows outside the held-out fold: all of them, or those ``most`` with the smallest hashed ids.
+
+    The bound makes the sample small enough to send to every task. A row without a label, or labelled twice, counts once or not at all.
+    """
+    chosen = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(modulus) != held))
+    chosen = chosen.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return saved(docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label"))
+
+
+def fit_logistic(x, y, ridge: float = 1e-2, rounds: int = 60):
+    """Weights of a logistic regression by damped Newton steps; ``x`` has its own constant column if one is wanted."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w -= step * min(1.0, 5 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
