@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
+from . import bpe, exact, line_dedup, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
 from .common import documents
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": lambda spark, d: bpe.query(documents(spark, d)),
         "op3_quality_rules": quality_rules.query,
         "op4_toxicity": toxicity.query,
+        "op5_line_dedup": line_dedup.query,
         "op6_simhash": lambda spark, d: simhash.query(documents(spark, d)),
         "op7_packing": lambda spark, d: packing.query(documents(spark, d)),
         "op8_exact_dedup": exact.query,
