@@ -59,6 +59,19 @@ def drop_saved(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Numbers that a slot filter may send to every task, at most.
+SLOTS = 1 << 20
+
+
+def in_slots(df: DataFrame, column: str, keys: DataFrame, how: str, key: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may (``left_semi``) or cannot (``left_anti``) be among ``keys``, by a broadcast of at most ``SLOTS`` numbers.
+
+    It thins out what an exact join then has to move; a null never is among the keys.
+    """
+    slots = keys.select(F.pmod(F.col(key or column), F.lit(SLOTS)).alias("slot")).distinct()
+    return df.join(F.broadcast(slots), F.pmod(F.col(column), F.lit(SLOTS)) == F.col("slot"), how)
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph, as ``(node, component)`` with the smallest node as component.
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, line_dedup, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
+from . import bpe, exact, line_dedup, lm, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_attention_lm": lm.query,
         "op2_bpe": lambda spark, d: bpe.query(documents(spark, d)),
         "op3_quality_rules": quality_rules.query,
         "op4_toxicity": toxicity.query,

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, whole_text
+from .common import components, in_slots, saved, whole_text
 
 #: Bits of the embedding in each sub-grid. With three of them a Manhattan distance of 4 leaves one with 1 at most.
 SUBGRIDS = ((0, 22), (22, 44), (44, 64))
@@ -146,5 +146,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFr
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns as they are, with one document of each group: that with the smallest id.
+
+    Rows equal in id and text are one document. Rows without an id have no name to be dropped by and stay.
+    """
+    found = saved(near_duplicates(docs))
+    again = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    maybe = in_slots(docs, "doc_id", gone, "left_semi", "gone").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    kept = maybe.unionByName(in_slots(docs, "doc_id", gone, "left_anti", "gone"))
+    if not again.take(1):
+        return kept
+    once = in_slots(kept, "doc_id", again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(in_slots(kept, "doc_id", again, "left_anti"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

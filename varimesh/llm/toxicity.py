@@ -163,6 +163,16 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {_type(docs)}, score double")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon, cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores under ``cut``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([lexicon.score(t or "") < cut for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(docs: DataFrame, marks: DataFrame, most_labelled: int = 20_000) -> Lexicon:
     """From at most ``most_labelled`` labelled documents outside the held-out fold."""
     return learn(labelled_sample(docs, marks, "toxic", 5, 0, most_labelled))
