@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varimesh.operators.graph import components
+from varimesh.operators.storage import drop_saved, saved, shared_dir
+
+__all__ = ["components", "documents", "drop_saved", "fit_logistic", "fold", "in_slots", "labelled_sample", "labels", "saved", "shared_dir", "whole_text"]
+
 #: White space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -30,35 +32,6 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the store that every executor shares; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="varimesh-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/varimesh-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared store and read it again: this cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`saved` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("varimesh-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Numbers that a slot filter may send to every task, at most.
 SLOTS = 1 << 20
 
@@ -72,49 +45,6 @@ def in_slots(df: DataFrame, column: str, keys: DataFrame, how: str, key: str | N
     return df.join(F.broadcast(slots), F.pmod(F.col(column), F.lit(SLOTS)) == F.col("slot"), how)
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
-    """Connected components of an undirected graph, as ``(node, component)`` with the smallest node as component.
-
-    Alternates the large-star and small-star steps (Kiveris et al., 2014). A node's smallest neighbour
-    is a grouped minimum joined back, so a hub's edges never meet in one task: the minimum combines on the map side and
-    the join's hot key can be split. Isolated nodes have no edge and so no row; null ends are ignored.
-    """
-
-    def summary(df: DataFrame) -> tuple:
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    now = saved(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    )
-    mark = summary(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # every edge now points from a node to a smaller one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        new = saved(small)
-        before, mark = mark, summary(new)
-        drop_saved(now)
-        now = new
-        if mark == before:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, most: int) -> DataFrame:
     """``(text, label)`` of labelled rows outside the held-out fold: all of them, or those ``most`` with the smallest hashed ids.
 
