@@ -10,9 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from varimesh.functions.dist import gamma_fit, gamma_logsf, norm_ppf
+from varimesh.functions.dist import _column, gamma_fit, gamma_logsf, norm_ppf
 
 from .mixed import MixedFit, scores
 
@@ -94,13 +93,10 @@ def tail_p(perms: DataFrame, keys: list[str], value: str = "z", quantile: float
     fit = rest.groupBy(*keys).agg(F.avg(x).alias("m"), F.var_samp(x).alias("v"), F.percentile(x, F.lit(quantile)).alias("cut"))
     rows = fit.join(seen, keys)
 
-    @F.pandas_udf("double")
     def logp(m, v, obs):
-        import pandas as pd
+        return [-gamma_logsf(o / (b / a), a * a / b) / np.log(10) for a, b, o in zip(m, v, obs, strict=True)]
 
-        return pd.Series([-gamma_logsf(o / (b / a), a * a / b) / np.log(10) for a, b, o in zip(m, v, obs, strict=True)])
-
-    far = rows.withColumn("tail", logp("m", "v", "observed"))
+    far = rows.withColumn("tail", _column(logp, F.col("m"), F.col("v"), F.col("observed")))
     return far.join(rank_p(perms, keys, value).select(*keys, "logp"), keys).select(*keys, F.when(F.col("observed") > F.col("cut"), F.col("tail")).otherwise(F.col("logp")).alias("logp"))
 
 
@@ -166,8 +162,3 @@ def enhance(stats: DataFrame, edges: DataFrame, steps: int = 100, e: float = 0.5
     part = F.col("extent") ** e * (F.col("step") * F.col("dh")) ** h * F.col("dh")
     made = nodes.join(extent, "component").groupBy("map_id", "pos").agg((F.sum(part)).alias("tfce"))
     return stats.select("map_id", "pos", "value").join(made, ["map_id", "pos"], "left").select("map_id", "pos", (F.signum("value") * F.coalesce("tfce", F.lit(0.0))).alias("tfce"))
-
-
-def effects_by_window(df: DataFrame, order: str) -> DataFrame:
-    """Running totals for cumulative curves: ``(order, total)``; only grouped values are ordered."""
-    return df.groupBy(order).agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.sum("n").over(Window.orderBy(order)))
