@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         return row["n"], row["h"]
 
     now = saved(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), few=True
     )
     mark = summary(now)
     for _ in range(max_rounds):
@@ -39,7 +39,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
             .where("u <> v")
             .distinct()
         )
-        new = saved(small)
+        new = saved(small, few=True)
         before, mark = mark, summary(new)
         drop_saved(now)
         now = new

@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/varimesh-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared store and read it again: this cuts the lineage and survives a lost executor."""
+def saved(df: DataFrame, partitions: int | None = None, few: bool = False) -> DataFrame:
+    """Write ``df`` to the shared store and read it again: this cuts the lineage and survives a lost executor.
+
+    ``few`` writes a file for each core at most, for tables of small rows that would otherwise be hundreds of tiny files.
+    """
     path = shared_dir(df.sparkSession)
+    if few:
+        partitions = max(2, df.sparkSession.sparkContext.defaultParallelism)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
