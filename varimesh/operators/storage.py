@@ -27,7 +27,7 @@ def saved(df: DataFrame, partitions: int | None = None, few: bool = False) -> Da
     path = shared_dir(df.sparkSession)
     if few:
         partitions = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
