@@ -94,9 +94,9 @@ def deduplicate(spark: SparkSession, path: str, digest=sha, checkpoint: str | No
     if not docs.take(1):
         return docs.select("doc_id", F.lit("").alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     state = run_stream(spark, path, checkpoint or shared_dir(spark), digest).drop("locator")
-    state = saved(state)
+    state = saved(state, few=True)
     rows = docs.select("doc_id", digest(normalised()).alias("digest"))
-    found = saved(rows.join(state, "digest"))
+    found = saved(rows.join(state, "digest"), few=True)
 
     # The check: only rows of groups of two or more are fetched with their texts, once. The text that stays is dealt to as
     # many salts as its group's size asks for, so no group meets in one task.
@@ -106,7 +106,7 @@ def deduplicate(spark: SparkSession, path: str, digest=sha, checkpoint: str | No
     keepers = texts.where("doc_id = keep_id").select("digest", F.col("own_text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     copies = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     wrong = copies.join(keepers, ["digest", "salt"]).where("own_text <> kept_text").select("digest").distinct()
-    wrong = saved(wrong)
+    wrong = saved(wrong, few=True)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = found.withColumn("kept", kept)
     if wrong.take(1):

@@ -73,15 +73,15 @@ def _cells(points: DataFrame, reach: bool) -> DataFrame:
     rows = []
     for g, (start, end) in enumerate(SUBGRIDS):
         cell = F.col("e").bitwiseAND(F.lit(_signed(((1 << (end - start)) - 1) << start)))
-        keys = [cell]
+        keys = [F.struct(F.lit(g).alias("g"), cell.alias("cell"))]
         for bit in range(start, end) if reach else ():
             # the low bit of a segment may flip while the high one is 0, the high one while the low one is 1
             if bit % 2 == 0:
                 free = F.col("e").bitwiseAND(F.lit(_signed(1 << (bit + 1)))) == 0
             else:
                 free = F.col("e").bitwiseAND(F.lit(_signed(1 << (bit - 1)))) != 0
-            keys.append(F.when(free, cell.bitwiseXOR(F.lit(_signed(1 << bit)))))
-        rows.append(F.transform(F.array_compact(F.array(*keys)), lambda k, g=g: F.struct(F.lit(g).alias("g"), k.alias("cell"))))
+            keys.append(F.when(free, F.struct(F.lit(g).alias("g"), cell.bitwiseXOR(F.lit(_signed(1 << bit))).alias("cell"))))
+        rows.append(F.array_compact(F.array(*keys)))
     return points.select("fp", "e", F.explode(F.concat(*rows)).alias("at")).select("fp", "e", "at.g", "at.cell")
 
 
@@ -95,7 +95,7 @@ def links(fps: DataFrame, radius: int = RADIUS, heavy: int = 512) -> DataFrame:
     """
     if radius != RADIUS:
         raise ValueError("the sub-grids and the halfway join are laid out for four bits")
-    points = saved(fps.select("fp").where("fp is not null").distinct().select("fp", embedding(F.col("fp")).alias("e")))
+    points = saved(fps.select("fp").where("fp is not null").distinct().select("fp", embedding(F.col("fp")).alias("e")), few=True)
     held = _cells(points, False)
     crowded = held.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("g", "cell")
     crowded = saved(crowded, 1)
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFr
     label = components(links(fps), "a", "b").withColumnRenamed("node", "fp")
     known = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     known = known.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    known = saved(known)
+    known = saved(known, few=True)
     ids = known.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = known.join(ids, "component").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -152,8 +152,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows equal in id and text are one document. Rows without an id have no name to be dropped by and stay.
     """
     found = saved(near_duplicates(docs))
-    again = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    again = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), few=True)
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), few=True)
     maybe = in_slots(docs, "doc_id", gone, "left_semi", "gone").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     kept = maybe.unionByName(in_slots(docs, "doc_id", gone, "left_anti", "gone"))
     if not again.take(1):

@@ -43,7 +43,7 @@ def folded(text: str) -> str:
     if not text.isascii():
         text = text.translate(_letters)
     if re.search(r"[0-9@$]", text):
-        text = _mixed.sub(lambda m: m[0].translate(_digits) if sum(map(str.isalpha, m[0])) * 2 >= len(m[0]) else m[0], text)
+        text = _mixed.sub(lambda m: m[0].translate(_digits) if sum(map(str.isalpha, m[0])) * 3 >= len(m[0]) else m[0], text)
     return text
 
 
