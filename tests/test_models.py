@@ -200,3 +200,26 @@ def test_recovery(spark):
     made = model.synthesize(base, ["one", "x"], np.array([[1.0], [2.0]]), (0.3, 0.2, 0.5), seed=1)
     f = mixed.fit(made, ["one", "x"], ["y0"])
     assert f.shares[0] == pytest.approx([0.3, 0.2, 0.5], abs=0.06) and f.gls.beta[1, 0] == pytest.approx(2.0, abs=0.15)
+
+
+def test_unstructured(data):
+    """The same covariance at every visit pair comes back as the plain model's weighting."""
+    df, (fid, iid, x, y) = data
+    df = df.withColumn("visit", F.col("eid") % 2)
+    o = linear.ols(linear.gram(df, ["one", "x"], ["y"]))
+    cells = mixed.visit_moments(linear.residuals(df, o, ["fid", "iid", "visit"]), "y")
+    visits, cov, total = blocks.unstructured(cells, float(o.sigma2[0]))
+    r, v = y[:, 0] - x @ o.beta[:, 0], np.arange(len(fid)) % 2
+    same = (iid[:, None] == iid) & (v[:, None] == 0) & (v == 1)
+    assert visits == [0, 1] and total[0, 1] == pytest.approx(np.outer(r, r)[same].mean() / o.sigma2[0])
+    f = blocks.gls_unstructured(df, ["one", "x"], "y", visits, cov, float(o.sigma2[0]), o.n)
+    assert np.isfinite(f.beta).all() and f.cov[1, 1] > 0
+
+
+def test_profile_interval(data):
+    df, _ = data
+    o = linear.ols(linear.gram(df, ["one", "x"], ["y"]))
+    res = linear.residuals(df, o, ["fid", "iid"])
+    best, value = blocks.maximum_likelihood(res, "y", ("F", "E"), np.array([0.3, 0.7]), rounds=3, points=3)
+    lo, hi = blocks.profile_interval(res, "y", ("F", "E"), best, value, 1, points=9)
+    assert lo <= best[1] <= hi

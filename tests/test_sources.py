@@ -98,3 +98,22 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "job.toml").write_text('[params.dependent]\nname = ["y"]\n[params.fixed]\n[[params.fixed.vars]]\nname = "x"\n')
     cli.main(["fit", "--spec", str(tmp_path / "job.toml"), "--data", str(tmp_path / "d.parquet"), "--out", str(tmp_path / "o")])
     assert spark.read.parquet(str(tmp_path / "o" / "estimates")).count() == 2
+
+
+def test_volumes(spark, tmp_path):
+    import struct
+
+    from varimesh.sources import volumes
+
+    v = np.arange(24, dtype="<f4").reshape((2, 3, 4), order="F")
+    head = bytearray(352)
+    head[0:4] = struct.pack("<i", 348)
+    head[40:56] = struct.pack("<8h", 3, 2, 3, 4, 1, 1, 1, 1)
+    head[70:72] = struct.pack("<h", 16)
+    head[108:120] = struct.pack("<3f", 352, 2.0, 1.0)
+    (tmp_path / "v.nii").write_bytes(bytes(head) + v.tobytes(order="F"))
+    got = [r["value"] for r in volumes.read_nifti(spark, str(tmp_path / "v.nii")).orderBy("pos").collect()]
+    assert got == [2.0 * k + 1 for k in range(24)]
+    edges = volumes.grid_edges(spark, (2, 3, 4))
+    want = sum(1 for a in np.ndindex(2, 3, 4) for b in np.ndindex(2, 3, 4) if a < b and max(abs(i - j) for i, j in zip(a, b, strict=True)) == 1)
+    assert edges.count() == want == edges.distinct().count()

@@ -153,3 +153,58 @@ def sandwich(df: DataFrame, fit: Fit, k: int, keep: list[str] | None = None) ->
     row = fam.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(p) for j in range(p)]).first()
     bread = fit.cov if fit.cov.ndim == 2 else fit.cov[k]
     return bread @ np.array(row, float).reshape(p, p) @ bread
+
+
+def unstructured(cells: DataFrame, sigma2: float) -> tuple[list, dict[str, np.ndarray], np.ndarray]:
+    """Covariance that differs between visits, from :func:`.mixed.visit_moments`: ``(visits, {F, S: matrices}, total)``.
+
+    Each pair of visits has its own small regression on same-family and same-subject pairs: non-negative at one visit, free between two. The error is part of S at
+    one visit. ``total`` is the mean product of a subject's residuals, over ``sigma2``. The table has a row for each pair of visits.
+    """
+    from .mixed import nnls_by_subsets
+
+    rows = cells.collect()
+    visits = sorted({r["v1"] for r in rows} | {r["v2"] for r in rows})
+    at = {v: i for i, v in enumerate(visits)}
+    k = len(visits)
+    out, total = {"F": np.zeros((k, k)), "S": np.zeros((k, k))}, np.full((k, k), np.nan)
+    for r in rows:
+        i, j = at[r["v1"]], at[r["v2"]]
+        nf, ns = float(r["family_pairs"]), float(r["subject_pairs"] or 0)
+        md = np.array([r["family_sum"], r["subject_sum"] or 0.0]) / sigma2
+        mm = np.array([[nf, ns], [ns, ns]])
+        b = nnls_by_subsets(mm, md, float(md @ np.linalg.pinv(mm) @ md)) if i == j else np.linalg.pinv(mm) @ md
+        for e, x in zip(("F", "S"), b, strict=True):
+            out[e][i, j] = out[e][j, i] = x
+        if ns:
+            total[i, j] = total[j, i] = md[1] / ns
+    return visits, out, total
+
+
+def gls_unstructured(df: DataFrame, xs: list[str], y: str, visits: list, cov: dict[str, np.ndarray], sigma2: float, n: int, visit: str = "visit") -> Fit:
+    """Weighted least squares of one outcome under a covariance that differs between visits; each family's matrix is made positive definite first."""
+    at, p = {v: i for i, v in enumerate(visits)}, len(xs)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        v, iid = block[visit].map(at).to_numpy(), block["iid"].to_numpy()
+        c = cov["F"][np.ix_(v, v)] + cov["S"][np.ix_(v, v)] * (iid[:, None] == iid[None, :])
+        w = np.linalg.pinv(nearest_spd(c)[0], hermitian=True)
+        x = block[xs].to_numpy(float)
+        flat = np.concatenate(((x.T @ w @ x).ravel(), x.T @ w @ block[y].to_numpy(float)))
+        return pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "x": flat})
+
+    flat = np.zeros(p * p + p)
+    for r in df.groupBy("fid").applyInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        flat[r["i"]] = r["x"]
+    c, _ = nearest_spd(np.linalg.pinv(flat[: p * p].reshape(p, p), hermitian=True))
+    return Fit(xs, [y], (c @ flat[p * p :])[:, None], c, np.array([sigma2]), n)
+
+
+def profile_interval(res: DataFrame, y: str, effects: tuple[str, ...], best: np.ndarray, value: float, k: int, points: int = 41, drop: float = 1.920729) -> tuple[float, float]:
+    """Where the log-likelihood along one variance, the others held, stays within ``drop`` of its largest: all points in one pass."""
+    factors = np.exp(np.linspace(-2.5, 2.5, points))
+    grid = np.repeat(best[None, :], points, 0)
+    grid[:, k] *= factors
+    renamed = res.select("*", *[F.col(f"r_{y}").alias(f"r_{i}") for i in range(points)])
+    inside = grid[log_likelihood(renamed, [str(i) for i in range(points)], effects, grid) >= value - drop, k]
+    return (float(inside.min()), float(inside.max())) if len(inside) else (float("nan"), float("nan"))

@@ -519,6 +519,144 @@ def _(spark, d):
     return model.cross_validated_auc(df, ["Intercept", "x1", "x2"], "label")
 
 
+def small(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in nations: a small model for effects that need a block for each family."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(
+        (F.col("c_custkey") % 97).alias("fid"), F.col("c_custkey").alias("iid"), F.lit(1.0).alias("Intercept"), (F.length("c_mktsegment") / 10).alias("x1"),
+        (F.col("c_acctbal").cast("double") / 1000).alias("y1"), (F.col("c_custkey") % 3).alias("visit"), F.col("n_regionkey").alias("home_id"), F.col("c_nationkey").alias("mother_id"),
+    )
+
+
+@query("ag14_block_effects")
+def _(spark, d):
+    """Shared homes and mothers within families: one dense block for each family."""
+    from varimesh.plans import model
+
+    f = model.fit_blocks(small(spark, d), XS, ["y1"], ("F", "H", "M", "E"))
+    return f.share_table(spark).unionByName(f.gls.table(spark).select("y_id", F.col("term").alias("effect"), F.col("beta").alias("share")))
+
+
+@query("ag17_unstructured")
+def _(spark, d):
+    from varimesh.operators import blocks
+
+    df = small(spark, d)
+    o = linear.ols(linear.gram(df, XS, ["y1"]))
+    res = linear.residuals(df, o, ["fid", "iid", "visit"])
+    visits, cov, _ = blocks.unstructured(mixed.visit_moments(res, "y1"), float(o.sigma2[0]))
+    return blocks.gls_unstructured(df, XS, "y1", visits, cov, float(o.sigma2[0]), o.n).table(spark)
+
+
+@query("ag21_log_likelihood")
+def _(spark, d):
+    from varimesh.operators import blocks
+
+    df = small(spark, d)
+    f = mixed.fit(df, XS, ["y1"], ("F", "E"))
+    res = linear.residuals(df, f.ols, ["fid", "iid"])
+    value = blocks.log_likelihood(res, ["y1"], ("F", "E"), f.shares * f.ols.sigma2[:, None])
+    return spark.createDataFrame([("y1", float(value[0]))], "y_id string, log_likelihood double")
+
+
+@query("ag30_sandwich", f"""WITH {OBS}, s AS (SELECT regr_slope(y2, x1) AS b, regr_intercept(y2, x1) AS a, count(*) AS n, sum(x1) AS sx, sum(x1 * x1) AS sxx FROM obs),
+f AS (SELECT fid, sum(y2 - a - b * x1) AS s0, sum(x1 * (y2 - a - b * x1)) AS s1 FROM obs, s GROUP BY fid), m AS (SELECT sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s1 * s1) AS m11 FROM f)
+SELECT round(sqrt((sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11) / (n * sxx - sx * sx) ^ 2), 8) AS se_intercept,
+  round(sqrt((sx * sx * m00 - 2 * n * sx * m01 + n * n * m11) / (n * sxx - sx * sx) ^ 2), 8) AS se_x1 FROM s, m""")
+def _(spark, d):
+    from varimesh.operators import blocks
+
+    df = obs(spark, d)
+    c = blocks.sandwich(df, linear.ols(linear.gram(df, XS, ["y2"])), 0)
+    return spark.createDataFrame([(round(float(np.sqrt(c[0, 0])), 8), round(float(np.sqrt(c[1, 1])), 8))], "se_intercept double, se_x1 double")
+
+
+@query("ag31_mediation")
+def _(spark, d):
+    df = obs(spark, d)
+    full, reduced = mixed.fit(df, ["Intercept", "x1", "x2"], ["y1"]), mixed.fit(df, XS, ["y1"])
+    m = resample.mediation(resample.wild_bootstrap(df, full, 0, 100, 5, null=False), resample.wild_bootstrap(df, reduced, 0, 100, 5, null=False), "x1")
+    return spark.createDataFrame([(m["estimate"], m["se"], m["t"], *m["normal"], *m["percentile"], m["logp"])], "estimate double, se double, t double, lo double, hi double, p_lo double, p_hi double, logp double")
+
+
+@query("ag32_mostest")
+def _(spark, d):
+    df = obs(spark, d)
+    f = mixed.fit(df, XS, YS)
+    perms = None
+    for k, y in enumerate(YS):
+        one = resample.wild_bootstrap(df, f, k, 100, 5).where("term = 'x1'").withColumn("y_id", F.lit(y))
+        perms = one if perms is None else perms.unionByName(one)
+    return resample.mostest(perms, YS)
+
+
+@query("rs06_enhancement")
+def _(spark, d):
+    """Cluster enhancement of the embeddings' mean map, its dimensions laid out as a 4 x 4 x 4 volume."""
+    from varimesh.sources.volumes import grid_edges
+
+    long = t(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg((F.avg("v") / F.stddev_samp("v") * F.sqrt(F.count("v"))).alias("value"))
+    return resample.enhance(long.select(F.lit("mean").alias("map_id"), F.col("pos").cast("long").alias("pos"), "value"), grid_edges(spark, (4, 4, 4)), steps=20)
+
+
+@query("gw03_gwas")
+def _(spark, d):
+    """Suppliers stand for variants with dosages from hashes, customers for subjects in families."""
+    from varimesh.operators import gwas
+
+    df = small(spark, d)
+    f = mixed.fit(df, XS, ["y1"], ("F", "E"))
+    rows = df.select("fid", "iid", *XS, "y1").orderBy("iid").toPandas()  # subjects by columns
+    n = len(rows)
+    s = t(spark, d, "supplier").select(F.concat(F.lit("rs"), F.col("s_suppkey")).alias("snp_id"), (F.col("s_nationkey") % 22 + 1).cast("string").alias("chr"), F.col("s_suppkey").cast("long").alias("bp"))
+    dosage = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.xxhash64("bp", i), F.lit(3)).cast("tinyint"))
+    return gwas.gather([gwas.gwas(gwas.split(s, chunk=25).withColumn("dosages", dosage), rows[XS].to_numpy(float), rows[["y1"]].to_numpy(float), ["y1"], rows["fid"].to_numpy(), rows["iid"].to_numpy(), mixed.three(f.shares, f.effects), f.bins, np.arange(n))])
+
+
+@query("xf23_genotype_scaling", """WITH g AS (SELECT p_partkey, [CAST(p_size % 3 AS DOUBLE), CAST(p_partkey % 3 AS DOUBLE), 1.0] AS d FROM part)
+SELECT p_partkey, round(list_sum(list_transform(d, lambda x: x * x)) , 6) AS q, round(coalesce((d[1] - list_avg(d)) / nullif(list_stddev_samp(d), 0), 0), 6) AS first FROM g""")
+def _(spark, d):
+    from varimesh.sources import genotypes
+
+    p = t(spark, d, "part").select("p_partkey", F.array((F.col("p_size") % 3).cast("tinyint"), (F.col("p_partkey") % 3).cast("tinyint"), F.lit(1).cast("tinyint")).alias("dosages"))
+    square = F.aggregate(F.transform("dosages", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
+    out = genotypes.standardise(p.withColumn("q", square), "emperical")
+    return out.select("p_partkey", F.round("q", 6).alias("q"), F.round(F.col("dosages")[0], 6).alias("first"))
+
+
+@query("ag33_relatedness")
+def _(spark, d):
+    from varimesh.sources import genotypes
+
+    p = t(spark, d, "part").select(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.pmod(F.xxhash64("p_partkey", i), F.lit(3)).cast("tinyint")).alias("dosages"))
+    return genotypes.relatedness(p)
+
+
+@query("xf28_delta_by_age", """WITH b AS (SELECT o_custkey, min_by(o_totalprice, struct_pack(o_orderdate, o_orderkey)) AS base FROM orders GROUP BY 1)
+SELECT o_orderkey, round(CAST(o_totalprice AS DOUBLE) - CAST(base AS DOUBLE), 2) AS delta FROM orders JOIN b USING (o_custkey)""")
+def _(spark, d):
+    o = t(spark, d, "orders").withColumns({"price": F.col("o_totalprice").cast("double"), "age": F.struct("o_orderdate", "o_orderkey")})
+    return tr.delta(o, "price", "o_custkey", "age").select("o_orderkey", F.round("price_delta", 2).alias("delta"))
+
+
+@query("wn13_histogram", f"WITH {OBS}, h AS (SELECT CAST(floor(y1 / 0.25) AS BIGINT) AS bucket, count(*) AS n FROM obs GROUP BY 1) SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS total FROM h")
+def _(spark, d):
+    h = obs(spark, d).groupBy(F.floor(F.col("y1") / 0.25).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return h.withColumn("total", F.sum("n").over(Window.orderBy("bucket")))
+
+
+@query("wn12_spline_curve")
+def _(spark, d):
+    """Effect and slope of a spline of order value along its grid, with standard errors."""
+    df = obs(spark, d)
+    ends = df.agg(F.min("x2"), F.max("x2")).first()
+    b = splines.basis((float(ends[0]), float(ends[1])), tr.hazen(df, "x2", [0, 25, 50, 75, 100]))
+    df, names = splines.add_basis(df, "x2", b)
+    f = linear.ols(linear.gram(df, [*names, "Intercept"], ["y1"]))
+    rows = [(kind, *r) for kind, slope in (("effect", False), ("slope", True)) for r in b.curve(f.beta[:, 0], f.covariance(0), slope)]
+    return spark.createDataFrame(rows, "kind string, x double, value double, se double, z double")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
