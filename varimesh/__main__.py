@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> None:
         spark.createDataFrame(rows, "x double, " + ", ".join(f"bf{k + 1} double" for k in range(b.values.shape[1]))).write.mode("overwrite").parquet(a.out)
         return
     from varimesh.plans import model, spec
-    from varimesh.sources.sinks import write_table
+    from varimesh.sources.sinks import save_run, write_table
     from varimesh.sources.tables import read_table
 
     text = "\n".join(r[0] for r in spark.read.text(a.spec).collect())
@@ -49,10 +49,7 @@ def main(argv: list[str] | None = None) -> None:
     data = read_table(spark, a.data)
     if a.what == "fit":
         result = model.run(job, data, read_table(spark, a.outcomes) if a.outcomes else None)
-        write_table(result.estimates, f"{a.out}/estimates")
-        write_table(result.shares, f"{a.out}/shares")
-        if result.resamples is not None:
-            write_table(result.resamples, f"{a.out}/resamples")
+        save_run(result, a.out, {"spec": a.spec, "random": list(job.random), "n_bins": job.n_bins})
         return
     import numpy as np
 

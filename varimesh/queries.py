@@ -657,6 +657,31 @@ def _(spark, d):
     return spark.createDataFrame(rows, "kind string, x double, value double, se double, z double")
 
 
+@query("snk11_json_by_term")
+def _(spark, d):
+    return sinks.by_key(linear.ols(linear.gram(obs(spark, d), XS, YS)).table(spark), "term", "y_id")
+
+
+@query("snk13_region_ranges", "SELECT n_name AS region, CASE WHEN c_custkey % 2 = 0 THEN 'lh' ELSE 'rh' END AS side, round(min(CAST(c_acctbal AS DOUBLE)), 2) AS low, round(max(CAST(c_acctbal AS DOUBLE)), 2) AS high, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def _(spark, d):
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    roi = F.concat("n_name", F.when(F.col("c_custkey") % 2 == 0, "_lh").otherwise("_rh"))
+    return rounded(sinks.hemisphere_ranges(c.select(roi.alias("roi"), F.col("c_acctbal").cast("double").alias("value"))), 2, "low", "high")
+
+
+@query("snk09_triangle", "SELECT vec_id, CASE i WHEN 1 THEN 'a' WHEN 2 THEN 'a' ELSE 'b' END AS a, CASE i WHEN 1 THEN 'b' ELSE 'c' END AS b, round(CAST(embedding[i] AS DOUBLE), 5) AS value FROM embeddings, (SELECT UNNEST([1, 2, 3]) AS i)")
+def _(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("c"))
+    return sinks.upper_triangle(e, ["vec_id"], "c", ["a", "b", "c"]).withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+@query("gw10_manhattan_input", f"WITH {OBS} SELECT fid, iid, round(abs(y3), 6) AS logp FROM obs WHERE abs(y3) >= 0.05")
+def _(spark, d):
+    """Clean-up of plot input: finite values at or above a threshold, by size."""
+    size = F.abs("y3")
+    return obs(spark, d).where(F.col("y3").isNotNull() & ~F.isnan("y3") & (size < float("inf")) & (size >= 0.05)).select("fid", "iid", F.round(size, 6).alias("logp"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -60,3 +60,37 @@ def strict_json(value) -> str:
 def ordered_terms(stats: DataFrame, of_interest: list[str]) -> DataFrame:
     """Rows with the terms of interest first."""
     return stats.orderBy(F.desc(F.col("term").isin(of_interest)), "y_id", "term")
+
+
+def hemisphere_ranges(stats: DataFrame, name: str = "roi", value: str = "value", left: str = "lh", right: str = "rh") -> DataFrame:
+    """``(region, side, low, high, n)`` of region statistics whose names end in a side, as ``..._lh`` and ``..._rh``; others have no side."""
+    side = F.regexp_extract(name, f"_({left}|{right})$", 1)
+    rows = stats.select(F.regexp_replace(name, f"_({left}|{right})$", "").alias("region"), F.nullif(side, F.lit("")).alias("side"), F.col(value).alias("v"))
+    return rows.groupBy("region", "side").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))
+
+
+def upper_triangle(df: DataFrame, keys: list[str], column: str, labels: list[str]) -> DataFrame:
+    """``(keys, a, b, value)`` of correlation vectors that hold the upper triangle row by row."""
+    pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :]]
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    long = df.select(*keys, F.posexplode(column).alias("_p", "value")).withColumn("_n", F.get(names, F.col("_p")))
+    return long.select(*keys, "_n.a", "_n.b", "value")
+
+
+def save_run(result, path: str, settings: dict | None = None) -> None:
+    """Everything of a fitted job under one folder: estimates, shares, design, ids, JSON by outcome and by term, mapping and summary."""
+    spark = result.estimates.sparkSession
+    write_table(result.estimates, f"{path}/estimates")
+    write_table(result.shares, f"{path}/shares")
+    design = result.design.df
+    ids = [c for c in ("iid", "eid", "fid") if c in design.columns]
+    write_table(design.select(*ids, *result.design.columns).withColumnsRenamed({"iid": "participant_id", "eid": "session_id"}), f"{path}/design")
+    write_table(design.select(*ids), f"{path}/ids")
+    write_table(by_key(result.estimates, "y_id", "term"), f"{path}/by_outcome")
+    write_table(by_key(result.estimates, "term", "y_id"), f"{path}/by_term")
+    n = design.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("iid").alias("subjects"), F.countDistinct("fid").alias("families")).first().asDict()
+    texts = [("summary", strict_json({**n, "settings": settings or {}, "dropped_columns": result.design.dropped, "constant": result.constant})), ("mapping", strict_json(result.design.mapping))]
+    for name, text in texts:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    if result.resamples is not None:
+        write_table(result.resamples, f"{path}/resamples")
