@@ -80,8 +80,13 @@ def family_wise_p(perms: DataFrame, over: list[str], keys: list[str], value: str
     """The same against the largest statistic over all outcomes in each resample; ``over`` are the keys that stay apart."""
     top = perms.where("perm_id > 0").groupBy(*over, "perm_id").agg(F.max(F.abs(value)).alias("top"))
     seen = perms.where("perm_id = 0").select(*keys, F.abs(value).alias("observed"))
-    both = seen.join(top, over) if over else seen.join(F.broadcast(top))
-    out = both.groupBy(*keys, "observed").agg(F.sum((F.col("top") > F.col("observed")).cast("long")).alias("above"), F.count(F.lit(1)).alias("n"))
+    if over:
+        both = seen.join(top, over)
+        out = both.groupBy(*keys, "observed").agg(F.sum((F.col("top") > F.col("observed")).cast("long")).alias("above"), F.count(F.lit(1)).alias("n"))
+    else:  # one number for each resample, as literals
+        tops = [float(r["top"]) for r in top.select("top").collect()]
+        above = F.size(F.filter(F.lit(tops), lambda x: x > F.col("observed")))
+        out = seen.select(*keys, "observed", above.alias("above"), F.lit(len(tops)).alias("n"))
     return out.select(*keys, "observed", (-F.log10((F.col("above") + 1) / (F.col("n") + 1))).alias("logp"))
 
 
@@ -134,9 +139,9 @@ def mostest(perms: DataFrame, outcomes: list[str], keep: int | None = None) -> D
     inv = (u / s) @ u.T
     stat = sum((F.lit(float(inv[i, j])) * c[i] * c[j] for i in range(v) for j in range(v)), F.lit(0.0))
     out = wide.select("perm_id", stat.alias("stat"))
-    seen = out.where("perm_id = 0").select(F.col("stat").alias("observed"))
-    p = out.where("perm_id > 0").join(F.broadcast(seen)).agg((-F.log10((F.sum((F.col("stat") >= F.col("observed")).cast("long")) + 1) / F.count(F.lit(1)))).alias("logp"))
-    return out.join(F.broadcast(p)).select("perm_id", "stat", "logp")
+    observed = out.where("perm_id = 0").first()["stat"]
+    reached, n = out.where("perm_id > 0").agg(F.sum((F.col("stat") >= F.lit(observed)).cast("long")), F.count(F.lit(1))).first()
+    return out.select("perm_id", "stat", F.lit(float(-np.log10((reached + 1) / n))).alias("logp"))
 
 
 def enhance(stats: DataFrame, edges: DataFrame, steps: int = 100, e: float = 0.5, h: float = 2.0) -> DataFrame:
