@@ -101,7 +101,7 @@ def test_wild_bootstrap(data):
     assert got[["s0", "s1"]].sum().to_numpy() == pytest.approx(total, abs=1e-6)
 
 
-def test_ranks_mediation_mostest_and_tails(spark, data):
+def test_ranks_mediation_multivariate_and_tails(spark, data):
     df, _ = data
     f = mixed.fit(df, ["one", "x"], ["y", "z"])
     p = resample.wild_bootstrap(df, f, 0, 200).withColumn("y_id", F.lit("y")).unionByName(resample.wild_bootstrap(df, f, 1, 200).withColumn("y_id", F.lit("z"))).where("term = 'x'").cache()
@@ -109,7 +109,7 @@ def test_ranks_mediation_mostest_and_tails(spark, data):
     assert r.set_index("y_id").logp["y"] == pytest.approx(-np.log10(1 / 201))
     assert (resample.family_wise_p(p, [], ["y_id"]).toPandas().logp >= 0).all()
     assert resample.tail_p(p, ["y_id"]).count() == 2
-    m = resample.mostest(p, ["y", "z"]).toPandas()
+    m = resample.multivariate(p, ["y", "z"]).toPandas()
     assert len(m) == 201 and (m.stat > 0).all()
     reduced = mixed.fit(df, ["x"], ["y"])
     s = resample.mediation(resample.wild_bootstrap(df, f, 0, 200, null=False), resample.wild_bootstrap(df, reduced, 0, 200, null=False), "x")

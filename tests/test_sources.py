@@ -36,7 +36,7 @@ def test_plink(spark, tmp_path):
     df = genotypes.genotypes(spark, stem)
     m = np.array([np.where(r >= 0, r, np.nan) for r in g.astype(float)])
     m = np.where(np.isnan(m), np.nanmean(m, axis=1, keepdims=True), m)
-    std = {r["snp_id"]: r["dosages"] for r in genotypes.standardise(df, "emperical").collect()}
+    std = {r["snp_id"]: r["dosages"] for r in genotypes.standardise(df, "empirical").collect()}
     assert std["rs1"] == pytest.approx((m[1] - m[1].mean()) / m[1].std(ddof=1))
     grm = {(r["i"], r["j"]): r["rel"] for r in genotypes.relatedness(df).collect()}
     p = m.mean(1, keepdims=True) / 2

@@ -119,7 +119,7 @@ def mediation(full: DataFrame, reduced: DataFrame, term: str, level: float = 0.0
     return {"estimate": seen, "se": row["s"], "t": t, "normal": (seen - z * row["s"], seen + z * row["s"]), "percentile": (row["lo"], row["hi"]), "logp": float(-gamma_logsf((t - row["m"] / row["s"]) ** 2 / scale, shape) / np.log(10))}
 
 
-def mostest(perms: DataFrame, outcomes: list[str], keep: int | None = None) -> DataFrame:
+def multivariate(perms: DataFrame, outcomes: list[str], keep: int | None = None) -> DataFrame:
     """``(perm_id, stat, logp)``: the Mahalanobis length of each resample's Z values under their covariance over resamples.
 
     The covariance, as wide as the outcomes, is a sum of products; its small singular values are raised to the ``keep``-th.

@@ -579,7 +579,7 @@ def _(spark, d):
     return spark.createDataFrame([(m["estimate"], m["se"], m["t"], *m["normal"], *m["percentile"], m["logp"])], "estimate double, se double, t double, lo double, hi double, p_lo double, p_hi double, logp double")
 
 
-@query("ag32_mostest")
+@query("ag32_multivariate")
 def _(spark, d):
     df = obs(spark, d)
     f = mixed.fit(df, XS, YS)
@@ -587,7 +587,7 @@ def _(spark, d):
     for k, y in enumerate(YS):
         one = resample.wild_bootstrap(df, f, k, 100, 5).where("term = 'x1'").withColumn("y_id", F.lit(y))
         perms = one if perms is None else perms.unionByName(one)
-    return resample.mostest(perms, YS)
+    return resample.multivariate(perms, YS)
 
 
 @query("rs06_enhancement")
@@ -620,7 +620,7 @@ def _(spark, d):
 
     p = t(spark, d, "part").select("p_partkey", F.array((F.col("p_size") % 3).cast("tinyint"), (F.col("p_partkey") % 3).cast("tinyint"), F.lit(1).cast("tinyint")).alias("dosages"))
     square = F.aggregate(F.transform("dosages", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
-    out = genotypes.standardise(p.withColumn("q", square), "emperical")
+    out = genotypes.standardise(p.withColumn("q", square), "empirical")
     return out.select("p_partkey", F.round("q", 6).alias("q"), F.round(F.col("dosages")[0], 6).alias("first"))
 
 

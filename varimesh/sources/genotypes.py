@@ -84,7 +84,7 @@ def genotypes(spark: SparkSession, stem: str, iids: list[str] | None = None, snp
 
 
 def standardise(df: DataFrame, how: str = "none", impute: bool = True, round_off: bool = False) -> DataFrame:
-    """Dosages as doubles: mean-imputed, rounded to at most 2, then ``center``, ``emperical`` (standard deviation) or ``gcta`` (allele frequency) scaled.
+    """Dosages as doubles: mean-imputed, rounded to at most 2, then ``center``, ``empirical`` (standard deviation) or ``gcta`` (allele frequency) scaled.
 
     Array expressions only. A variant without any spread, or without any value, becomes zeros where it would be divided by zero.
     """
@@ -98,7 +98,7 @@ def standardise(df: DataFrame, how: str = "none", impute: bool = True, round_off
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
     df = df.withColumn("_m", mean)
     square = F.aggregate(F.filter("g", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + (x - F.col("_m")) ** 2)
-    if how == "emperical":
+    if how == "empirical":
         df = df.withColumn("_s", F.sqrt(square / (F.size(known) - 1)))
     elif how == "gcta":
         df = df.withColumn("_s", F.sqrt(F.col("_m") * (1 - F.col("_m") / 2)))
