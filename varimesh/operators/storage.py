@@ -22,11 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, partitions: int | None = None, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared store and read it again: this cuts the lineage and survives a lost executor.
 
-    ``few`` writes a file for each core at most, for tables of small rows that would otherwise be hundreds of tiny files.
+    ``few`` is for tables of small rows, which would otherwise be hundreds of tiny files: a quarter of the shuffle partitions, so their number still
+    grows with what the session is set up for.
     """
     path = shared_dir(df.sparkSession)
     if few:
-        partitions = max(2, df.sparkSession.sparkContext.defaultParallelism)
+        spark = df.sparkSession
+        partitions = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
