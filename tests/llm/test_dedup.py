@@ -188,6 +188,17 @@ def test_lines(spark, docs):
     assert got[902] == "short one"
 
 
+def test_line_fingerprints(spark):
+    """Narrow and wide counts give the brute-force fingerprint; a line that occurs often has the same as one that occurs once."""
+    rng = np.random.default_rng(3)
+    norms = [" ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 9)))) for _ in range(int(rng.integers(5, 60)))) for _ in range(30)]
+    df = spark.createDataFrame([(k, i, i, n) for i, n in enumerate(norms) for k in range(3 * i, 3 * i + 1 + i % 3)], "line long, h1 long, h2 long, norm string")
+    for lanes in (4, 2):
+        got = {r["h1"]: r["fp"] % (1 << 64) for r in line_dedup.simhash(line_dedup.features(df), lanes).collect()}
+        assert got == {i: line_print(n) for i, n in enumerate(norms)}
+    assert line_dedup.fingerprints(df.withColumn("wide", F.col("h1") % 2 == 0)).count() == 30
+
+
 def test_line_edges(odd, none):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
