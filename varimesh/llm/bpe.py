@@ -22,8 +22,8 @@ from .common import whole_text
 
 #: The split that this family of vocabularies is defined with (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, and as many from before; those not met again are forgotten.
+REMEMBERED = 300_000
 
 
 def default_path() -> str:
@@ -69,7 +69,9 @@ class Vocabulary:
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.spelled = None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that were outermost on one side while ``token`` was built, last first, each with the rank of the merge that ended it."""
@@ -148,20 +150,38 @@ class Vocabulary:
             for word in self.split(part):
                 ids = known.get(word)
                 if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    if len(self.fits) >= 4 * REMEMBERED:
-                        self.fits.clear()
-                    ids = np.array(self.encode_word(word.encode("utf-8")), np.int32).tobytes()
+                    ids = self.older.get(word)
+                    if ids is None:
+                        if len(self.fits) >= 4 * REMEMBERED:
+                            self.fits.clear()
+                        ids = np.array(self.encode_word(word.encode("utf-8")), np.int32).tobytes()
                     if len(word) <= 200:
+                        if len(known) >= REMEMBERED:
+                            self.older, self.words = known, {}
+                            known = self.words
                         known[word] = ids
                 out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become the replacement character."""
-        table = self.bytes_of
-        return b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of many sequences of ids laid end to end; sequence k lies between ``ends[k]`` and ``ends[k + 1]``. Unknown ids have no bytes."""
+        if self.spelled is None:
+            parts = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+            size = np.array([len(b) for b in parts], np.int64)
+            self.spelled = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+        letters, first, size = self.spelled
+        known = (ids >= 0) & (ids < len(size))
+        ids = np.where(known, ids, 0)
+        own = np.where(known, size[ids], 0)
+        before = np.concatenate(([0], np.cumsum(own)))
+        raw = letters[np.repeat(first[ids] - before[:-1], own) + np.arange(before[-1])].tobytes()
+        cuts = before[ends].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @cache
@@ -199,7 +219,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in slices(batches):
-            texts = [v.decode(i or ()) for i in batch.column(1).to_pylist()]
+            ids = batch.column(1)  # a sliced list's offsets begin anywhere; a null one is empty
+            ends = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            texts = v.decode_all(ids.flatten().fill_null(-1).to_numpy().astype(np.int64), ends)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_type(encoded)}, ids array<int>, decoded string")

@@ -46,11 +46,11 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path).encode
+        encode = _tokenizer(path).encode_to_numpy
         for batch in slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                got = np.array([*encode(text, allowed_special="all"), end], "<u4")
+                got = np.append(encode(text, allowed_special="all").astype("<u4"), np.uint32(end))
                 cuts = [0, *range(len(got) % sequence or min(sequence, len(got)), len(got) + 1, sequence)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = got[a:b]
