@@ -188,6 +188,23 @@ def test_lines(spark, docs):
     assert got[902] == "short one"
 
 
+@pytest.mark.parametrize("n", [8, 12, 18, 40])
+def test_alike_lines_are_found(spark, n):
+    """Of lines whose copies have every ninth word replaced, or one, all copies go, as in a comparison of all pairs without fingerprints."""
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    texts = []
+    for _ in range(30):
+        w = [word() for _ in range(n)]
+        at = int(rng.integers(9)) if n > 18 else int(rng.integers(n))
+        texts += [" ".join(w), " ".join(word() if i % (9 if n > 18 else n) == at else x for i, x in enumerate(w))]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-6]
+    g = groups_by(len(texts), linked)
+    assert len(linked) >= 30
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), line_dedup.WIDE).collect()}
+    assert got == {i: x if g.index(g[i]) == i else "" for i, x in enumerate(texts)}
+
+
 def test_line_fingerprints(spark):
     """Narrow and wide counts give the brute-force fingerprint; a line that occurs often has the same as one that occurs once."""
     rng = np.random.default_rng(3)
