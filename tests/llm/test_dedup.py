@@ -231,6 +231,15 @@ def test_piecewise_similarity(spark):
     assert [r[0] for r in df.select(line_dedup.similar(F.col("a"), F.col("b"))).collect()] == [True, False, True, True, False]
 
 
+def test_long_lines_with_an_insertion(spark):
+    """Text put in front of a long line moves every later piece, and does not count more than its length."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: "".join(rng.choice(list("abcdef "), n))
+    a, b = draw(6000), draw(20000)
+    df = spark.createDataFrame([(a, draw(125) + a), (b, draw(309) + b), (a, draw(1499) + a), (a, draw(1501) + a), (a, draw(6000))], "a string, b string")
+    assert [r[0] for r in df.select(line_dedup.similar(F.col("a"), F.col("b"))).collect()] == [True, True, True, False, False]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 2000 + i) for i in range(50)]
