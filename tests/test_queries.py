@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from varimesh import queries as q
@@ -41,3 +42,23 @@ def test_query(spark, db, name):
         key = lambda r: tuple((x is None, str(x) if not isinstance(x, float) else f"{x:020.4f}") for x in r)
         for a, b in zip(sorted(rows, key=key), sorted(want, key=key), strict=True):
             assert a == pytest.approx(b, abs=2e-3) if all(isinstance(x, float) or x is None for x in a) else all(x == y or (isinstance(x, float) and abs(x - y) < 2e-3 * max(1, abs(y))) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_enhancement_takes_a_hundred_steps(spark):
+    """The registered enhancement against clusters grown by hand at each of the reference's hundred heights."""
+    got = {r["pos"]: r["tfce"] for r in q.QUERIES["rs06_enhancement"](spark, DATA).collect()}
+    v = np.array([list(r[0]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("embedding").collect()], float)
+    v = v.mean(0) / v.std(0, ddof=1) * np.sqrt(len(v))
+    place = np.stack(np.unravel_index(np.arange(64), (4, 4, 4)), 1)
+    near = np.abs(place[:, None] - place[None]).max(2) <= 1
+    want, dh = np.zeros(64), np.abs(v).max() / 100
+    for k in range(1, 101):
+        left = set(np.nonzero(np.abs(v) >= k * dh - 1e-9 * dh)[0].tolist())
+        while left:
+            own = todo = {left.pop()}
+            while todo:
+                todo = {j for j in left if near[j, list(todo)].any()}
+                left -= todo
+                own = own | todo
+            want[list(own)] += len(own) ** 0.5 * (k * dh) ** 2 * dh
+    assert len(got) == 64 and [got[i] for i in range(64)] == pytest.approx((np.sign(v) * want).tolist(), rel=1e-6)

@@ -596,7 +596,7 @@ def _(spark, d):
     from varimesh.sources.volumes import grid_edges
 
     long = t(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg((F.avg("v") / F.stddev_samp("v") * F.sqrt(F.count("v"))).alias("value"))
-    return resample.enhance(long.select(F.lit("mean").alias("map_id"), F.col("pos").cast("long").alias("pos"), "value"), grid_edges(spark, (4, 4, 4)), steps=20)
+    return resample.enhance(long.select(F.lit("mean").alias("map_id"), F.col("pos").cast("long").alias("pos"), "value"), grid_edges(spark, (4, 4, 4)))
 
 
 @query("gw03_gwas")
