@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ LONGEST = 7
 
 _letters = str.maketrans(LOOK_ALIKES | FULL_WIDTH)
 _digits = str.maketrans(DIGITS)
-_mixed = re.compile(r"(?<![^\W_])(?=[^\s]*[0-9@$])(?=[^\s]*[^\W\d_])[^\W_@$]*[0-9@$][\w@$]*")
+#: A word up to its first digit or sign, and on; possessive, so a run of letters is read once whatever its length.
+_mixed = re.compile(r"(?<![^\W_])[^\W\d_]*+[0-9@$][\w@$]*+")
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -53,7 +56,7 @@ def patterns(text: str) -> set[str]:
     for w in set(_word.findall(folded(text))):
         if len(w) > 2:
             out.update(w[:k] for k in range(3, min(len(w), LONGEST + 1)))
-            out.add(w[:64] + " ")
+            out.add(w + " ")
     return out
 
 
@@ -72,8 +75,10 @@ def choose(counts: list[tuple[str, int, int]], base: float, least: float = 0.3)
         if all(sure[p] > sure[s] + 0.15 for s in (p[:i] for i in range(3, len(p))) if s in chosen):
             chosen[p] = 0.0
     out = {}
+    names = sorted(known)
     for p in chosen:  # the longest form with nearly the same documents stands for its start
-        long = max((q for q in known if q.startswith(p) and known[q][1] >= 0.95 * known[p][1]), key=lambda q: (len(q), q))
+        forms = takewhile(lambda q: q.startswith(p), islice(names, bisect_left(names, p), None))  # noqa: B023
+        long = max((q for q in forms if known[q][1] >= 0.95 * known[p][1]), key=lambda q: (len(q), q))
         k, n = known[long]
         out[long] = math.log((k + 0.5) / (n - k + 0.5)) - math.log(base / (1 - base))
     return out
@@ -112,7 +117,13 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > words.get(start, (0, 0.0))[1]:
                 words[start] = (end + 1, weight)
-        return [(s, e, w) for s, (e, w) in sorted(words.items()) if not any(a <= s <= b for a, b in spared)]
+        out, spared, at, reach = [], sorted(spared), 0, -1
+        for s, (e, w) in sorted(words.items()):
+            while at < len(spared) and spared[at][0] <= s:
+                reach, at = max(reach, spared[at][1]), at + 1
+            if s > reach:
+                out.append((s, e, w))
+        return out
 
     def features(self, text: str) -> list[float]:
         text = folded(text)
@@ -126,8 +137,11 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn(sample: DataFrame, least_documents: int = 6, most_entries: int = 20_000) -> Lexicon:
-    """A lexicon from ``(text, label)``, label 1 for toxic. Without both labels it has no entries and scores all alike."""
+def learn(sample: DataFrame, least_documents: int = 6) -> Lexicon:
+    """A lexicon from ``(text, label)``, label 1 for toxic. Without both labels it has no entries and scores all alike.
+
+    The sample is bounded, so what may become an entry is too: words and word starts in several of its toxic documents.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -138,7 +152,7 @@ def learn(sample: DataFrame, least_documents: int = 6, most_entries: int = 20_00
     base = (k + 0.5) / (n + 1)
     counted = sample.select("text", "label").mapInArrow(listed, "p string, label int").groupBy("p").agg(F.sum("label").alias("k"), F.count("label").alias("n"))
     counted = counted.where((F.col("n") >= least_documents) & (F.col("k") >= least_documents / 2) & (F.col("k") / F.col("n") > 2 * base))
-    rows = counted.orderBy(F.desc("k"), "p").limit(most_entries).collect()
+    rows = counted.collect()
     lexicon = Lexicon(choose([tuple(r) for r in rows], base) if 0 < k < n else {})
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +168,12 @@ def learn(sample: DataFrame, least_documents: int = 6, most_entries: int = 20_00
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``(doc_id, score)`` for every row; a null text is empty."""
+    """``(doc_id, score)`` for every row.
+
+    A null text is empty, and an empty one has the score of a text without hits. A null id is kept; rows that repeat an id or a text are scored each for
+    itself, so equal texts have equal scores. An empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
+    The time is in proportion to the length of a text, whatever it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,7 +183,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, cut: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores under ``cut``."""
+    """The rows of ``docs``, all columns as they are, whose text scores under ``cut``; rows count each for itself, and a null text is scored as empty and stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
