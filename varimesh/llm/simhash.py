@@ -5,23 +5,28 @@ never exceeds the Hamming distance of the fingerprints, so a range join on a gri
 of the links, and an exact bit count settles each candidate.
 
 A count of 0, 1 or 2 is held in unary (00, 01, 11), that is, each segment's bits sorted. The Manhattan
-distance of two embeddings is then the bit count of their exclusive or, and one step on the grid flips one bit.
+distance of two embeddings is then the bit count of their exclusive or, and one step in it flips one bit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import slices
 from .common import components, in_slots, saved, whole_text
 
-#: Bits of the embedding in each sub-grid. With three of them a Manhattan distance of 4 leaves one with 1 at most.
-SUBGRIDS = ((0, 22), (22, 44), (44, 64))
 RADIUS = 4
+#: Blocks beyond the radius that the embedding is cut into, tried in this order as cells get crowded.
+FINER = (2, 4, 6, 8)
+#: Points in one cell up to which all pairs are compared.
+HEAVY = 512
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42, block: int = 65536) -> int:
@@ -50,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """``(doc_id, fp)`` for every row; null text counts as empty, and the fingerprint of a text without words is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -68,58 +73,61 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _cells(points: DataFrame, reach: bool) -> DataFrame:
-    """A row for each sub-grid's cell that holds a point; with ``reach``, also one for each cell a single step away."""
-    rows = []
-    for g, (start, end) in enumerate(SUBGRIDS):
-        cell = F.col("e").bitwiseAND(F.lit(_signed(((1 << (end - start)) - 1) << start)))
-        keys = [F.struct(F.lit(g).alias("g"), cell.alias("cell"))]
-        for bit in range(start, end) if reach else ():
-            # the low bit of a segment may flip while the high one is 0, the high one while the low one is 1
-            if bit % 2 == 0:
-                free = F.col("e").bitwiseAND(F.lit(_signed(1 << (bit + 1)))) == 0
-            else:
-                free = F.col("e").bitwiseAND(F.lit(_signed(1 << (bit - 1)))) != 0
-            keys.append(F.when(free, F.struct(F.lit(g).alias("g"), cell.bitwiseXOR(F.lit(_signed(1 << bit))).alias("cell"))))
-        rows.append(F.array_compact(F.array(*keys)))
-    return points.select("fp", "e", F.explode(F.concat(*rows)).alias("at")).select("fp", "e", "at.g", "at.cell")
-
-
-def links(fps: DataFrame, radius: int = RADIUS, heavy: int = 512) -> DataFrame:
+def blocks(m: int) -> list[int]:
+    """Masks that cut the 32 segments of the embedding into ``m`` blocks of about equal size."""
+    ends = [2 * (32 * k // m) for k in range(m + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _cells(points: DataFrame, radius: int, m: int) -> DataFrame:
+    """``(fp, e, g, cell)``: the cell of each point in every grid; a grid looks at all but ``radius`` of ``m`` blocks.
+
+    A step in Manhattan distance changes one block, so two points within ``radius`` agree in all coordinates of at least one grid.
+    """
+    kept = [_signed(sum(left)) for left in combinations(blocks(m), m - radius)]
+    keys = [F.struct(F.lit(g).alias("g"), F.col("e").bitwiseAND(F.lit(mask)).alias("cell")) for g, mask in enumerate(kept)]
+    return points.select("fp", "e", F.explode(F.array(*keys)).alias("at")).select("fp", "e", "at.g", "at.cell")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
     """Edges ``(a, b)`` of distinct fingerprints that connect all those within ``radius`` of one another.
 
-    Pairs come from the grid. A cell with more than ``heavy`` points would emit its square in pairs;
-    every fingerprint that reaches such a cell is instead joined on the points halfway: two fingerprints are within
-    four bits exactly if some value is within two bits of both, so all fingerprints around a value link to the smallest
-    of them. That costs 2081 rows a fingerprint, whatever the crowd, and loses no link's connection.
+    Pairs come from the cells of the grids, compared first by Manhattan distance and then exactly. A cell with more than ``heavy``
+    points would emit its square in pairs. Both ends of a pair that such a cell hides are in the cell, so the points of all such cells are joined among
+    themselves once more, on grids of more and finer blocks: 15, 70, 210 and 495 rows a fingerprint for four bits. With random bits the
+    commonest cell holds one point in 2^10, 2^16, 2^18 and 2^20, and the first grid is chosen so that it is not crowded.
+    What the finest grids still find crowded is a group of close fingerprints; it is joined on the points halfway, exactly, whatever the crowd.
+    """
+    points = saved(fps.select("fp").where("fp is not null").distinct().select("fp", embedding(F.col("fp")).alias("e")))
+    n, found = points.count(), []
+    room = points.sparkSession.sparkContext.defaultParallelism
+    for at, more in enumerate(FINER):
+        m = radius + more
+        fewest = min(sum(mask.bit_count() for mask in kept) for kept in combinations(blocks(m), more))
+        if at + 1 < len(FINER) and n > heavy << (fewest // 2):  # the commonest cell, all counts 1, would be crowded
+            continue
+        cells = _cells(points.repartition(room), radius, m)
+        crowded = saved(cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("g", "cell"), few=True)
+        some = bool(crowded.take(1))
+        near = cells.join(crowded, ["g", "cell"], "left_anti") if some else cells
+        other = near.select(F.col("fp").alias("b"), F.col("e").alias("eb"), "g", "cell")
+        pairs = near.join(other, ["g", "cell"]).where("fp < b").where(F.bit_count(F.col("e").bitwiseXOR(F.col("eb"))) <= radius)
+        found.append(pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius).select(F.col("fp").alias("a"), "b"))
+        if not some:
+            break
+        points = saved(cells.join(crowded, ["g", "cell"], "left_semi").select("fp", "e").distinct())
+    else:
+        found.append(_halfway(points.select("fp"), radius))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _halfway(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Each fingerprint linked to the smallest one with which it shares a value at two bits or fewer from both, for a radius of four.
+
+    Two fingerprints are within four bits exactly if some value is within two bits of both. That costs 2081 rows a fingerprint.
     """
     if radius != RADIUS:
-        raise ValueError("the sub-grids and the halfway join are laid out for four bits")
-    points = saved(fps.select("fp").where("fp is not null").distinct().select("fp", embedding(F.col("fp")).alias("e")), few=True)
-    held = _cells(points, False)
-    crowded = held.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("g", "cell")
-    crowded = saved(crowded, 1)
-    reach = _cells(points, True)
-    near = held
-    dense = None
-    if crowded.take(1):
-        near = held.join(crowded, ["g", "cell"], "left_anti")
-        dense = reach.join(crowded, ["g", "cell"], "left_semi").select("fp").distinct()
-    y = reach.select(F.col("fp").alias("b"), F.col("e").alias("eb"), "g", "cell")
-    pairs = (
-        near.join(y, ["g", "cell"])
-        .where("fp < b")
-        .where(F.bit_count(F.col("e").bitwiseXOR(F.col("eb"))) <= radius)
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)
-        .select(F.col("fp").alias("a"), "b")
-    )
-    if dense is None:
-        return pairs
-    return pairs.unionByName(_halfway(saved(dense)))
-
-
-def _halfway(fps: DataFrame) -> DataFrame:
-    """Each fingerprint linked to the smallest one with which it shares a value at two bits or fewer from both."""
+        raise ValueError("the halfway join is laid out for four bits")
     bits = [1 << i for i in range(64)]
     flips = [0, *bits, *(x | y for i, x in enumerate(bits) for y in bits[i + 1 :])]
     masks = F.array(*[F.lit(_signed(m)) for m in flips])
