@@ -91,6 +91,34 @@ def test_near_duplicate_edges(odd, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def sets(text, k=5):
+    w = words(text)
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_texts(spark, docs):
+    """Groups of texts with a Jaccard similarity of 0.8 of five-word shingles, from all pairs; near copies with words replaced here and there are among them."""
+    rng = np.random.default_rng(5)
+    base = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(80).collect()]
+    made = []
+    for k in range(40):
+        w = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(int(rng.integers(60, 400)))]
+        made.append((1000 + 2 * k, " ".join(w)))
+        for at in rng.choice(len(w), max(1, len(w) // 60), replace=False):
+            w[at] = "other"
+        made.append((1001 + 2 * k, " ".join(w)))
+    rows = base + made
+    own = [sets(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+    g = groups_by(len(rows), linked)
+    assert sum(own[i] != own[j] for i, j in linked) >= 30
+    least = {}
+    for (d, _), k in zip(rows, g, strict=True):
+        least[k] = min(least.get(k, d), d)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: least[k] for (d, _), k in zip(rows, g, strict=True)}
+
+
 def strip(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
@@ -146,46 +174,69 @@ def normal(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
 
 
+def line_units(norm):
+    if norm.count(" ") >= 3 or len(norm) < 2:
+        return norm.split(" ")
+    q = 4 if len(norm) >= 16 else 2
+    return [norm[i : i + q] for i in range(len(norm) - q + 1)]
+
+
 def line_print(norm):
-    w = norm.split(" ")
-    long = list(dict.fromkeys(x for x in w if len(x) > 4))
-    use = long if len(long) >= 3 else list(dict.fromkeys(w))
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in use]
+    """The fingerprint as the docstring has it, with plain integers."""
+    pack = lambda w, i: (xxhash.xxh64_intdigest(w.encode(), 42) & ((1 << 63) - 1) & ~line_dedup.PLACE) - (1 << 63 if len(w) > 4 else 0) + i
+    top = sorted(pack(w, i) for i, w in enumerate(line_units(norm)))[: line_dedup.FEATURES]
+    long = [x for x in top if x < 0]
+    use = long if len(long) >= 3 else top
+    h = [xxhash.xxh64_intdigest(((x & ~line_dedup.PLACE) % (1 << 64)).to_bytes(8, "little"), 42) for x in use]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_lines(rows):
-    """Each document's text without the lines to drop, from all pairs of lines."""
+def alike(spark, norms):
+    """Pairs of different lines with the edit similarity, from all pairs and the distance alone."""
+    df = spark.createDataFrame(list(enumerate(norms)), "i int, a string")
+    both = df.join(df.select(F.col("i").alias("j"), F.col("a").alias("b")), F.col("j") < F.col("i"))
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) * F.lit(0.2) + F.lit(1e-6)).cast("int")
+    near = both.where(F.abs(F.length("a") - F.length("b")) <= most).where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
+    return [(r["i"], r["j"]) for r in near.select("i", "j").collect()]
+
+
+def plain_lines(spark, rows):
+    """Each document's text without the lines to drop, from all pairs of lines, and how many pairs of different lines are alike."""
     places = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
         for pos, line in enumerate((r["text"] or "").split("\n")):
-            n = normal(line)
-            if len(n.split(" ")) >= 5:
-                places.setdefault(n, []).append((r["doc_id"], pos))
+            if normal(line):
+                places.setdefault(normal(line), []).append((r["doc_id"], pos))
     names = list(places)
-    prints = [line_print(n) for n in names]
-    linked = []
-    for i in range(len(names)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                a, b = names[i], names[j]
-                if distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-6:
-                    linked.append((i, j))
+    linked = alike(spark, names)
     g = groups_by(len(names), linked)
     first = {}
     for n, k in zip(names, g, strict=True):
         first[k] = min([*([first[k]] if k in first else []), *places[n]])
     drop = {p for n, k in zip(names, g, strict=True) for p in places[n] if p != first[k]}
-    return {r["doc_id"]: "\n".join(x for pos, x in enumerate((r["text"] or "").split("\n")) if (r["doc_id"], pos) not in drop) for r in rows}
+    return {r["doc_id"]: "\n".join(x for pos, x in enumerate((r["text"] or "").split("\n")) if (r["doc_id"], pos) not in drop) for r in rows}, len(linked)
 
 
 def test_lines(spark, docs):
+    """Whole documents against the edit distance of all pairs of their lines, without fingerprints; short lines and exact copies of them too."""
     rows = docs.orderBy("doc_id").limit(60).collect()
-    near = [(900, "A fine line about several matters nobody disputed yesterday evening\nshort one\nother words that stand alone here entirely today"), (901, "a fine line about several matters nobody disputed yesterday morning!\nshort one"), (902, "A  fine line about several matters nobody disputed yesterday evening\nshort one")]
+    near = [(900, "A fine line about several matters nobody disputed yesterday evening\nshort one\nother words that stand alone here entirely today"), (901, "a fine line about several matters nobody disputed yesterday morning!\n\nshort one"), (902, "A  fine line about several matters nobody disputed yesterday evening\nshort ones")]
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows] + near, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
-    assert got == plain_lines(df.collect())
-    assert got[902] == "short one"
+    want, pairs = plain_lines(spark, df.collect())
+    assert pairs >= 4 and got == want
+    assert got[901] == "" and got[902] == ""
+
+
+def test_recall_of_alike_lines(spark):
+    """Of all pairs of different lines of a table with edit similarity of 0.8, found by the distance alone, nine in ten end in one group."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = line_dedup.saved(line_dedup.lines(rows))
+    again = found.groupBy("h1").count().where("count > 1").select("h1")
+    group = {r["id"]: r["group"] for r in line_dedup.groups(found, again).collect()}
+    lines = found.where(F.length("norm") < 120).dropDuplicates(["h1"]).select("h1", "norm").collect()
+    pairs = [(lines[i]["h1"], lines[j]["h1"]) for i, j in alike(spark, [r["norm"] for r in lines])]
+    assert len(pairs) > 50 and np.mean([a in group and group[a] == group.get(b) for a, b in pairs]) >= 0.9
 
 
 @pytest.mark.parametrize("n", [8, 12, 18, 40])
@@ -201,19 +252,39 @@ def test_alike_lines_are_found(spark, n):
     linked = [(i, j) for i in range(len(texts)) for j in range(i) if distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-6]
     g = groups_by(len(texts), linked)
     assert len(linked) >= 30
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), line_dedup.WIDE).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: x if g.index(g[i]) == i else "" for i, x in enumerate(texts)}
 
 
 def test_line_fingerprints(spark):
-    """Narrow and wide counts give the brute-force fingerprint; a line that occurs often has the same as one that occurs once."""
+    """The counts in bit planes give the brute-force fingerprint, for few words and many, short and long, repeated and not."""
     rng = np.random.default_rng(3)
-    norms = [" ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 9)))) for _ in range(int(rng.integers(5, 60)))) for _ in range(30)]
-    df = spark.createDataFrame([(k, i, i, n) for i, n in enumerate(norms) for k in range(3 * i, 3 * i + 1 + i % 3)], "line long, h1 long, h2 long, norm string")
-    for lanes in (4, 2):
-        got = {r["h1"]: r["fp"] % (1 << 64) for r in line_dedup.simhash(line_dedup.features(df), lanes).collect()}
-        assert got == {i: line_print(n) for i, n in enumerate(norms)}
-    assert line_dedup.fingerprints(df.withColumn("wide", F.col("h1") % 2 == 0)).count() == 30
+    norms = [" ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 9)))) for _ in range(int(rng.integers(1, 60)))) for _ in range(60)]
+    df = line_dedup.units(spark.createDataFrame([(n,) for n in norms], "norm string"))
+    got = {r["norm"]: r["fp"] % (1 << 64) for r in line_dedup.fingerprints(df).collect()}
+    assert got == {n: line_print(n) for n in norms}
+
+
+def test_crowds_of_lines(spark):
+    """Hundreds of lines from one template, and hundreds of unlike lines with one beginning; pairs stay in proportion to the lines."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    body = " ".join(word() for _ in range(20))
+    template = [f"{body} number {i}" for i in range(400)]
+    unlike = [f"the common beginning of many lines {' '.join(word() for _ in range(14))}" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(template + unlike)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert [i for i in range(400) if got[i]] == [0] and all(got[i] for i in range(400, 800))
+    found = line_dedup.saved(line_dedup.lines(df))
+    rows = found.select(F.col("h1").alias("id"), "fp", F.concat(line_dedup.block_keys(F.col("fp")), "anchors").alias("keys"))
+    assert line_dedup.candidates(rows, rows.select("id", "fp"), line_dedup.WIDE).count() < 40 * 800
+
+
+def test_similar_needs_as_many_words(spark):
+    """Word by word costs only bound the distance if both lines have as many words."""
+    a, b = "aaaaaaaaaa commonword anotherword yetanother finalwords quantities", "bbbbbb commonword anotherword yetanother finalwords quantities x y"
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert distance(a, b) > 0.2 * max(len(a), len(b)) and not df.select(line_dedup.similar(F.col("a"), F.col("b"))).first()[0]
 
 
 def test_line_edges(odd, none):

@@ -10,7 +10,7 @@ distance of two embeddings is then the bit count of their exclusive or, and one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -21,34 +21,48 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import components, in_slots, saved, whole_text
+from .linking import candidates, ordered
 
 RADIUS = 4
 #: Blocks beyond the radius that the embedding is cut into, tried in this order as cells get crowded.
 FINER = (2, 4, 6, 8)
+#: Bits within which texts with a shingle in common are compared by their shingles: at a similarity of 0.8 they are 10 apart, give or take 3.
+WIDE = 20
+#: The smallest shingle hashes of a text by which it meets others.
+ANCHORS = 6
 #: Points in one cell up to which all pairs are compared.
 HEAVY = 512
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42, block: int = 65536) -> int:
-    """The signed 64-bit SimHash of a text's word shingles, repeats included; no words: 0."""
+def shingles(text: str, shingle: int = 4, seed: int = 42, block: int = 65536) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, repeats included, in arrays of at most ``block``, which bounds the memory of very long texts; nothing without words."""
     import xxhash
 
     words = text.encode("utf-8").lower().split()  # bytes: only A-Z fold, only ASCII white space splits
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), block):  # bounds the memory of very long texts
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[at : at + block], ends[at : at + block], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(2 * ones > len(starts), bitorder="little")
-    return int(set_bits.view("<i8")[0])
+    for at in range(0, len(starts), block):
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + block], ends[at : at + block], strict=True)], "<u8")
+
+
+def simhash(parts: Iterable[np.ndarray]) -> int:
+    """The signed 64-bit fingerprint of hashes: a bit is set if over half of them have it."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42, block: int = 65536) -> int:
+    """The signed 64-bit SimHash of a text's word shingles, repeats included; no words: 0."""
+    return simhash(shingles(text, shingle, seed, block))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -154,12 +168,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFr
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns as they are, with one document of each group: that with the smallest id.
+def sketches(docs: DataFrame, shingle: int, seed: int = 42, anchors: int = ANCHORS) -> DataFrame:
+    """``(doc_id, key, id, fp, keys)`` for every row: ``key`` hashes id and text, ``id`` the text's words, ``keys`` are the smallest hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in slices(batches):
+            ids, fps, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                parts = list(shingles(text, shingle, seed))
+                least = [np.unique(p)[:anchors] for p in parts]
+                keys.append(np.unique(np.concatenate(least)).view("<i8")[:anchors].tolist() if least else [])
+                fps.append(simhash(parts))
+                ids.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8").lower().split())))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(ids, "<u8").view("<i8")), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "id", "fp", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, id long, fp long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """``(id, set)``: the different shingle hashes of the texts in ``wanted`` (``key``, ``id``), each id once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.concatenate([*shingles(t, shingle, seed), np.zeros(0, "<u8")])).view("<i8") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    rows = in_slots(docs.select(F.xxhash64(F.col("doc_id").cast("long"), whole_text()).alias("key"), whole_text().alias("text")), "key", wanted, "left_semi")
+    rows = rows.join(wanted, "key").dropDuplicates(["id"]).select("id", "text")
+    return rows.mapInArrow(run, "id long, set array<long>")
+
+
+def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """``(doc_id, component_id)`` for every row: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more are linked.
+
+    A similarity of 0.8 is ten bits of a fingerprint on average, out of reach of a grid. So pairs come from two sides: the grid gives those within
+    ``RADIUS`` bits, and texts that share one of their ``ANCHORS`` smallest shingle hashes are candidates if their fingerprints are
+    within ``radius`` bits. The shingle sets then settle every pair. Texts with the same words are one.
+    A row without words links to others like it; a null id is never the smallest unless its group has no other; an empty table gives no rows.
+    """
+    made = saved(sketches(docs, shingle))
+    texts = saved(made.groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    prints = texts.select("id", "fp")
+    rep = prints.groupBy("fp").agg(F.min("id").alias("rep"))
+    close = links(prints)
+    close = close.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("id")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("id2")), "b")
+    alike = prints.join(rep, "fp").select("id", F.col("rep").alias("id2"))
+    pairs = candidates(texts.select("id", "fp", "keys"), prints, radius)
+    pairs = saved(ordered(pairs.unionByName(close.select("id", "id2")).unionByName(alike)), few=True)
+    ids = pairs.select("id").union(pairs.select("id2")).distinct()
+    sets = saved(shingle_sets(docs, texts.join(ids, "id", "left_semi").select("key", "id"), shingle))
+
+    def settled(some: DataFrame) -> DataFrame:
+        both = some.join(sets, "id").join(sets.select(F.col("id").alias("id2"), F.col("set").alias("set2")), "id2")
+        shared = F.size(F.array_intersect("set", "set2"))
+        return saved(both.where(shared >= F.lit(similarity) * (F.size("set") + F.size("set2") - shared)).select("id", "id2"), few=True)
+
+    # Each text is first set against one other; of the rest only pairs that this does not connect already.
+    one = pairs.groupBy("id2").agg(F.min("id").alias("id"))
+    sure = settled(one.select("id", "id2"))
+    known = saved(components(sure, "id", "id2"), few=True)
+    at = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+    rest = pairs.join(one, ["id", "id2"], "left_anti").join(at("id"), "id", "left").join(at("id2"), "id2", "left")
+    rest = rest.where(~F.col("id_group").eqNullSafe(F.col("id2_group")) | F.col("id_group").isNull()).select("id", "id2")
+    label = components(sure.unionByName(settled(saved(rest, few=True))), "id", "id2").withColumnRenamed("node", "id")
+    named = saved(texts.select("id", "first").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), few=True)
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return made.select("doc_id", "id").join(named.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all columns as they are, with one document of each group of near copies: that with the smallest id.
 
     Rows equal in id and text are one document. Rows without an id have no name to be dropped by and stay.
     """
-    found = saved(near_duplicates(docs))
+    found = saved(near_texts(docs, shingle, similarity))
     again = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), few=True)
     gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), few=True)
     maybe = in_slots(docs, "doc_id", gone, "left_semi", "gone").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
