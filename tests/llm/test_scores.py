@@ -87,6 +87,20 @@ def test_model_is_a_distribution(model):
     assert np.isfinite(model.log_probability([ids])).all()
 
 
+def test_pairs_that_are_joined(spark, docs):
+    """Shares of pairs that are not sent to every task, joined instead, give the same scores; so do other partitions of the input."""
+    from varimesh.llm.common import saved
+
+    few = docs.limit(60).select("doc_id", "text")
+    scores = []
+    for table, held_pairs in ((few.coalesce(1), 10**6), (few.repartition(5), 300)):
+        tok = saved(lm.tokens(table, bpe.default_path()))
+        m = lm.learn(tok, bpe.default_path(), sample=20, held_pairs=held_pairs)
+        assert m.cut == (held_pairs == 300) and (len(m.pair) <= 300 or not m.cut)
+        scores.append({r["key"]: r["score"] for r in lm.score(tok, m).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(scores[1][k] == pytest.approx(x, rel=1e-3) for k, x in scores[0].items())
+
+
 def test_gradients(model):
     """Against differences of the loss."""
     from dataclasses import replace
@@ -107,6 +121,22 @@ def test_gradients(model):
         assert (up - down) / 2e-4 == pytest.approx(g[k][i], rel=2e-2, abs=1e-6)
 
 
+def test_attention_beats_the_counts_alone(spark):
+    """On texts held out, the model with attention is better by a tenth of a nat a token than the same tables without it."""
+    from dataclasses import replace
+
+    from varimesh.llm.common import saved
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    tok = saved(lm.tokens(docs, bpe.default_path()))
+    m = lm.learn(tok, bpe.default_path(), sample=600)
+    texts = [np.frombuffer(r["ids"], "<u2") for r in tok.where("not train").collect()]
+    n = sum(len(t) + 1 for t in texts)
+    with_it, without = (-x.log_probability(texts).sum() * math.log(10) / n for x in (m, replace(m, weights=m.weights | {"c": 0 * m.weights["c"]})))
+    print(with_it, without)
+    assert with_it < without - 0.1
+
+
 def test_language_model_edges(odd, none):
     rows = lm.score_texts(odd).collect()
     assert len(rows) == odd.count() and all(r["score"] < 0 for r in rows)

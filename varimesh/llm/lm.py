@@ -3,7 +3,7 @@
 A token's probability is that of its class, given what came before, times its share within the class, given the token before it. The frequent tokens are
 classes of their own. Class counts after each token, and shares within classes, come from all training documents. On top of the class
 counts one layer of causal self-attention reads up to ``WINDOW`` tokens back and shifts the class logits. It is first fitted on
-a bounded sample; then every task fits a copy further on its own part of the corpus, and the copies' average is the model.
+a bounded sample; then copies of it are fitted further on all windows of all training documents, each on a shard of them, and the copies' average is the model.
 
 Texts are scored in windows that overlap: each window scores its last ``STRIDE`` tokens and only reads those before, so every token is scored
 exactly once. Windows of many texts go through masked attention in one batch. Queries, keys and values are linear in a token's and a place's embeddings, so
@@ -32,6 +32,8 @@ WINDOW, STRIDE = 32, 24
 BACK = WINDOW - STRIDE
 DIM, SINGLE, SHARED, OWN_ROWS = 16, 60, 20, 2048
 SLOT_BITS = 21
+#: Tokens of a shard, and the most ids of a text of the first sample, which the driver holds.
+SHARD, MOST_IDS = 8_000_000, 1 << 16
 #: How many counts the share of a token without context weighs in its share after a row.
 PRIOR = 8.0
 #: Words whose counts are sent to every task; the counts of all others are joined.
@@ -73,8 +75,8 @@ def _counted(tok: DataFrame, width: int, of) -> np.ndarray:
     return out
 
 
-def _pairs(tok: DataFrame, row_of: np.ndarray, end: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` commonest ``row << 16 | token`` of neighbours in the training texts, sorted, and their counts."""
+def _pairs(tok: DataFrame, row_of: np.ndarray, end: int) -> DataFrame:
+    """``(k, n)``: how often each ``row << 16 | token`` of neighbours occurs in the training texts, all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -84,13 +86,26 @@ def _pairs(tok: DataFrame, row_of: np.ndarray, end: int, most: int) -> tuple[np.
                 new, n = np.unique(np.concatenate([(row_of[t[:-1]].astype(np.int64) << 16) | t[1:] for t in texts]), return_counts=True)
                 both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
                 keys, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
+                if len(keys) > 2_000_000:  # a task hands on what it has, so its memory does not grow with its texts
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["k", "n"])
+                    keys, counts = keys[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["k", "n"])
 
-    counted = saved(tok.where("train").select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
-    rows = counted.where(F.col("n") >= _least_count(counted, "n", most)).toArrow()
-    keys, n = rows.column("k").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    return saved(tok.where("train").select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+
+
+def _after(counted: DataFrame, class_of: np.ndarray, n_row: int, n_class: int) -> np.ndarray:
+    """Counts of each class after each row, over all pairs: an aggregate of as many numbers as rows times classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((k >> 16) * n_class + class_of[k & 0xFFFF]), batch.column(1)], ["i", "n"])
+
+    out = np.zeros(n_row * n_class)
+    for r in counted.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out.reshape(n_row, n_class)
 
 
 def _least_count(df: DataFrame, column: str, most: int) -> int:
@@ -111,8 +126,9 @@ def _least_count(df: DataFrame, column: str, most: int) -> int:
 class Model:
     """``row_of``: a token's row in the tables. ``class_of`` and ``share``: its class and share within it. ``after``: class logits after each row.
 
-    ``pair``, sorted, and ``pair_share``: tokens seen after a row, as ``row << 16 | token``, and their log shares; ``rest``: the log share of
-    what is left, after a row, for the tokens of a class that were not seen there.
+    ``pair``, sorted, and ``pair_share``: the commonest tokens seen after a row, as ``row << 16 | token``, and their log shares; ``rest``: the log share of
+    what is left, after a row, for the tokens of a class that were not seen there. ``counts`` are the counts of each class after each row. Pairs seen fewer
+    than ``least`` times, where there are such, are not held here but in ``counted``; what they add to a score is joined.
     """
 
     end: int
@@ -124,13 +140,30 @@ class Model:
     pair: np.ndarray
     pair_share: np.ndarray
     rest: np.ndarray
+    counts: np.ndarray
+    least: int = 0
+    counted: DataFrame | None = None
+
+    @property
+    def cut(self) -> bool:
+        return self.least > 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_slots"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_slots", "counted")} | {"counted": None}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
+    def pair_log_share(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log shares of tokens seen ``n`` times after a row."""
+        row, token = keys >> 16, keys & 0xFFFF
+        return np.log((n + PRIOR * np.exp(self.share[token])) / (self.counts[row, self.class_of[token]] + PRIOR)).astype(np.float32)
+
+    def unseen(self, keys: np.ndarray) -> np.ndarray:
+        """The keys that are not held here."""
+        at = np.minimum(np.searchsorted(self.pair, keys), max(0, len(self.pair) - 1))
+        return keys[self.pair[at] != keys] if len(self.pair) else keys
+
     def shares(self, rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Log shares of tokens within their classes, each after a row. Most pairs are found in a hashed table, those it has no room for by search."""
         if "_slots" not in self.__dict__:
@@ -246,14 +279,20 @@ class Model:
         de = dk @ w["k"].T + dv @ w["v"].T
         de[:, BACK:] += dq @ w["q"].T
         g["p"] = de.sum(axis=0)
+        rows = x.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows, starts = np.unique(rows[order], return_index=True)
         g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], x.ravel(), de.reshape(-1, DIM))
+        g["e"][rows] = np.add.reduceat(de.reshape(-1, DIM)[order], starts, axis=0)
         return loss, g
 
-    def fit(self, read: np.ndarray, scored: np.ndarray, rate: float, epochs: int = 1, batch: int = 128, seed: int = 1) -> list[float]:
-        """Adam with a rate that falls to zero; the weights change in place."""
-        rng, losses, step = np.random.default_rng(seed), [], 0
-        m, v = ({k: np.zeros_like(a) for k, a in self.weights.items()} for _ in range(2))
+    def fit(self, read: np.ndarray, scored: np.ndarray, rate: float, epochs: int = 1, batch: int = 128, seed: int = 1, state: dict | None = None) -> list[float]:
+        """Adam with a rate that falls to zero; the weights change in place. With ``state`` it goes on from where it was, at a steady rate."""
+        rng, losses, steady = np.random.default_rng(seed), [], state is not None
+        state = state if steady else {}
+        if not state:
+            state |= {"step": 0, "m": {k: np.zeros_like(a) for k, a in self.weights.items()}, "v": {k: np.zeros_like(a) for k, a in self.weights.items()}}
+        m, v, step = state["m"], state["v"], state["step"]
         steps = epochs * -(-len(read) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(read))
@@ -261,11 +300,12 @@ class Model:
                 loss, g = self.gradients(read[order[at : at + batch]], scored[order[at : at + batch]])
                 losses.append(loss)
                 step += 1
-                now = rate * (1 - (step - 1) / steps)
+                now = rate if steady else rate * (1 - (step - 1) / steps)
                 for k, d in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * d
                     v[k] = 0.99 * v[k] + 0.01 * d * d
                     self.weights[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        state["step"] = step
         return losses
 
 
@@ -286,13 +326,14 @@ def _classes(count: np.ndarray, names: dict[int, bytes]) -> tuple[np.ndarray, np
     return row_of.astype(np.int32), class_of, np.log(weight / sums[class_of])
 
 
-def learn(tok: DataFrame, path: str, sample: int = 3000, every: int = 24, most_pairs: int = 2_000_000, seed: int = 2) -> Model:
+def learn(tok: DataFrame, path: str, sample: int = 3000, held_pairs: int = 2_000_000, seed: int = 2) -> Model:
     """The model of the training texts in ``tok`` (a saved table).
 
-    ``sample`` texts with the smallest hashes give the first weights. After that each task goes once through every
-    ``every``-th window of its own texts, so this part grows with the corpus, and the weights of all tasks are averaged by the
-    windows they saw. The ``most_pairs`` commonest pairs of a row and a token give shares their context. Without training texts the model
-    is even over all tokens.
+    Counts cover all training texts. ``sample`` texts of at most ``MOST_IDS`` ids, those with the smallest hashes, give attention its first weights. Then the texts are dealt by the hash of their
+    key to as many shards as the table has tokens for, each a task that goes once through all windows of its texts in the order of their keys, and the weights
+    of all shards are averaged by the windows they saw; so neither the number of executors nor the layout of the input changes the model.
+    The ``held_pairs`` commonest pairs of a row and a token are sent to every task; the shares of all others are joined when texts are scored. Without training texts
+    the model is even over all tokens.
     """
     names = vocabulary(path).bytes_of
     size = max(names) + 1
@@ -301,69 +342,107 @@ def learn(tok: DataFrame, path: str, sample: int = 3000, every: int = 24, most_p
     row_of, class_of, share = _classes(count, names)
     n_class, n_row = SINGLE + SHARED, OWN_ROWS + SINGLE + SHARED + 1
 
-    seen = _pairs(tok, row_of, end, most_pairs)
-    pairs = np.zeros((n_row, n_class))
-    np.add.at(pairs, (seen[0] >> 16, class_of[seen[0] & 0xFFFF]), seen[1])
+    counted = _pairs(tok, row_of, end)
+    pairs = _after(counted, class_of, n_row, n_class)
+    least = _least_count(counted, "n", held_pairs)
+    top = counted.where(F.col("n") >= least).toArrow()
+    keys, n = top.column("k").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(keys)
     overall = pairs.sum(axis=0) + 1
     overall /= overall.sum()
     after = np.log((pairs + 20 * overall) / (pairs.sum(axis=1, keepdims=True) + 20)).astype(np.float32)
     rest = np.log(PRIOR / (pairs + PRIOR)).astype(np.float32)
-    row, token = seen[0] >> 16, seen[0] & 0xFFFF
-    pair_share = np.log((seen[1] + PRIOR * np.exp(share[token])) / (pairs[row, class_of[token]] + PRIOR)).astype(np.float32)
     rng = np.random.default_rng(seed)
     draw = lambda a, *shape: rng.normal(0, a, shape).astype(np.float32)
     weights = {"e": draw(0.3, n_row, DIM), "p": draw(0.3, WINDOW, DIM), "q": draw(0.3, DIM, DIM), "k": draw(0.3, DIM, DIM), "v": draw(0.3, DIM, DIM), "c": draw(0.05, DIM, n_class)}
-    model = Model(end, row_of, class_of, share, after, weights, seen[0], pair_share, rest)
+    model = Model(end, row_of, class_of, share, after, weights, keys[order], keys[order], rest, pairs)
+    model.pair_share = model.pair_log_share(model.pair, n[order])
+    if counted.where(F.col("n") < least).take(1):
+        model.least, model.counted = least, counted
     # Keys are chosen first: only then do the chosen texts' ids travel.
-    chosen = tok.where("train").select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
+    chosen = tok.where("train").where(F.length("ids") <= 2 * MOST_IDS).select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
     rows = tok.where("train").join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("key", "ids").collect()
     texts = [np.frombuffer(r["ids"], "<u2") for r in sorted(rows, key=lambda r: r["key"])]
     if not texts:
         return model
     read, scored, _ = model.windows(texts)
     model.fit(read, scored, 1.5e-2, epochs=2)
+    model.weights = _averaged(tok, model, max(1, -(-int(count.sum()) // SHARD)))
+    return model
 
+
+def _averaged(tok: DataFrame, model: Model, shards: int) -> dict[str, np.ndarray]:
+    """The mean, by windows, of what each shard makes of the model's weights on all windows of its texts."""
     shapes = [(k, a.shape) for k, a in sorted(model.weights.items())]
-    start = tok.sparkSession.sparkContext.broadcast(model)
+    start = tok.sparkSession.sparkContext.broadcast(replace(model, pair=model.pair[:0], pair_share=model.pair_share[:0], counts=model.counts[:0]))
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = start.value
         own = replace(base, weights={k: a.copy() for k, a in base.weights.items()})
-        reads, goals, seen = [], [], 0
-        for batch in slices(batches, 512):
+        state, n, reads, goals = {}, 0, [], []
+        for batch in slices(batches, 256):
             read, scored, _ = own.windows([np.frombuffer(b, "<u2") for b in batch.column(0).to_pylist()])
-            pick = slice(-seen % every, None, every)
-            seen += len(read)
-            reads.append(read[pick]), goals.append(scored[pick])
-        n = sum(map(len, reads))
+            reads.append(read), goals.append(scored)
+            n += len(read)
+            if sum(map(len, reads)) >= 20_000:
+                own.fit(np.concatenate(reads), np.concatenate(goals), 2e-3, batch=512, state=state)
+                reads, goals = [], []
+        if reads and sum(map(len, reads)):
+            own.fit(np.concatenate(reads), np.concatenate(goals), 2e-3, batch=512, state=state)
         if n:
-            own.fit(np.concatenate(reads), np.concatenate(goals), 3e-3)
             flat = np.concatenate([own.weights[k].ravel() for k, _ in shapes]).astype(float) * n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(n)))], ["i", "x", "n"])
 
-    parts = tok.where("train").select("ids").mapInArrow(go_on, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    dealt = tok.where("train").select("key", "ids").repartition(shards, "key").sortWithinPartitions("key", "ids").select("ids")
+    parts = dealt.mapInArrow(go_on, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
     flat = np.zeros(sum(int(np.prod(s)) for _, s in shapes))
     for r in parts.collect():
         flat[r["i"]] = r["x"]
-    at = 0
+    start.unpersist()
+    out, at = {}, 0
     for k, shape in shapes:
         n = int(np.prod(shape))
-        model.weights[k] = flat[at : at + n].reshape(shape).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
         at += n
-    start.unpersist()
-    return model
+    return out
 
 
 def score(tok: DataFrame, model: Model) -> DataFrame:
-    """``(key, score)``: the log10 probability of each text and its end."""
+    """``(key, score)``, a row for each row of ``tok``: the log10 probability of each text and its end."""
     held = tok.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for batch in slices(batches, 128):
-            got = held.value.log_probability([np.frombuffer(b, "<u2") for b in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["key", "score"])
-
-    return tok.select("key", "ids").mapInArrow(run, "key long, score double")
+            texts = [np.frombuffer(b, "<u2") for b in batch.column(1).to_pylist()]
+            got, ends, keys, times = model.log_probability(texts), [0], [], []
+            for t in texts if model.cut else ():
+                k, n = np.unique((model.row_of[np.append(np.uint16(model.end), t)].astype(np.int64) << 16) | np.append(t, np.uint16(model.end)), return_counts=True)
+                left = np.isin(k, model.unseen(k), assume_unique=True)
+                keys.append(k[left]), times.append(n[left])
+                ends.append(ends[-1] + int(left.sum()))
+            if not model.cut:
+                ends = [0] * (len(texts) + 1)
+            flat = [np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64) for a in (keys, times)]
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(a) for a in flat], ["k", "t"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), rare], ["key", "score", "rare"])
+
+    out = tok.select("key", "ids").mapInArrow(run, "key long, score double, rare array<struct<k:long,t:long>>")
+    if not model.cut:
+        return out.select("key", "score")
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in batches:  # what the share of a pair is above that of a token never seen after its row
+            k = batch.column(0).to_numpy()
+            plain = model.rest[k >> 16, model.class_of[k & 0xFFFF]] + model.share[k & 0xFFFF]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((model.pair_log_share(k, batch.column(1).to_numpy()) - plain) / np.log(10), pa.float64())], ["k", "g"])
+
+    rare = model.counted.where(F.col("n") < model.least).mapInArrow(gains, "k long, g double")
+    out = saved(out.withColumn("row", F.monotonically_increasing_id()))
+    more = out.select("row", F.explode("rare").alias("r")).select("row", F.col("r.k").alias("k"), F.col("r.t").alias("t")).join(rare, "k")
+    more = more.groupBy("row").agg(F.sum(F.col("t") * F.col("g")).alias("more"))
+    return out.join(more, "row", "left").select("key", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 # ---- unigram base
