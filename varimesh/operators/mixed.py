@@ -108,45 +108,45 @@ def _group_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("fid", "iid").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.col(f"`{c}`").cast("double")).alias(f"u{k}") for k, c in enumerate(columns)])
 
 
-def weighted_gram(g: Gram, sums: DataFrame, share: np.ndarray) -> np.ndarray:
-    """Z'V⁻¹Z for Z = [X, Y] and V = share_F in a family + share_S in a subject + share_E on the diagonal, from group sums.
+def weighted_grams(g: Gram, sums: DataFrame, shares: list[np.ndarray], outcomes: list[list[int]]) -> list[np.ndarray]:
+    """For each bin of outcomes X'V⁻¹X, and beside it X'V⁻¹y of the bin's outcomes; V = share_F in a family + share_S in a subject + share_E on the diagonal.
 
-    A subject's block is inverted by the Sherman-Morrison formula, then the family's shared part by the same.
+    A subject's block is inverted by the Sherman-Morrison formula, then the family's shared part by the same. All bins are columns of one aggregate over
+    families of group sums.
     """
-    f, s, e = map(float, share)
-    p, v = len(g.xs), len(g.ys)
-    width = p + v
-    d = F.lit(e) + F.lit(s) * F.col("n")
-    cells = [(i, j) for i in range(width) for j in range(i, width) if i < p or i == j]
-    u = [F.col(f"u{k}") for k in range(width)]
-    fam = sums.groupBy("fid").agg(
-        F.sum(F.col("n") / d).alias("q"), *[F.sum(x / d).alias(f"w{k}") for k, x in enumerate(u)], *[F.sum(F.lit(s) / d * u[i] * u[j]).alias(f"c{i}_{j}") for i, j in cells]
-    )
-    k = F.lit(f) / (F.lit(1.0) + F.lit(f) * F.col("q"))
-    row = fam.agg(*[F.sum(F.col(f"c{i}_{j}") / F.lit(e) + k * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"t{i}_{j}") for i, j in cells]).first()
-    out = np.zeros((width, width))
-    for i, j in cells:
-        own = g.xx[i, j] if j < p else (g.xy[i, j - p] if i < p else g.yy[i - p])
-        out[i, j] = out[j, i] = own / e - float(row[f"t{i}_{j}"] or 0)
+    p = len(g.xs)
+    inner, outer = [], []
+    for b, ((f, s, e), own) in enumerate(zip(shares, outcomes, strict=True)):
+        f, s, e = float(f), float(s), float(e)
+        d = F.lit(e) + F.lit(s) * F.col("n")
+        at = [*range(p), *(p + y for y in own)]
+        inner += [F.sum(F.col("n") / d).alias(f"q{b}"), *[F.sum(F.col(f"u{k}") / d).alias(f"w{b}_{k}") for k in at]]
+        k = F.lit(f) / (F.lit(1.0) + F.lit(f) * F.col(f"q{b}"))
+        for i in range(p):
+            for j in at[i:]:
+                inner.append(F.sum(F.lit(s) / d * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"c{b}_{i}_{j}"))
+                outer.append(F.sum(F.col(f"c{b}_{i}_{j}") / F.lit(e) + k * F.col(f"w{b}_{i}") * F.col(f"w{b}_{j}")).alias(f"t{b}_{i}_{j}"))
+    row = sums.groupBy("fid").agg(*inner).agg(*outer).first()
+    out = []
+    for b, ((_, _, e), own) in enumerate(zip(shares, outcomes, strict=True)):
+        taken = lambda i, j: float(row[f"t{b}_{i}_{j}"] or 0)  # noqa: B023, E731
+        xx = np.array([[g.xx[i, j] / e - taken(min(i, j), max(i, j)) for j in range(p)] for i in range(p)])
+        out.append(np.concatenate((xx, np.array([[g.xy[i, y] / e - taken(i, p + y) for y in own] for i in range(p)])), 1))
     return out
 
 
 def gls(df: DataFrame, g: Gram, shares: np.ndarray, sigma2: np.ndarray, n_bins: int = 20) -> tuple[Fit, np.ndarray]:
-    """Generalised least squares, one weighting for each bin of outcomes at the bin's mean shares; the variance is that of ordinary residuals."""
+    """Generalised least squares, one weighting for each bin of outcomes at the bin's mean shares; the variance is that of ordinary residuals. One job for all bins."""
     cell = bins(shares, n_bins)
-    sums = _group_sums(df, [*g.xs, *g.ys]).cache()
     p = len(g.xs)
+    owners = [np.flatnonzero(cell == b) for b in np.unique(cell)]
+    # with no error share the covariance is singular, so a little of it stands in
+    means = [m if m[-1] > 0 else m + np.array([0, 0, 1e-6]) for m in (shares[own].mean(axis=0) for own in owners)]
     beta, cov = np.zeros((p, len(g.ys))), np.zeros((len(g.ys), p, p))
-    for b in np.unique(cell):
-        own = np.flatnonzero(cell == b)
-        mean = shares[own].mean(axis=0)
-        if mean[-1] <= 0:  # no error share: the covariance is singular, so a little of it stands in
-            mean = mean + np.array([0, 0, 1e-6])
-        m = weighted_gram(g, sums, mean)
-        c, _ = nearest_spd(np.linalg.pinv(m[:p, :p], hermitian=True))
-        beta[:, own] = np.linalg.pinv(m[:p, :p], hermitian=True) @ m[:p, p + own]
-        cov[own] = c
-    sums.unpersist()
+    for own, m in zip(owners, weighted_grams(g, _group_sums(df, [*g.xs, *g.ys]), means, [o.tolist() for o in owners]), strict=True):
+        inv = np.linalg.pinv(m[:, :p], hermitian=True)
+        cov[own], _ = nearest_spd(inv)
+        beta[:, own] = inv @ m[:, p:]
     return Fit(g.xs, g.ys, beta, cov, sigma2, g.n), cell
 
 

@@ -126,12 +126,31 @@ def map_names(df: DataFrame, column: str, names: dict[str, str]) -> Column:
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the curve by rank sums over distinct scores; ties count one half."""
+    """Area under the curve by rank sums over distinct scores; ties count one half. Scores are ordered in ranges with running counts, so no task sorts them all."""
+    from .storage import saved
+
     by = by or []
     per = df.groupBy(*by, score).agg(F.sum(label).alias("pos"), (F.count(F.lit(1)) - F.sum(label)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(score)
-    per = per.withColumn("below", F.sum("neg").over(w) - F.col("neg"))
-    return per.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    ranged = saved(per.repartitionByRange(*by, score).withColumn("part", F.spark_partition_id()))
+    before = ranged.groupBy(*by, "part").agg(F.sum("neg").alias("before"))  # a row for each range
+    before = before.withColumn("before", F.sum("before").over(Window.partitionBy(*by).orderBy("part")) - F.col("before"))
+    own = F.sum("neg").over(Window.partitionBy(*by, "part").orderBy(score)) - F.col("neg")
+    per = ranged.withColumn("own", own).join(F.broadcast(before), [*by, "part"])
+    below = F.col("before") + F.col("own")
+    return per.groupBy(*by).agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+
+def correlation(df: DataFrame, score: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """Pearson's correlation of scores with a measured value."""
+    return df.groupBy(*(by or [])).agg(F.corr(score, value).alias("correlation"))
+
+
+def cohen_d(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Difference of the mean scores of the two classes over their pooled standard deviation."""
+    of = lambda f, k: f(F.when(F.col(label) == k, F.col(score)))
+    n1, n0 = of(F.count, 1), of(F.count, 0)
+    pooled = F.sqrt(((n1 - 1) * of(F.var_samp, 1) + (n0 - 1) * of(F.var_samp, 0)) / (n1 + n0 - 2))
+    return df.groupBy(*(by or [])).agg(((of(F.avg, 1) - of(F.avg, 0)) / pooled).alias("cohen_d"))
 
 
 def folds(column: str, k: int, seed: int = 0) -> Column:

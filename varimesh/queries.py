@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from varimesh.functions import dist, splines
 from varimesh.functions import transforms as tr
-from varimesh.operators import linear, mixed, resample, tables
+from varimesh.operators import arrays, linear, mixed, resample, tables
 from varimesh.sources import sinks, tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,6 +378,40 @@ def _(spark, d):
     return rounded(rounded(table, 6, "beta", "se"), 3, "z")
 
 
+# with bins, the weights are the mean shares of the outcomes in a cell of the grid
+BINNED = """binned AS (SELECT y_id, avg(f) OVER w AS f, avg(s) OVER w AS s, avg(g) OVER w AS g
+  FROM (SELECT *, least(floor(f * 20), 19) * 20 + least(floor(s * 20), 19) AS b FROM share) WINDOW w AS (PARTITION BY b))"""
+GLS_BINNED = GLS.replace("JOIN share", "JOIN binned")
+GLS_ROWS = "SELECT y_id, 'Intercept' AS term, round(b0, 6) + 0e0 AS beta, round(e0, 6) AS se FROM gb UNION ALL SELECT y_id, 'x1', round(b1, 6) + 0e0, round(e1, 6) FROM gb"
+#: Vectors as observations of 64 outcomes: four to a subject, twenty to a family.
+LONG_E = """long AS (SELECT vec_id // 20 AS fid, vec_id // 4 AS iid, CAST(label AS DOUBLE) AS x1, i - 1 AS y_id, CAST(embedding[i] AS DOUBLE) AS y
+  FROM embeddings, (SELECT UNNEST(range(1, 65)) AS i))"""
+
+
+@query("ag25_binned_gls", f"WITH {OBS}, {LONG}, {OLS}, {MOM}, {NNLS}, {BINNED}, {GLS_BINNED} {GLS_ROWS}")
+def _(spark, d):
+    """The whole model with outcomes weighted by bins of their shares."""
+    return rounded(mixed.fit(obs(spark, d), XS, YS, n_bins=20).gls.table(spark).select("y_id", "term", "beta", "se"), 6, "beta", "se")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    fid, iid = (F.floor(F.col("vec_id") / n).alias(c) for c, n in (("fid", 20), ("iid", 4)))
+    return t(spark, d, "embeddings").select(fid, iid, F.lit(1.0).alias("Intercept"), F.col("label").cast("double").alias("x1"), "embedding")
+
+
+@query("fit_gls_arrays", f"WITH {LONG_E}, {OLS}, {MOM}, {NNLS}, {BINNED}, {GLS_BINNED} {GLS_ROWS}")
+def _(spark, d):
+    """The whole model of 64 outcomes in an array column, with bins."""
+    table = arrays.fit(vectors(spark, d), XS, "embedding", 64).gls.table(spark)
+    return rounded(table.select(F.substring("y_id", 2, 9).cast("long").alias("y_id"), "term", "beta", "se"), 6, "beta", "se")
+
+
+@query("ag10_array_shares", f"WITH {LONG_E}, {OLS}, {MOM}, {NNLS} SELECT y_id, 'F' AS effect, round(f, 6) AS share FROM share UNION ALL SELECT y_id, 'S', round(s, 6) FROM share UNION ALL SELECT y_id, 'E', round(g, 6) FROM share")
+def _(spark, d):
+    table = arrays.fit(vectors(spark, d), XS, "embedding", 64).share_table(spark)
+    return table.select(F.substring("y_id", 2, 9).cast("long").alias("y_id"), "effect", F.round("share", 6).alias("share"))
+
+
 @query("ag18_contrast", f"WITH {OBS}, {LONG}, {OLS} SELECT y_id, round(a + 2.5 * b, 6) AS beta, round(sqrt(s2 * (1.0 / n + (2.5 - mx) ^ 2 / sxx)), 6) AS se FROM fit JOIN s2 USING (y_id)")
 def _(spark, d):
     table = linear.ols(linear.gram(obs(spark, d), XS, YS)).table(spark, np.array([[1.0, 2.5]]), ["at_2.5"])
@@ -421,6 +455,15 @@ def _(spark, d):
     return rounded(tables.auc(df, "s", "l"), 8, "auc")
 
 
+@query("ag41_effect_sizes", f"""WITH {OBS}, p AS (SELECT x2 AS s, y1, CASE WHEN flag = 'R' THEN 1 ELSE 0 END AS l FROM obs)
+SELECT round(corr(s, y1), 8) AS correlation, round((avg(s) FILTER (l = 1) - avg(s) FILTER (l = 0)) / sqrt(((count(*) FILTER (l = 1) - 1) * var_samp(s) FILTER (l = 1)
+  + (count(*) FILTER (l = 0) - 1) * var_samp(s) FILTER (l = 0)) / (count(*) - 2)), 8) AS cohen_d FROM p""")
+def _(spark, d):
+    df = obs(spark, d).select(F.lit(1).alias("one"), "x2", "y1", (F.col("flag") == "R").cast("long").alias("l"))
+    both = tables.correlation(df, "x2", "y1", ["one"]).join(tables.cohen_d(df, "x2", "l", ["one"]), "one")
+    return rounded(both.drop("one"), 8, "correlation", "cohen_d")
+
+
 @query("ag39_qq", f"WITH {OBS}, c AS (SELECT CAST(floor(abs(y1) / 0.5) AS BIGINT) AS bucket, count(*) AS n FROM obs GROUP BY 1) SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket DESC) AS BIGINT) AS above FROM c")
 def _(spark, d):
     return tables.qq(obs(spark, d), "y1", 0.5)
@@ -520,10 +563,10 @@ def _(spark, d):
 
 
 def small(spark: SparkSession, d: str) -> DataFrame:
-    """Customers in nations: a small model for effects that need a block for each family."""
+    """Customers in nations, fifty to a family at any scale: a model for effects that need a block for each family."""
     c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(
-        (F.col("c_custkey") % 97).alias("fid"), F.col("c_custkey").alias("iid"), F.lit(1.0).alias("Intercept"), (F.length("c_mktsegment") / 10).alias("x1"),
+        F.floor(F.col("c_custkey") / 50).alias("fid"), F.col("c_custkey").alias("iid"), F.lit(1.0).alias("Intercept"), (F.length("c_mktsegment") / 10).alias("x1"),
         (F.col("c_acctbal").cast("double") / 1000).alias("y1"), (F.col("c_custkey") % 3).alias("visit"), F.col("n_regionkey").alias("home_id"), F.col("c_nationkey").alias("mother_id"),
     )
 
