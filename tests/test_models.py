@@ -165,23 +165,34 @@ def test_splines(spark):
 
 
 def test_gwas_against_dense(spark, data):
+    """Main effects and interactions against dense generalised least squares; small tiles, a missing dosage, a constant variant, all three laws."""
     df, (fid, iid, x, y) = data
     f = mixed.fit(df, ["one", "x"], ["y", "z"])
     subjects = np.unique(iid)
-    g = RNG.integers(0, 3, (6, len(subjects)))
+    g = RNG.integers(0, 3, (6, len(subjects))).astype(float)
     g[5] = 1
-    rows = [(f"rs{k}", "1" if k < 4 else "X", k, [int(v) for v in g[k]]) for k in range(6)]
-    variants = spark.createDataFrame(rows, "snp_id string, chr string, bp long, dosages array<tinyint>").repartition(2)
+    rows = [(f"rs{k}", "1" if k < 4 else "X", k, int(i), None if (k, j) == (2, 3) else float(g[k, j])) for k in range(6) for j, i in enumerate(subjects)]
+    long = spark.createDataFrame(rows, "snp_id string, chr string, bp long, iid long, dosage double")
+    g[2, 3] = np.delete(g[2], 3).mean()
+    got = gwas.gwas(long, df, f, rows_in_tile=60, variants_in_tile=2).toPandas().set_index(["snp_id", "y_id"])
     place = np.searchsorted(subjects, iid)
-    got = gwas.gwas(variants, x, y, ["y", "z"], fid, iid, f.shares, f.bins, place).toPandas().set_index(["snp_id", "y_id"])
     share = f.shares[f.bins == f.bins[0]].mean(0)
     w = np.linalg.inv(dense(fid, iid, share))
-    a = np.concatenate((x, g[2][place][:, None]), 1).astype(float)
-    beta = np.linalg.solve(a.T @ w @ a, a.T @ w @ y[:, 0])
-    assert got.loc[("rs2", "y")].beta == pytest.approx(beta[2])
-    assert np.isnan(got.loc[("rs5", "y")].beta)
-    both = gwas.gwas(variants, x, y, ["y", "z"], fid, iid, f.shares, f.bins, place, gwas.with_main(x[:, 1:]))
-    assert gwas.gather([both]).where("chr = 23").count() == 8
+    for k in range(5):
+        a = np.concatenate((x, g[k][place][:, None]), 1).astype(float)
+        inv = np.linalg.inv(a.T @ w @ a)
+        beta = inv @ a.T @ w @ y[:, 0]
+        assert got.loc[(f"rs{k}", "y")].beta == pytest.approx(beta[2])
+        rest = y[:, 0] - a @ beta
+        assert got.loc[(f"rs{k}", "y")].se == pytest.approx(np.sqrt(inv[2, 2] * rest @ rest / (len(x) - 3)))
+    assert np.isnan(got.loc[("rs5", "y")].beta) and got.loc[("rs5", "y")].err_flag and not got.loc[("rs0", "z")].err_flag
+    both = gwas.gather([gwas.gwas(long, df, f, gwas.with_main(["x"], "one"), "t")])
+    assert both.where("chr = 23").count() == 8
+    a = np.concatenate((x, g[1][place][:, None] * x[:, [1, 0]]), 1)
+    row = both.where("snp_id = 'rs1' and y_id = 'y'").orderBy("basis_id").collect()
+    assert [r["beta"] for r in row] == pytest.approx(np.linalg.solve(a.T @ w @ a, a.T @ w @ y[:, 0])[2:])
+    chi = gwas.gwas(long, df, f, test="chi").toPandas().set_index(["snp_id", "y_id"])
+    assert chi.loc[("rs1", "y")].logp == pytest.approx(got.loc[("rs1", "y")].logp, rel=1e-6)
 
 
 def test_design_names_and_order(spark):

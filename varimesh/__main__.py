@@ -51,18 +51,15 @@ def main(argv: list[str] | None = None) -> None:
         result = model.run(job, data, read_table(spark, a.outcomes) if a.outcomes else None)
         save_run(result, a.out, {"spec": a.spec, "random": list(job.random), "n_bins": job.n_bins})
         return
-    import numpy as np
+    from pyspark.sql import functions as F
 
-    from varimesh.operators import gwas, mixed
+    from varimesh.operators import gwas
     from varimesh.sources import genotypes
 
     result = model.run(job, data)
-    rows = result.design.df.select("fid", "iid", *result.design.columns, *job.outcomes).toPandas()  # rows by columns; variants stay distributed
-    ids = list(dict.fromkeys(rows["iid"]))
-    variants = genotypes.genotypes(spark, a.plink, [str(i) for i in ids])
-    place = rows["iid"].map({i: k for k, i in enumerate(ids)}).to_numpy()
-    codes = lambda c: np.unique(rows[c], return_inverse=True)[1]
-    out = gwas.gwas(variants, rows[result.design.columns].to_numpy(float), rows[job.outcomes].to_numpy(float), job.outcomes, codes("fid"), codes("iid"), mixed.three(result.fit.shares, result.fit.effects), result.fit.bins, place)
+    rows = result.design.df.select("fid", F.col("iid").cast("string").alias("iid"), *result.design.columns, *job.outcomes)
+    variants = genotypes.genotypes(spark, a.plink)
+    out = gwas.gwas(genotypes.long_dosages(variants, genotypes.read_fam(spark, f"{a.plink}.fam").withColumnRenamed("row", "place")), rows, result.fit)
     write_table(gwas.gather([out]), a.out)
 
 

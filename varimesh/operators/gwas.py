@@ -1,7 +1,9 @@
 """Association of each variant with outcomes, fixed effects and family covariance taken out.
 
-The covariance is that of the fitted mixed model, one for each bin of outcomes. Its inverse applied to X and to the residuals is computed once by family, in
-closed form, and sent to every task with X (their size is rows by columns, not variants); a batch of variants is then a few matrix products.
+Genotypes and subjects meet in tiles: families are dealt to blocks, variants to parts, and a tile holds one block's rows and one part's dosages as a matrix. A tile gives,
+for each of its variants, sums of products with V⁻¹X, V⁻¹r and itself, where V is the covariance of the fitted mixed model, one for each bin of outcomes. The sums of
+all blocks are added up by variant, and the estimates follow from them. So neither subjects nor variants ever pass through the driver or one task; a
+family must fit a tile.
 """
 
 from __future__ import annotations
@@ -13,95 +15,168 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varimesh.functions.dist import chi2_log10sf, signed_log10p
+from varimesh.functions.dist import chi2_log10sf, signed_log10p, t_sf2
+
+from .arrays import combine
+from .linear import gram
+from .mixed import MixedFit, three, with_groups
+from .storage import saved
+
+KEYS = ["snp_id", "chr", "bp"]
+KIND = "snp_id string, chr string, bp long, y_id string, basis_id int, beta double, se double, t double, logp double, wald double, wald_logp double, err_flag boolean"
+
+
+class Groups:
+    """Families and the subjects in them as codes, worked out once for any number of columns."""
+
+    def __init__(self, fid: np.ndarray, iid: np.ndarray):
+        _, fam = np.unique(fid, return_inverse=True)
+        pairs, self.sub = np.unique(np.stack((fam, np.unique(iid, return_inverse=True)[1]), 1), axis=0, return_inverse=True)
+        self.sub, self.fam = self.sub.ravel(), pairs[:, 0]
+        self.n, self.order = np.bincount(self.sub), np.argsort(self.sub, kind="stable")
+        self.starts = np.concatenate(([0], np.cumsum(self.n)[:-1]))
+        self.firsts = np.flatnonzero(np.diff(self.fam, prepend=-1))  # subjects are sorted by family
+
+    def apply_inverse(self, z: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """V⁻¹z for the F, S, E covariance, by group sums."""
+        f, s, e = share
+        d = (e + s * self.n)[:, None]
+        sums = np.add.reduceat(z[self.order], self.starts, axis=0)
+        q = np.add.reduceat(self.n / d[:, 0], self.firsts)
+        w = np.add.reduceat(sums / d, self.firsts, axis=0) * (f / (1 + f * q))[:, None]
+        return (z - (s / d * sums)[self.sub]) / e - (w[self.fam] / d)[self.sub]
 
 
 def apply_inverse(z: np.ndarray, fid: np.ndarray, iid: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """V⁻¹z for the F, S, E covariance, by group sums; subjects lie in families."""
-    f, s, e = share
-    _, sub = np.unique(np.stack((fid, iid), 1), axis=0, return_inverse=True)
-    sub = sub.ravel()
-    n_sub = np.bincount(sub)
-    _, fam = np.unique(fid, return_inverse=True)
-    d = e + s * n_sub
-    sums = np.zeros((len(n_sub), z.shape[1]))
-    np.add.at(sums, sub, z)
-    a = (z - (s / d)[sub, None] * sums[sub]) / e
-    first = np.zeros(len(n_sub), int)
-    first[sub] = fam
-    q = np.bincount(first, n_sub / d)
-    w = np.zeros((len(q), z.shape[1]))
-    np.add.at(w, first, sums / d[:, None])
-    return a - (f / (1 + f * q))[fam, None] / d[sub, None] * w[fam]
-
-
-def gwas(variants: DataFrame, x: np.ndarray, y: np.ndarray, names: list[str], fid: np.ndarray, iid: np.ndarray, shares: np.ndarray, cells: np.ndarray, subject: np.ndarray, basis: np.ndarray | None = None, df: int | None = None) -> DataFrame:
-    """``(snp_id, chr, bp, y_id, basis_id, beta, se, t, logp, wald, wald_logp)``.
-
-    ``variants`` has dosages by subject; ``subject`` is each row's place in them. ``basis`` (rows x q, a column of ones if none is given) multiplies
-    the variant, which gives a main effect, interactions with functions of age, or with sex. A variant that is constant, or
-    explained by X, has null results.
+    """V⁻¹z for the F, S, E covariance; subjects lie in families."""
+    return Groups(fid, iid).apply_inverse(z, share)
+
+
+def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str] | None = None, test: str = "z", rows_in_tile: int = 2000, variants_in_tile: int = 250) -> DataFrame:
+    """``(snp_id, chr, bp, y_id, basis_id, beta, se, t, logp, wald, wald_logp, err_flag)``.
+
+    ``dosages`` has ``snp_id, chr, bp, iid, dosage``, a missing dosage counting as the variant's mean; ``design`` has ``fid, iid``, the terms and outcomes of ``fit``
+    and the columns of ``basis``, each of which multiplies the variant (without any: its main effect). ``test``: p-values of single effects from the normal (``z``),
+    Student's t (``t``) or the chi-squared law of the square (``chi``). A variant that is constant, or explained by X, has null results and ``err_flag`` set.
     """
-    n, q = len(y), 1 if basis is None else basis.shape[1]
-    b = np.ones((n, 1)) if basis is None else basis
-    df = df or n - x.shape[1] - q
-    groups = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
-    parts = {}
-    for c, own in groups.items():
-        share = shares[own].mean(axis=0)
-        wx = apply_inverse(x, fid, iid, share)
-        xwx = np.linalg.pinv(x.T @ wx, hermitian=True)
-        yc = y[:, own]
-        res = yc - x @ (xwx @ (wx.T @ yc))
-        parts[c] = (own, share, wx, xwx, res, apply_inverse(res, fid, iid, share))
-    held = variants.sparkSession.sparkContext.broadcast((x, b, subject, fid, iid, parts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, b, subject, fid, iid, parts = held.value
+    if test not in ("z", "t", "chi"):
+        raise ValueError(f"unknown test {test}")
+    xs, ys, bs = fit.gls.terms, fit.gls.ys, basis or []
+    p, v, q = len(xs), len(ys), max(1, len(bs))
+    c = lambda name: F.col(f"`{name}`").cast("double")
+    rows = with_groups(design.withColumn("_subject", F.col("iid")), fit.effects)
+    rows = rows.select(F.col("_subject").alias("subject"), "fid", "iid", *[c(x).alias(f"x{i}") for i, x in enumerate(xs)], *[c(y).alias(f"y{i}") for i, y in enumerate(ys)], *[c(b).alias(f"b{i}") for i, b in enumerate(bs)])
+    g = gram(rows, [f"x{i}" for i in range(p)], [f"y{i}" for i in range(v)])
+    known = saved(dosages.groupBy(*KEYS).agg(F.coalesce(F.avg("dosage"), F.lit(0.0)).alias("mean")))
+    blocks, parts = max(1, -(-g.n // rows_in_tile)), max(1, -(-known.count() // variants_in_tile))
+    rows = saved(rows.withColumn("block", F.pmod(F.xxhash64("fid"), F.lit(blocks)).cast("int")))
+    named = rows.select("subject", "block").distinct()
+    cells = dosages.join(named, F.col("iid") == F.col("subject")).where("dosage is not null").select("snp_id", "subject", "block", F.col("dosage").cast("double").alias("dosage"))
+    part = lambda: F.pmod(F.xxhash64("snp_id"), F.lit(parts)).cast("int").alias("part")
+    # a variant without any dosage in a block still needs its mean there
+    means = known.select(*KEYS, "mean", part()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("subject", F.lit(None).cast(rows.schema["subject"].dataType))
+    means = means.withColumn("dosage", F.col("mean"))
+    cells = cells.select(*[F.lit(None).cast(known.schema[k].dataType).alias(k) if k != "snp_id" else F.col(k) for k in KEYS], "dosage", part(), "block", "subject")
+    right = means.select("snp_id", "chr", "bp", "dosage", "part", "block", "subject").unionByName(cells)
+    left = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    share = three(fit.shares, fit.effects)
+    bins = [np.flatnonzero(fit.bins == b) for b in np.unique(fit.bins)]
+    weights = [m if m[2] > 0 else m + np.array([0, 0, 1e-6]) for m in (share[own].mean(axis=0) for own in bins)]
+    beta = fit.gls.beta
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        get = lambda k: a.column(k).to_numpy()
+        stack = lambda k, n: np.stack([get(f"{k}{i}") for i in range(n)], 1) if a.num_rows else np.zeros((0, n))
+        snp = b.column("snp_id").combine_chunks().dictionary_encode()
+        mean = b.filter(pa.compute.is_null(b.column("subject")))
+        order = pa.compute.index_in(mean.column("snp_id"), snp.dictionary).to_numpy()
+        m = len(mean)
+        if not a.num_rows or not m:
+            return pa.table({"snp_id": pa.array([], pa.string()), "chr": pa.array([], pa.string()), "bp": pa.array([], pa.int64()), "m": pa.array([], pa.list_(pa.float64()))})
+        x, y = stack("x", p), stack("y", v)
+        base = stack("b", len(bs)) if bs else np.ones((len(x), 1))
+        subject = a.column("subject").combine_chunks().dictionary_encode()
+        full = np.empty((len(subject.dictionary), m))
+        full[:, order] = mean.column("dosage").to_numpy()[None, :]
+        own = b.filter(pa.compute.is_valid(b.column("subject")))
+        at = pa.compute.index_in(own.column("snp_id"), snp.dictionary).to_numpy()
+        full[pa.compute.index_in(own.column("subject"), subject.dictionary).to_numpy(), at] = own.column("dosage").to_numpy()
+        t = full[subject.indices.to_numpy()][:, :, None] * base[:, None, :]  # rows, variants, basis
+        groups, flat = Groups(get("fid"), get("iid")), t.reshape(len(x), -1)
+        res, out = y - x @ beta, []
+        cross = lambda u, w: np.einsum("nmi,nmj->mij", u, w).reshape(m, -1)
+        with_all = lambda u, w: np.einsum("nmi,nj->mij", u, w, optimize=True).reshape(m, -1)
+        for s, ids in zip(weights, bins, strict=True):
+            wt = groups.apply_inverse(flat, s).reshape(t.shape)
+            out += [cross(t, wt), with_all(wt, x), with_all(wt, res[:, ids])]
+        out += [cross(t, t), with_all(t, x), with_all(t, res)]
+        sums = np.concatenate(out, 1)[order]  # in the order of ``mean``
+        ends = pa.array(np.arange(m + 1) * sums.shape[1], pa.int32())
+        return pa.table({k: mean.column(k) for k in KEYS} | {"m": pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))})
+
+    sums = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(tile, "snp_id string, chr string, bp long, m array<double>")
+    sums = combine(sums, KEYS)
+    x_res, rss = g.xy - g.xx @ beta, g.yy - 2 * (beta * g.xy).sum(0) + np.einsum("iv,ij,jv->v", beta, g.xx, beta)
+    df, cov, xx, n_rows = g.n - p - q, fit.gls.cov if fit.gls.cov.ndim == 3 else np.stack([fit.gls.cov] * v), g.xx, g.n
+
+    def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for snp, chrom, bp, dosage in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                g0 = np.array([np.nan if d is None else d for d in dosage], float)
-                g0 = np.where(np.isfinite(g0), g0, np.nanmean(g0) if np.isfinite(g0).any() else 0.0)
-                g = g0[subject][:, None] * b
-                for own, share, wx, xwx, res, wres in parts.values():
-                    t = g - x @ (xwx @ (wx.T @ g))
-                    wt = apply_inverse(t, fid, iid, share)
-                    a = t.T @ wt
-                    good = np.linalg.matrix_rank(a, tol=1e-8 * max(1.0, float(np.abs(g).max()) ** 2 * len(g))) == q
-                    inv = np.linalg.pinv(a, hermitian=True)
-                    beta = inv @ (t.T @ wres)
-                    # the residual sum from products alone: y'y - 2 b'g'y + b'g'g b
-                    sse = (res * res).sum(0) - 2 * (beta * (t.T @ res)).sum(0) + np.einsum("iy,ij,jy->y", beta, t.T @ t, beta)
-                    mse = sse / df
-                    se = np.sqrt(np.maximum(np.diag(inv)[:, None] * mse, 0))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        z = beta / se
-                        wald = np.einsum("iy,ij,jy->y", beta, a, beta) / mse
-                    logp, wp = np.abs(signed_log10p(np.nan_to_num(z))), -chi2_log10sf(np.nan_to_num(wald), q)
-                    for j, k in enumerate(own):
-                        for i in range(q):
-                            row = (float(beta[i, j]), float(se[i, j]), float(z[i, j]), float(logp[i, j]), float(wald[j]), float(wp[j])) if good else (None,) * 6
-                            out.append((snp, chrom, bp, names[k], i, *row))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], RESULT)
-
-    return variants.select("snp_id", "chr", "bp", "dosages").mapInArrow(run, KIND)
-
-
-RESULT = ["snp_id", "chr", "bp", "y_id", "basis_id", "beta", "se", "t", "logp", "wald", "wald_logp"]
-KIND = "snp_id string, chr string, bp long, y_id string, basis_id int, beta double, se double, t double, logp double, wald double, wald_logp double"
-
-
-def sex_basis(sex: np.ndarray) -> np.ndarray:
-    """Two columns, one for each sex, for a variant's effect within each."""
-    levels = np.unique(sex)
-    return (sex[:, None] == levels[None, :]).astype(float)
-
-
-def with_main(basis: np.ndarray) -> np.ndarray:
-    """Basis functions with a column of ones for the main effect."""
-    return np.concatenate((basis, np.ones((len(basis), 1))), 1)
+            k = batch.num_rows
+            if not k:
+                continue
+            flat, at = batch.column(3).flatten().to_numpy().reshape(k, -1), 0
+
+            def take(*shape: int) -> np.ndarray:
+                nonlocal at
+                n = int(np.prod(shape))
+                at += n
+                return flat[:, at - n : at].reshape(k, *shape)  # noqa: B023
+
+            by_bin = [(take(q, q), take(q, p), take(q, len(own))) for own in bins]
+            tt, tx, tres = take(q, q), take(q, p), take(q, v)
+            found = {name: np.full((k, v, q), np.nan) for name in ("beta", "se")}
+            wald, bad = np.full((k, v), np.nan), np.ones((k, v), bool)
+            for own, (twt, twx, twr) in zip(bins, by_bin, strict=True):
+                m = np.einsum("ij,kqj->kiq", cov[own[0]], twx)
+                a = twt - np.einsum("kqi,kir->kqr", twx, m)
+                low = np.linalg.eigvalsh((a + a.transpose(0, 2, 1)) / 2)[:, 0]
+                good = low > 1e-8 * np.maximum(1.0, np.trace(twt, axis1=1, axis2=2))
+                inv = np.linalg.pinv(a, hermitian=True)
+                b = inv @ twr
+                left_tt = tt - np.einsum("kqi,kir->kqr", tx, m) - np.einsum("kiq,kri->kqr", m, tx) + np.einsum("kiq,ij,kjr->kqr", m, xx, m)
+                left_res = tres[:, :, own] - np.einsum("kiq,iv->kqv", m, x_res[:, own])
+                sse = rss[own] - 2 * (b * left_res).sum(1) + np.einsum("kqv,kqr,krv->kv", b, left_tt, b)
+                mse = np.maximum(sse, 0) / df
+                se = np.sqrt(np.maximum(np.einsum("kqq->kq", inv)[:, :, None] * mse[:, None, :], 0))
+                found["beta"][:, own], found["se"][:, own] = b.transpose(0, 2, 1), se.transpose(0, 2, 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    wald[:, own] = np.einsum("kqv,kqr,krv->kv", b, a, b) / mse
+                bad[:, own] = ~good[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                z = found["beta"] / found["se"]
+            clean = np.nan_to_num(z).ravel()
+            logp = np.abs(signed_log10p(clean)) if test == "z" else -chi2_log10sf(clean**2, 1) if test == "chi" else -np.log10(np.maximum(t_sf2(np.abs(clean), df), 1e-320))
+            wp = np.repeat(-chi2_log10sf(np.nan_to_num(wald).ravel(), q), q)
+            null = np.repeat(bad.ravel(), q)
+            number = lambda x: pa.array(np.asarray(x, float).ravel(), mask=null)  # noqa: B023, E731
+            columns = [batch.column(i).take(pa.array(np.repeat(np.arange(k), v * q))) for i in range(3)]
+            columns += [pa.array(np.tile(np.repeat(np.array(ys, object), q), k), pa.string()), pa.array(np.tile(np.arange(q, dtype=np.int32), k * v))]
+            columns += [number(x) for x in (found["beta"], found["se"], z, logp, np.repeat(wald.ravel(), q), wp)] + [pa.array(null)]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in KIND.split(", ")])
+
+    return sums.mapInArrow(estimates, KIND)
+
+
+def with_main(basis: list[str], one: str = "Intercept") -> list[str]:
+    """Basis columns with that of ones, for the main effect."""
+    return [*basis, one]
+
+
+def sex_basis(design: DataFrame, sex: str) -> tuple[DataFrame, list[str]]:
+    """A 0/1 column for each sex, for a variant's effect within each."""
+    levels = sorted(r[0] for r in design.select(sex).where(F.col(sex).isNotNull()).distinct().limit(10).collect())
+    return design.withColumns({f"{sex}_{k}": (F.col(sex) == F.lit(k)).cast("double") for k in levels}), [f"{sex}_{k}" for k in levels]
 
 
 def gather(parts: list[DataFrame]) -> DataFrame:

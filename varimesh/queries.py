@@ -642,18 +642,41 @@ def _(spark, d):
     return resample.enhance(long.select(F.lit("mean").alias("map_id"), F.col("pos").cast("long").alias("pos"), "value"), grid_edges(spark, (4, 4, 4)))
 
 
+def dosages(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers stand for variants and customers for subjects; dosages from arithmetic on their keys, one in 31 missing."""
+    s = t(spark, d, "supplier").select(F.concat(F.lit("rs"), F.col("s_suppkey")).alias("snp_id"), (F.col("s_nationkey") % 22 + 1).cast("string").alias("chr"), F.col("s_suppkey").cast("long").alias("bp"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("iid"))
+    a, b = F.col("bp"), F.col("iid")
+    value = ((a * 7 + b * 13 + F.floor(a * b / 8) % 5 + F.floor(b / 9) * (a % 4)) % 3).cast("double")
+    return s.join(c, F.lit(True)).withColumn("dosage", F.when((a * 3 + b) % 31 != 0, value))  # every subject has every variant: this is the genotype table itself
+
+
+GENO = """c AS (SELECT c_custkey AS iid, c_custkey // 50 AS fid, length(c_mktsegment) / 10.0e0 AS x, CAST(c_acctbal AS DOUBLE) / 1000 AS y FROM customer),
+raw AS (SELECT s_suppkey AS bp, iid, fid, x, y, CASE WHEN (s_suppkey * 3 + iid) % 31 <> 0 THEN CAST((s_suppkey * 7 + iid * 13 + (s_suppkey * iid // 8) % 5 + (iid // 9) * (s_suppkey % 4)) % 3 AS DOUBLE) END AS g0 FROM supplier, c),
+geno AS (SELECT bp, iid, fid, x, y, coalesce(g0, avg(g0) OVER (PARTITION BY bp)) AS g FROM raw)"""
+# the variant, x and y with 1 and x taken out, by variant
+PARTIAL = """m AS (SELECT bp, count(*) AS n, regr_sxx(g, x) AS sxx, regr_sxy(g, x) AS sgx, regr_sxy(y, x) AS syx, var_pop(g) * count(*) AS sgg, var_pop(y) * count(*) AS syy, covar_pop(g, y) * count(*) AS sgy FROM geno GROUP BY bp),
+r AS (SELECT bp, n, sgg - sgx * sgx / sxx AS gg, sgy - sgx * syx / sxx AS gy, syy - syx * syx / sxx AS yy FROM m)"""
+
+
+@query("gw02_gwas_ols", f"""WITH {GENO}, {PARTIAL} SELECT 'rs' || bp AS snp_id, round(gy / gg, 6) + 0e0 AS beta, round(sqrt((yy - gy * gy / gg) / (n - 3) / gg), 6) AS se,
+  round(gy / gg / sqrt((yy - gy * gy / gg) / (n - 3) / gg), 4) + 0e0 AS t FROM r""")
+def _(spark, d):
+    """Each variant with errors alone."""
+    from varimesh.operators import gwas
+
+    df = small(spark, d)
+    out = gwas.gwas(dosages(spark, d), df, mixed.fit(df, XS, ["y1"], ("E",)))
+    return rounded(rounded(out.select("snp_id", "beta", "se", "t"), 6, "beta", "se"), 4, "t")
+
+
 @query("gw03_gwas")
 def _(spark, d):
-    """Suppliers stand for variants with dosages from hashes, customers for subjects in families."""
+    """Each variant with family covariance, as a main effect and in interaction with x1."""
     from varimesh.operators import gwas
 
     df = small(spark, d)
-    f = mixed.fit(df, XS, ["y1"], ("F", "E"))
-    rows = df.select("fid", "iid", *XS, "y1").orderBy("iid").toPandas()  # subjects by columns
-    n = len(rows)
-    s = t(spark, d, "supplier").select(F.concat(F.lit("rs"), F.col("s_suppkey")).alias("snp_id"), (F.col("s_nationkey") % 22 + 1).cast("string").alias("chr"), F.col("s_suppkey").cast("long").alias("bp"))
-    dosage = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.xxhash64("bp", i), F.lit(3)).cast("tinyint"))
-    return gwas.gather([gwas.gwas(gwas.split(s, chunk=25).withColumn("dosages", dosage), rows[XS].to_numpy(float), rows[["y1"]].to_numpy(float), ["y1"], rows["fid"].to_numpy(), rows["iid"].to_numpy(), mixed.three(f.shares, f.effects), f.bins, np.arange(n))])
+    return gwas.gather([gwas.gwas(dosages(spark, d), df, mixed.fit(df, XS, ["y1"], ("F", "E")), gwas.with_main(["x1"]), "t")])
 
 
 @query("xf23_genotype_scaling", """WITH g AS (SELECT p_partkey, [CAST(p_size % 3 AS DOUBLE), CAST(p_partkey % 3 AS DOUBLE), 1.0] AS d FROM part)

@@ -83,6 +83,12 @@ def genotypes(spark: SparkSession, stem: str, iids: list[str] | None = None, snp
     return bed.join(bim, "row").select("snp_id", "chr", "bp", "dosages")
 
 
+def long_dosages(variants: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``(snp_id, chr, bp, iid, dosage)`` from dosage arrays; ``subjects`` has each ``iid`` with its ``place`` in them."""
+    long = variants.select("snp_id", "chr", "bp", F.posexplode("dosages").alias("place", "dosage"))
+    return long.join(subjects.select("iid", "place"), "place").select("snp_id", "chr", "bp", "iid", "dosage")
+
+
 def standardise(df: DataFrame, how: str = "none", impute: bool = True, round_off: bool = False) -> DataFrame:
     """Dosages as doubles: mean-imputed, rounded to at most 2, then ``center``, ``empirical`` (standard deviation) or ``gcta`` (allele frequency) scaled.
 
