@@ -117,6 +117,11 @@ def delta(df: DataFrame, column: str, subject: str = "iid", order: str = "eid")
     return df.join(base, subject).withColumn(f"{column}_delta", F.col(column) - F.col(f"{column}_baseline"))
 
 
+def baseline_square(column: str) -> Column:
+    """Twice the square of a baseline that :func:`delta` made."""
+    return F.col(f"{column}_baseline") ** 2 * 2
+
+
 def levels(df: DataFrame, column: str, reference: str = "mode", most: int = 10_000) -> tuple[list, object]:
     """Sorted levels and the one left out: ``mode`` (ties: first in order), ``first``, ``last``, ``none`` or a level; an unknown level means the mode."""
     rows = df.where(F.col(column).isNotNull()).groupBy(column).count().limit(most + 1).collect()

@@ -181,6 +181,14 @@ def wald(fit: Fit, contrasts: list[np.ndarray], hypothesis: float = 0.0, use_f:
     return out
 
 
+def omnibus(fit: Fit, prefixes: list[str], use_f: bool = False) -> list[tuple]:
+    """A joint Wald test of all columns of each variable, such as those of its spline: the terms that begin with its name and an underscore."""
+    sets = [np.eye(len(fit.terms))[[i for i, t in enumerate(fit.terms) if t == p or t.startswith(f"{p}_")]] for p in prefixes]
+    if empty := [p for p, s in zip(prefixes, sets, strict=True) if not len(s)]:
+        raise ValueError(f"no column of {', '.join(empty)}")
+    return wald(fit, sets, use_f=use_f)
+
+
 def delta_r2(df: DataFrame, full: Fit, reduced: Fit) -> float:
     """Mean share of the outcomes' variance that the full model's fitted values have over the reduced one's."""
     def share(fit: Fit) -> float:

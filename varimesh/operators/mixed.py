@@ -15,6 +15,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .linear import Fit, Gram, gram, nearest_spd, ols, residuals
 
@@ -41,6 +42,12 @@ def family_types(df: DataFrame) -> DataFrame:
     return per.groupBy("fid").agg(F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_subjects"), F.array_sort(F.collect_list("n")).alias("shape"))
 
 
+def type_ids(families: DataFrame) -> DataFrame:
+    """``type_id`` for what :func:`family_types` gives: shapes numbered by the smallest family that has each, from 1."""
+    seen = families.groupBy("shape").agg(F.min("fid").alias("first"))
+    return families.join(F.broadcast(seen.select("shape", F.row_number().over(Window.orderBy("first")).alias("type_id"))), "shape")  # a row for each shape
+
+
 def nnls_by_subsets(mm: np.ndarray, md: np.ndarray, dd: float) -> np.ndarray:
     """Non-negative least squares from normal equations: of all subsets of effects, solved and clipped at zero, the one with the least cost."""
     best, cost = np.zeros(len(md)), None

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varimesh.functions.dist import _column, gamma_fit, gamma_logsf, norm_ppf
+from varimesh.functions.dist import _column, chi2_log10p_col, gamma_fit, gamma_logsf, norm_ppf
 
 from .mixed import MixedFit, scores
 
@@ -90,19 +90,46 @@ def family_wise_p(perms: DataFrame, over: list[str], keys: list[str], value: str
     return out.select(*keys, "observed", (-F.log10((F.col("above") + 1) / (F.col("n") + 1))).alias("logp"))
 
 
-def tail_p(perms: DataFrame, keys: list[str], value: str = "z", quantile: float = 0.95) -> DataFrame:
-    """p-values beyond the resamples' range: a gamma law fitted to the squared statistics from their moments continues the empirical tail."""
+def tail_p(perms: DataFrame, keys: list[str], value: str = "z", quantile: float = 0.95, law: str = "gamma") -> DataFrame:
+    """p-values beyond the resamples' range: a law fitted from the moments of the squared statistics continues the empirical tail.
+
+    ``gamma`` and ``extreme`` (Gumbel) are fitted to all of them, ``chi2`` with the mean as its degrees of freedom, and ``pareto``, the generalised one, to what
+    exceeds the ``quantile``.
+    """
     x = F.col(value) ** 2
     seen = perms.where("perm_id = 0").select(*keys, x.alias("observed"))
-    rest = perms.where("perm_id > 0")
-    fit = rest.groupBy(*keys).agg(F.avg(x).alias("m"), F.var_samp(x).alias("v"), F.percentile(x, F.lit(quantile)).alias("cut"))
+    rest = perms.where("perm_id > 0").select(*keys, x.alias("x"))
+    fit = rest.groupBy(*keys).agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.percentile("x", F.lit(quantile)).alias("cut"), F.count("x").alias("n"))
     rows = fit.join(seen, keys)
 
     def logp(m, v, obs):
         return [-gamma_logsf(o / (b / a), a * a / b) / np.log(10) for a, b, o in zip(m, v, obs, strict=True)]
 
-    far = rows.withColumn("tail", _column(logp, F.col("m"), F.col("v"), F.col("observed")))
-    return far.join(rank_p(perms, keys, value).select(*keys, "logp"), keys).select(*keys, F.when(F.col("observed") > F.col("cut"), F.col("tail")).otherwise(F.col("logp")).alias("logp"))
+    m, v, o, cut = (F.col(c) for c in ("m", "v", "observed", "cut"))
+    if law == "gamma":
+        rows = rows.withColumn("tail", _column(logp, m, v, o))
+    elif law == "chi2":
+        rows = rows.withColumn("tail", chi2_log10p_col(o, m))
+    elif law == "extreme":
+        scale = F.sqrt(F.nullif(v, F.lit(0.0)) * 6) / np.pi
+        rows = rows.withColumn("tail", -F.log10(-F.expm1(-F.exp(-(o - (m - scale * np.euler_gamma)) / scale))))
+    elif law == "pareto":
+        over = rest.join(fit, keys).where(F.col("x") > cut).groupBy(*keys).agg(F.avg(F.col("x") - cut).alias("em"), F.var_samp(F.col("x") - cut).alias("ev"), F.count("x").alias("above"))
+        rows = rows.join(over, keys, "left")
+        em, ev = F.col("em"), F.nullif(F.col("ev"), F.lit(0.0))
+        shape = F.nullif((F.lit(1.0) - em * em / ev) / 2, F.lit(0.0))
+        scale = em * (em * em / ev + 1) / 2
+        sf = F.greatest(F.lit(1.0) + shape * (o - cut) / scale, F.lit(0.0)) ** (F.lit(-1.0) / shape)
+        rows = rows.withColumn("tail", -F.log10(F.greatest(F.col("above") / F.col("n") * sf, F.lit(1e-300))))
+    else:
+        raise ValueError(f"unknown law {law}")
+    own = rank_p(perms, keys, value).select(*keys, "logp")
+    return rows.join(own, keys).select(*keys, F.when(o > cut, F.coalesce("tail", "logp")).otherwise(F.col("logp")).alias("logp"))
+
+
+def sidak(p_log: Column, tests: int) -> Column:
+    """-log10 p for the smallest of so many independent tests."""
+    return -F.log10(-F.expm1(F.log1p(-F.pow(F.lit(10.0), -p_log)) * F.lit(float(tests))))
 
 
 def mediation(full: DataFrame, reduced: DataFrame, term: str, level: float = 0.05) -> dict:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared store; a local one only where none is configured."""
+    """A new folder in the shared store that ``spark.checkpoint.dir`` names. Only a local session, as in tests, may do without and gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="varimesh-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/varimesh-{uuid.uuid4().hex}"

@@ -125,6 +125,71 @@ def map_names(df: DataFrame, column: str, names: dict[str, str]) -> Column:
     return out
 
 
+def region_key(column: Column) -> Column:
+    """A region's name without its suffix of a mean, from what follows the last ``parc__`` on."""
+    return F.substring_index(F.regexp_replace(column, "(_wmean|_mean)$", ""), "parc__", -1)
+
+
+def significant(stats: DataFrame, logp: str, p: float) -> DataFrame:
+    """Rows whose p-value is at most ``p``."""
+    return stats.where(F.abs(logp) >= -F.log10(F.lit(p)))
+
+
+def clean_scores(df: DataFrame, column: str, least: float = 0.0) -> DataFrame:
+    """Input of a plot along the genome: the sizes of finite values, from ``least`` on."""
+    size = F.abs(column)
+    return df.withColumn(column, size).where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) < float("inf")) & (F.col(column) >= least))
+
+
+def mask_by_probability(values: DataFrame, atlas: DataFrame, threshold: float, above: bool = True) -> DataFrame:
+    """Values at places whose tissue probability in ``atlas`` (``pos``, ``probability``) is at least, or else under, the threshold."""
+    keep = F.col("probability") >= threshold if above else F.col("probability") < threshold
+    return values.join(atlas.where(keep).select("pos"), "pos", "left_semi")
+
+
+def visits(df: DataFrame, pattern: str, column: str = "eid") -> DataFrame:
+    """Rows whose visit matches a pattern."""
+    return df.where(F.col(column).rlike(pattern))
+
+
+def recode(column: Column, cases: list[tuple[Column, object]], other: object = None) -> Column:
+    """The value of the first case that holds; a column as ``other`` stands for itself."""
+    out = other if isinstance(other, Column) else F.lit(other)
+    for when, value in reversed(cases):
+        out = F.when(when, F.lit(value)).otherwise(out)
+    return F.when(column.isNotNull(), out)
+
+
+def in_family_order(df: DataFrame, age: str) -> DataFrame:
+    """``place``: a row's place in its family, subjects with more rows first, a subject's rows by ``age``. Only families are ordered, each by itself."""
+    df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("fid", "iid")))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("fid").orderBy(F.desc("_n"), "iid", age))).drop("_n")
+
+
+def running(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """The running total of ``value`` in the order of a column: within ranges, each moved on by the total of those before it."""
+    from .storage import saved
+
+    ranged = saved(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = ranged.groupBy("_part").agg(F.sum(value).alias("_before"))  # a row for each range
+    before = before.withColumn("_before", F.coalesce(F.sum("_before").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(order))
+    return ranged.withColumn(out, own).join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
+def cost_fractions(df: DataFrame, order: str, cost: str, parts: int) -> DataFrame:
+    """``part``: which of ``parts`` stretches of equal cost a row falls in, along the order."""
+    total = df.agg(F.sum(cost)).first()[0] or 0
+    share = F.floor(parts * F.col("_run") / F.lit(float(total or 1)))
+    return running(df, order, cost, "_run").withColumn("part", F.least(share, F.lit(parts - 1)).cast("long")).drop("_run")
+
+
+def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
+    """``(bucket, n, total)``: counts of cells of a width, and their running total."""
+    cells = df.where(F.col(column).isNotNull()).groupBy(F.floor(F.col(column) / width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.withColumn("total", F.sum("n").over(Window.orderBy("bucket")))
+
+
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Area under the curve by rank sums over distinct scores; ties count one half. Scores are ordered in ranges with running counts, so no task sorts them all."""
     from .storage import saved

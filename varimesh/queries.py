@@ -201,8 +201,9 @@ def _(spark, d):
 
 @query("xf27_recode", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS grade, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment FROM customer")
 def _(spark, d):
-    grade = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
-    segment = F.coalesce(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), F.lit("none"))
+    b, m = F.col("c_acctbal"), F.col("c_mktsegment")
+    grade = tables.recode(b, [(b < 0, "debt"), (b < 5000, "low")], "high")
+    segment = tables.recode(m, [(m == "BUILDING", "none")], m)
     return t(spark, d, "customer").select("c_custkey", grade.alias("grade"), segment.alias("segment"))
 
 
@@ -478,17 +479,7 @@ def _(spark, d):
 @query("wn10_cost_fractions", "SELECT p_partkey, CAST(least(floor(4 * (sum(p_size) OVER (ORDER BY p_partkey)) / (sum(p_size) OVER ()::DOUBLE)), 3) AS BIGINT) AS part FROM part")
 def _(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("s"))
-    ranged = p.repartitionByRange("p_partkey").withColumn("r", F.spark_partition_id())
-    from varimesh.operators.storage import saved
-
-    ranged = saved(ranged)
-    sums = {r["r"]: r["s"] for r in ranged.groupBy("r").agg(F.sum("s").alias("s")).collect()}
-    total, before, at = sum(sums.values()), {}, 0
-    for k in sorted(sums):
-        before[k], at = at, at + sums[k]
-    start = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])[F.col("r")]
-    running = F.sum("s").over(Window.partitionBy("r").orderBy("p_partkey")) + start
-    return ranged.select("p_partkey", F.least(F.floor(4 * running / F.lit(float(total))), F.lit(3)).cast("long").alias("part"))
+    return tables.cost_fractions(p, "p_partkey", "s", 4).select("p_partkey", "part")
 
 
 @query("snk09_json_by_outcome")
@@ -707,8 +698,7 @@ def _(spark, d):
 
 @query("wn13_histogram", f"WITH {OBS}, h AS (SELECT CAST(floor(y1 / 0.25) AS BIGINT) AS bucket, count(*) AS n FROM obs GROUP BY 1) SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS total FROM h")
 def _(spark, d):
-    h = obs(spark, d).groupBy(F.floor(F.col("y1") / 0.25).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return h.withColumn("total", F.sum("n").over(Window.orderBy("bucket")))
+    return tables.histogram(obs(spark, d), "y1", 0.25)
 
 
 @query("wn12_spline_curve")
@@ -744,8 +734,80 @@ def _(spark, d):
 @query("gw10_manhattan_input", f"WITH {OBS} SELECT fid, iid, round(abs(y3), 6) AS logp FROM obs WHERE abs(y3) >= 0.05")
 def _(spark, d):
     """Clean-up of plot input: finite values at or above a threshold, by size."""
-    size = F.abs("y3")
-    return obs(spark, d).where(F.col("y3").isNotNull() & ~F.isnan("y3") & (size < float("inf")) & (size >= 0.05)).select("fid", "iid", F.round(size, 6).alias("logp"))
+    return tables.clean_scores(obs(spark, d), "y3", 0.05).select("fid", "iid", F.round("y3", 6).alias("logp"))
+
+
+@query("xf34_region_key", "SELECT p_partkey, regexp_replace(p_type, ' (TIN|NICKEL)$', '') AS region FROM part")
+def _(spark, d):
+    """Names of regions as files have them: a parcellation in front, a suffix of a mean behind."""
+    p = t(spark, d, "part").select("p_partkey", F.concat(F.lit("smri_parc__"), F.regexp_replace(F.regexp_replace("p_type", " TIN$", "_wmean"), " NICKEL$", "_mean")).alias("k"))
+    return p.select("p_partkey", tables.region_key(F.col("k")).alias("region"))
+
+
+@query("flt12_significant", f"WITH {OBS} SELECT fid, iid, round(y1, 6) AS y1 FROM obs WHERE y1 >= -log10(0.00001)")
+def _(spark, d):
+    return tables.significant(obs(spark, d), "y1", 1e-5).select("fid", "iid", F.round("y1", 6).alias("y1"))
+
+
+@query("flt14_mask", "SELECT l_partkey AS pos, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 25) GROUP BY 1")
+def _(spark, d):
+    atlas = t(spark, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") / 50.0).alias("probability"))
+    return tables.mask_by_probability(t(spark, d, "lineitem").select(F.col("l_partkey").alias("pos")), atlas, 0.5).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flt15_visits", "SELECT event_type, count(*) AS n FROM events WHERE regexp_matches(event_type, '^[a-m]') GROUP BY 1")
+def _(spark, d):
+    return tables.visits(t(spark, d, "events"), "^[a-m]", "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("xf28_baseline_square", """WITH b AS (SELECT user_id, min_by(value, struct_pack(ts, event_id)) AS base FROM events GROUP BY 1)
+SELECT event_id, round(base * base * 2, 6) AS x FROM events JOIN b USING (user_id)""")
+def _(spark, d):
+    e = tr.delta(t(spark, d, "events").withColumn("at", F.struct("ts", "event_id")), "value", "user_id", "at")
+    return e.select("event_id", F.round(tr.baseline_square("value"), 6).alias("x"))
+
+
+@query("ag07_type_ids", """WITH p AS (SELECT o_custkey AS fid, l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+f AS (SELECT fid, array_to_string(list_sort(list(n)), ',') AS shape FROM p GROUP BY 1), s AS (SELECT shape, row_number() OVER (ORDER BY min(fid)) AS type_id FROM f GROUP BY 1)
+SELECT fid, type_id FROM f JOIN s USING (shape)""")
+def _(spark, d):
+    return mixed.type_ids(mixed.family_types(obs(spark, d).select("fid", "iid"))).select("fid", F.col("type_id").cast("long").alias("type_id"))
+
+
+@query("ag20_omnibus", f"""WITH {OBS}, m AS (SELECT count(*) AS n, regr_sxx(x1, x1) AS a, regr_sxy(x1, x2) AS b, regr_sxx(x2, x2) AS c, regr_sxy(y1, x1) AS u, regr_sxy(y1, x2) AS v, regr_sxx(y1, y1) AS s FROM obs),
+e AS (SELECT *, (c * u * u - 2 * b * u * v + a * v * v) / (a * c - b * b) AS ss FROM m) SELECT round(ss / ((s - ss) / (n - 3)), 2) AS wald, CAST(2 AS BIGINT) AS df FROM e""")
+def _(spark, d):
+    """All columns of one variable at once, as of a spline."""
+    df = obs(spark, d).withColumnsRenamed({"x1": "x_1", "x2": "x_2"})
+    rows = linear.omnibus(linear.ols(linear.gram(df, ["Intercept", "x_1", "x_2"], ["y1"])), ["x"])
+    return spark.createDataFrame([(round(w, 2), k) for _, _, w, k, _ in rows], "wald double, df long")
+
+
+@query("wn04_family_order", f"WITH {OBS}, n AS (SELECT *, count(*) OVER (PARTITION BY fid, iid) AS k FROM obs), o AS (SELECT fid, iid, row_number() OVER (PARTITION BY fid ORDER BY k DESC, iid, l_shipdate) AS place FROM n) SELECT fid, iid, CAST(sum(place) AS BIGINT) AS places FROM o GROUP BY ALL")
+def _(spark, d):
+    placed = tables.in_family_order(obs(spark, d), "l_shipdate")
+    return placed.groupBy("fid", "iid").agg(F.sum("place").cast("long").alias("places"))
+
+
+SQUARED = f"""{PERM}, q AS (SELECT term, perm_id, z * z AS x FROM p), k AS (SELECT term, avg(x) AS m, var_samp(x) AS v, quantile_cont(x, 0.5) AS cut, count(*) AS n FROM q WHERE perm_id > 0 GROUP BY term),
+o AS (SELECT term, x AS observed FROM q WHERE perm_id = 0), rk AS (SELECT q.term, -log10((count(*) FILTER (x > observed) + 1) / (count(*) + 1.0)) AS logp FROM q JOIN o ON q.term = o.term WHERE perm_id > 0 GROUP BY q.term)"""
+
+
+def perms(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("term"), (F.col("l_orderkey") % 50).alias("perm_id")).agg(F.max(F.col("l_quantity").cast("double")).alias("z"))
+
+
+@query("wn08_extreme_value_tail", f"""WITH {SQUARED}, g AS (SELECT term, m, cut, observed, sqrt(6 * v) / pi() AS s, logp FROM k JOIN o USING (term) JOIN rk USING (term))
+SELECT term, round(CASE WHEN observed > cut THEN -log10(1 - exp(-exp(-(observed - (m - s * 0.5772156649015329)) / s))) ELSE logp END, 6) AS logp FROM g""")
+def _(spark, d):
+    return rounded(resample.tail_p(perms(spark, d), ["term"], quantile=0.5, law="extreme"), 6, "logp")
+
+
+@query("wn09_pareto_tail", f"""WITH {SQUARED}, e AS (SELECT q.term, avg(x - cut) AS em, var_samp(x - cut) AS ev, count(*) AS above FROM q JOIN k ON q.term = k.term WHERE perm_id > 0 AND x > cut GROUP BY q.term),
+g AS (SELECT k.term, cut, observed, n, above, (1 - em * em / ev) / 2 AS c, em * (em * em / ev + 1) / 2 AS s, logp FROM k JOIN o ON k.term = o.term JOIN rk ON k.term = rk.term LEFT JOIN e ON k.term = e.term)
+SELECT term, round(CASE WHEN observed > cut THEN coalesce(-log10(greatest(above / n::DOUBLE * greatest(1 + c * (observed - cut) / s, 0) ^ (-1 / c), 1e-300)), logp) ELSE logp END, 6) AS logp FROM g""")
+def _(spark, d):
+    return rounded(resample.tail_p(perms(spark, d), ["term"], quantile=0.5, law="pareto"), 6, "logp")
 
 
 def queries() -> dict[str, Query]:
