@@ -249,35 +249,44 @@ class Model:
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss in nats over classes, and its gradients."""
-        w, scale = self.weights, np.float32(1 / np.sqrt(DIM))
-        e = w["e"][x] + w["p"]
-        own = e[:, BACK:]
-        q, k, v = own @ w["q"], e @ w["k"], e @ w["v"]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * scale
-        s += np.where(np.arange(WINDOW)[None, :] > np.arange(BACK, WINDOW)[:, None], np.float32(-1e9), np.float32(0))
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s)
+        w, many = self.weights, len(x)
+        scale, flat2 = w["e"].dtype.type(1 / np.sqrt(DIM)), lambda a: a.reshape(-1, a.shape[-1])
+        e = w["e"][x]
+        e += w["p"]
+        own = np.ascontiguousarray(e[:, BACK:])
+        # products with a matrix are made of all rows at once, not window by window
+        q, k, v = (flat2(a) @ w[name] for a, name in ((own, "q"), (e, "k"), (e, "v")))
+        q, k, v = q.reshape(many, STRIDE, DIM), k.reshape(many, WINDOW, DIM), v.reshape(many, WINDOW, DIM)
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= scale
+        a += np.where(np.arange(WINDOW)[None, :] > np.arange(BACK, WINDOW)[:, None], scale.dtype.type(-1e9), scale.dtype.type(0))
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
         o = np.matmul(a, v)
-        z = (o @ w["c"]).reshape(-1, self.after.shape[1]) + self.after[x[:, BACK:].ravel()]
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
+        p = flat2(o) @ w["c"]
+        p += self.after[x[:, BACK:].ravel()]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         flat = y.ravel()
         real = flat >= 0
         goal, n = self.class_of[np.maximum(flat, 0)], max(1, int(real.sum()))
-        loss = -float(np.log(p[np.arange(len(p)), goal][real] + 1e-30).sum()) / n
-        p[np.arange(len(p)), goal] -= 1
-        p *= (real / n).astype(np.float32)[:, None]
-        dz = p.reshape(*y.shape, -1)
-        g = {"c": np.tensordot(o, dz, ((0, 1), (0, 1)))}
-        do = dz @ w["c"].T
+        at = np.arange(len(p))
+        loss = -float(np.log(p[at, goal][real] + 1e-30).sum()) / n
+        p[at, goal] -= 1
+        p *= (real / n).astype(p.dtype)[:, None]
+        g = {"c": flat2(o).T @ p}
+        do = (p @ w["c"].T).reshape(o.shape)
         da = np.matmul(do, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-        dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)
-        g["q"], g["k"], g["v"] = (np.tensordot(left, d, ((0, 1), (0, 1))) for left, d in ((own, dq), (e, dk), (e, dv)))
-        de = dk @ w["k"].T + dv @ w["v"].T
-        de[:, BACK:] += dq @ w["q"].T
+        dv = np.matmul(a.transpose(0, 2, 1), do)
+        da -= np.einsum("nst,nst->ns", da, a)[:, :, None]
+        da *= a
+        da *= scale
+        dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+        g["q"], g["k"], g["v"] = (flat2(left).T @ flat2(d) for left, d in ((own, dq), (e, dk), (e, dv)))
+        de = (flat2(dk) @ w["k"].T + flat2(dv) @ w["v"].T).reshape(e.shape)
+        de[:, BACK:] += (flat2(dq) @ w["q"].T).reshape(dq.shape)
         g["p"] = de.sum(axis=0)
         rows = x.ravel()
         order = np.argsort(rows, kind="stable")
@@ -385,10 +394,10 @@ def _averaged(tok: DataFrame, model: Model, shards: int) -> dict[str, np.ndarray
             reads.append(read), goals.append(scored)
             n += len(read)
             if sum(map(len, reads)) >= 20_000:
-                own.fit(np.concatenate(reads), np.concatenate(goals), 2e-3, batch=512, state=state)
+                own.fit(np.concatenate(reads), np.concatenate(goals), 2e-3, batch=256, state=state)
                 reads, goals = [], []
         if reads and sum(map(len, reads)):
-            own.fit(np.concatenate(reads), np.concatenate(goals), 2e-3, batch=512, state=state)
+            own.fit(np.concatenate(reads), np.concatenate(goals), 2e-3, batch=256, state=state)
         if n:
             flat = np.concatenate([own.weights[k].ravel() for k, _ in shapes]).astype(float) * n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(n)))], ["i", "x", "n"])
