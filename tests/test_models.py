@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varimesh.functions import dist, splines
-from varimesh.operators import blocks, gwas, linear, mixed, resample
+from varimesh.operators import arrays, blocks, gwas, linear, mixed, resample
 from varimesh.plans import design, model, spec
 
 RNG = np.random.default_rng(5)
@@ -195,6 +195,20 @@ def test_gwas_against_dense(spark, data):
     assert chi.loc[("rs1", "y")].logp == pytest.approx(got.loc[("rs1", "y")].logp, rel=1e-6)
 
 
+def test_array_outcomes_as_columns(spark, data):
+    """A model of an array column is that of its places as columns, for each set of effects, bins or none; families lie across batches and tasks."""
+    df, _ = data
+    wide = df.withColumn("a", F.array("y", "z", F.col("y") + 2 * F.col("z"))).withColumn("y3", F.col("y") + 2 * F.col("z")).repartition(5)
+    for effects, n_bins in ((("F", "S", "E"), 20), (("S", "E"), 0), (("F", "E"), 20)):
+        want = mixed.fit(wide, ["one", "x"], ["y", "z", "y3"], effects, n_bins)
+        got = arrays.fit(wide, ["one", "x"], "a", 3, effects, n_bins)
+        assert got.shares == pytest.approx(want.shares) and got.bins.tolist() == want.bins.tolist()
+        assert got.gls.beta == pytest.approx(want.gls.beta) and got.gls.cov == pytest.approx(want.gls.cov)
+    job = spec.from_dict({"params": {"dependent": {"name": ["a"]}, "random": ["F", "S", "E"], "fixed": {"vars": [{"name": "x", "type_var": "continuous"}]}}})
+    run = model.run(job, wide.withColumn("eid", F.monotonically_increasing_id()))
+    assert run.estimates.count() == 6 and run.constant == []
+
+
 def test_design_names_and_order(spark):
     rows = [("a", 1.0, 5.0, "u"), ("a", 2.0, 6.0, "v"), ("b", 3.0, None, "v"), ("b", 4.0, 8.0, "v"), ("c", 5.0, 9.0, "u"), ("c", 6.0, 11.0, "v")]
     df = spark.createDataFrame([(i, i, k, *r) for k, (i, *r) in enumerate(rows)], "fid string, iid string, eid int, age double, w double, site string")

@@ -83,7 +83,12 @@ def hazen(df: DataFrame, column: str, percents: list[float]) -> list[float]:
 
     Exact, from two neighbouring order statistics each: the running counts over distinct values find them without sorting all rows in a task.
     """
-    n = df.agg(F.count(column)).first()[0]
+    from varimesh.operators.storage import saved
+
+    counts = df.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranged = saved(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    before = ranged.groupBy("part").agg(F.sum("c").alias("total"))
+    n = before.agg(F.sum("total")).first()[0]
     if not n:
         return [None] * len(percents)
     at = []
@@ -91,10 +96,11 @@ def hazen(df: DataFrame, column: str, percents: list[float]) -> list[float]:
         x = min(max(p / 100 * n + 0.5, 1.0), float(n))
         at.append((int(x), min(int(x) + 1, n), x - int(x)))
     wanted = sorted({k for lo, hi, _ in at for k in (lo, hi)})
-    ranked = tied_rank(df.select(F.col(column).cast("double").alias("v")).where("v is not null"), "v", "r").groupBy("v").agg(F.first("r").alias("r"), F.count(F.lit(1)).alias("c"))
-    # a value with c copies and average rank r covers the ranks from r - (c-1)/2 to r + (c-1)/2
-    first, last = F.col("r") - (F.col("c") - 1) / 2, F.col("r") + (F.col("c") - 1) / 2
-    got = ranked.agg(*[F.max(F.when((first <= k) & (last >= k), F.col("v"))).alias(f"k{k}") for k in wanted]).first()
+    before = before.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a value with c copies covers the ranks from last - c + 1 to last
+    last = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v"))
+    ranks = ranged.join(F.broadcast(before.select("part", "before")), "part").select("v", "c", last.alias("last"))
+    got = ranks.agg(*[F.max(F.when((F.col("last") - F.col("c") < k) & (F.col("last") >= k), F.col("v"))).alias(f"k{k}") for k in wanted]).first()
     return [got[f"k{lo}"] + w * (got[f"k{hi}"] - got[f"k{lo}"]) for lo, hi, w in at]
 
 
