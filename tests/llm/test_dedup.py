@@ -183,8 +183,15 @@ def line_units(norm):
 
 def line_print(norm):
     """The fingerprint as the docstring has it, with plain integers."""
-    pack = lambda w, i: (xxhash.xxh64_intdigest(w.encode(), 42) & ((1 << 63) - 1) & ~line_dedup.PLACE) - (1 << 63 if len(w) > 4 else 0) + i
-    top = sorted(pack(w, i) for i, w in enumerate(line_units(norm)))[: line_dedup.FEATURES]
+    w = line_units(norm)
+    signed = lambda h, first: (h & ((1 << 63) - 1) & ~line_dedup.PLACE) - (1 << 63 if first else 0)
+    hashed = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+    if len(w) >= line_dedup.MANY_WORDS:
+        last = [xxhash.xxh64_intdigest(b.encode(), hashed(a)) for a, b in zip(w, w[1:], strict=False)] + [hashed(w[-1])]
+        pack = [signed(h, True) + i for i, h in enumerate(last)]
+    else:
+        pack = [signed(hashed(x), len(x) > 4) + i for i, x in enumerate(w)]
+    top = sorted(pack)[: line_dedup.FEATURES]
     long = [x for x in top if x < 0]
     use = long if len(long) >= 3 else top
     h = [xxhash.xxh64_intdigest(((x & ~line_dedup.PLACE) % (1 << 64)).to_bytes(8, "little"), 42) for x in use]
@@ -259,7 +266,7 @@ def test_alike_lines_are_found(spark, n):
 def test_line_fingerprints(spark):
     """The counts in bit planes give the brute-force fingerprint, for few words and many, short and long, repeated and not."""
     rng = np.random.default_rng(3)
-    norms = [" ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 9)))) for _ in range(int(rng.integers(1, 60)))) for _ in range(60)]
+    norms = [" ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 9)))) for _ in range(int(rng.integers(1, 90)))) for _ in range(60)]
     df = line_dedup.units(spark.createDataFrame([(n,) for n in norms], "norm string"))
     got = {r["norm"]: r["fp"] % (1 << 64) for r in line_dedup.fingerprints(df).collect()}
     assert got == {n: line_print(n) for n in norms}
