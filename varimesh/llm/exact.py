@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, shared_dir, whole_text
+from .common import SPACE, in_slots, saved, shared_dir, whole_text
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -90,21 +90,22 @@ def deduplicate(spark: SparkSession, path: str, digest=sha, checkpoint: str | No
     an empty table gives no rows. Should two different texts ever share a digest, the check finds it and that
     digest's rows are grouped by their full texts.
     """
-    docs = spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("locator"))
     if not docs.take(1):
         return docs.select("doc_id", F.lit("").alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    state = run_stream(spark, path, checkpoint or shared_dir(spark), digest).drop("locator")
-    state = saved(state, few=True)
+    state = saved(run_stream(spark, path, checkpoint or shared_dir(spark), digest).withColumnRenamed("locator", "keep_at"), few=True)
     rows = docs.select("doc_id", digest(normalised()).alias("digest"))
-    found = saved(rows.join(state, "digest"), few=True)
-
-    # The check: only rows of groups of two or more are fetched with their texts, once. The text that stays is dealt to as
-    # many salts as its group's size asks for, so no group meets in one task.
-    hits = found.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / rows_per_salt).cast("int"))
-    texts = docs.join(hits.select("doc_id", "digest", "keep_id", "salts").distinct(), "doc_id").where("doc_id is not null")
-    texts = saved(texts.select("doc_id", "digest", "keep_id", "salts", normalised().alias("own_text")))
-    keepers = texts.where("doc_id = keep_id").select("digest", F.col("own_text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    copies = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    found = saved(rows.join(state.drop("keep_at"), "digest"), few=True)
+
+    # The check: only rows of groups of two or more, those without an id too, are fetched with their texts, once. The text that stays is that of
+    # the kept id at the kept locator; it is dealt to as many salts as its group's size asks for, so no group meets in one task.
+    hits = state.where("group_size > 1").select("digest", "keep_id", "keep_at", F.ceil(F.col("group_size") / rows_per_salt).cast("int").alias("salts"), F.xxhash64("digest").alias("slot_of"))
+    texts = docs.withColumn("digest", digest(normalised())).withColumn("slot_of", F.xxhash64("digest"))
+    texts = in_slots(texts, "slot_of", hits, "left_semi").drop("slot_of").join(hits.drop("slot_of"), "digest")
+    texts = saved(texts.select("doc_id", "locator", "digest", "keep_id", "keep_at", "salts", normalised().alias("own_text")))
+    own = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).where("locator = keep_at").dropDuplicates(["digest"])
+    keepers = own.select("digest", F.col("own_text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    copies = texts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int"))
     wrong = copies.join(keepers, ["digest", "salt"]).where("own_text <> kept_text").select("digest").distinct()
     wrong = saved(wrong, few=True)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
