@@ -106,7 +106,11 @@ def learn(sample: DataFrame, pairs: int = 60_000, seed: int = 7) -> Ranking:
 
 
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
-    """``(doc_id, score)`` for every row; a null text is empty."""
+    """``(doc_id, score)`` for every row.
+
+    A null text is empty. A null id is kept; rows that repeat an id or a text are scored each for itself, equal texts alike; an empty table gives no rows;
+    other columns are not read, so their names can't clash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
