@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, byte_bpe, exact, line_dedup, lm, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
+from . import alignment, bpe, byte_bpe, exact, line_dedup, lm, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
 from .common import documents
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_model": quality_model.query,
         "op10_secret_scan": secret_scan.query,
         "op12_byte_bpe": lambda spark, d: byte_bpe.query(documents(spark, d)),
+        "op13_alignment": lambda spark, d: alignment.query(documents(spark, d)),
     }
 
 
