@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, byte_bpe, exact, line_dedup, lm, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
+from . import alignment, bpe, byte_bpe, exact, line_dedup, lm, packing, phrases, quality_model, quality_rules, secret_scan, simhash, toxicity
 from .common import documents
 
 
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact.query,
         "op9_quality_model": quality_model.query,
         "op10_secret_scan": secret_scan.query,
+        "op11_phrases": lambda spark, d: phrases.query(documents(spark, d)),
         "op12_byte_bpe": lambda spark, d: byte_bpe.query(documents(spark, d)),
         "op13_alignment": lambda spark, d: alignment.query(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact.SQL}
+    return {"op8_exact_dedup": exact.SQL, "op11_phrases": phrases.SQL}
