@@ -48,15 +48,17 @@ def gram_arrays(df: DataFrame, xs: list[str], y: str, width: int) -> Gram:
     p = len(xs)
 
     def run(batches):
+        from .arrays import sliced
+
         total, n = np.zeros((p, p + width)), 0
         squares = np.zeros(width)
-        for b in batches:
-            if b.num_rows:
-                x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)], 1).astype(float)
-                m = b.column(p).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
-                total += x.T @ np.concatenate((x, m), 1)
-                squares += (m * m).sum(0)
-                n += len(x)
+        for b in sliced(batches, p):
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)], 1).astype(float)
+            m = b.column(p).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+            total[:, :p] += x.T @ x
+            total[:, p:] += x.T @ m
+            squares += np.einsum("ij,ij->j", m, m)
+            n += len(x)
         flat = np.concatenate((total.ravel(), squares, [n]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "x"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varimesh.functions import transforms as tr
-from varimesh.operators import arrays, blocks, linear, mixed, resample
+from varimesh.operators import array_resample, arrays, blocks, linear, mixed, resample
 from varimesh.operators.storage import saved
 from varimesh.operators.tables import align, check_inputs, dropped, finite, varying
 
@@ -26,6 +26,7 @@ class Result:
     resamples: DataFrame | None
     dropped: DataFrame | None
     constant: list[str]
+    significance: DataFrame | None = None
 
 
 def run(spec: Spec, data: DataFrame, outcomes: DataFrame | None = None, keys: list[str] | None = None, contrasts: list[list[float]] | None = None, pairs: DataFrame | None = None, seed: int = 0) -> Result:
@@ -45,7 +46,7 @@ def run(spec: Spec, data: DataFrame, outcomes: DataFrame | None = None, keys: li
     others = [c for c in ("father_id", "mother_id", "home_id", "preg_id", "rel") if c in df.columns]
     df = saved(df.select("fid", *dict.fromkeys(keys), *design.columns, *spec.outcomes, *others))
     if len(spec.outcomes) == 1 and df.schema[spec.outcomes[0]].dataType.typeName() == "array":
-        return _run_arrays(spec, design, df, report, contrasts)
+        return _run_arrays(spec, design, df, report, contrasts, seed)
     constant = check_inputs(df, design.columns, spec.outcomes)
     if set(spec.random) <= {"F", "S", "E"}:
         fit = mixed.fit(df, design.columns, spec.outcomes, spec.random, spec.n_bins, fixed=spec.fixed)
@@ -61,10 +62,10 @@ def run(spec: Spec, data: DataFrame, outcomes: DataFrame | None = None, keys: li
     return Result(design, fit, table, fit.share_table(df.sparkSession), perms, report, constant)
 
 
-def _run_arrays(spec: Spec, design: Design, df: DataFrame, report: DataFrame | None, contrasts: list[list[float]] | None) -> Result:
+def _run_arrays(spec: Spec, design: Design, df: DataFrame, report: DataFrame | None, contrasts: list[list[float]] | None, seed: int = 0) -> Result:
     """The same for very many outcomes in one array column; rows with a missing or infinite value in it are left out, as an image is whole or not."""
-    if not set(spec.random) <= {"F", "S", "E"} or spec.n_perm and spec.perm_kind != "none":
-        raise ValueError("array outcomes take effects F, S and E, without resamples")
+    if not set(spec.random) <= {"F", "S", "E"}:
+        raise ValueError("array outcomes take effects F, S and E")
     y = spec.outcomes[0]
     df = saved(df.where(finite(y)))
     check_inputs(df, design.columns, [])
@@ -72,7 +73,11 @@ def _run_arrays(spec: Spec, design: Design, df: DataFrame, report: DataFrame | N
     fit = arrays.fit(df, design.columns, y, width, spec.random, spec.n_bins)
     still = [f"y{r['pos']}" for r in varying(df, y).where("not in_mask").collect()]
     table = fit.gls.table(df.sparkSession, None if contrasts is None else np.array(contrasts, float))
-    return Result(design, fit, table, fit.share_table(df.sparkSession), None, report, still)
+    perms = significance = None
+    if spec.n_perm and spec.perm_kind != "none":
+        boot = array_resample.Bootstrap(df, fit, y, spec.n_perm, seed, null=spec.perm_kind != "wildbootstrap-nn")
+        perms, significance = boot.table(), boot.significance()
+    return Result(design, fit, table, fit.share_table(df.sparkSession), perms, report, still, significance)
 
 
 def fit_blocks(df: DataFrame, xs: list[str], ys: list[str], effects: tuple[str, ...], n_bins: int = 20) -> mixed.MixedFit:
