@@ -186,6 +186,19 @@ def test_gwas_against_dense(spark, data):
         rest = y[:, 0] - a @ beta
         assert got.loc[(f"rs{k}", "y")].se == pytest.approx(np.sqrt(inv[2, 2] * rest @ rest / (len(x) - 3)))
     assert np.isnan(got.loc[("rs5", "y")].beta) and got.loc[("rs5", "y")].err_flag and not got.loc[("rs0", "z")].err_flag
+    # the same from arrays in another order, with subjects that are not analysed and must not count for the mean
+    order = RNG.permutation(len(subjects))
+    short = [(f"rs{k}", "1" if k < 4 else "X", k, [None if (k, int(j)) == (2, 3) else int(g[k, j]) for j in order] + [2, 2, 0]) for k in range(6)]
+    named = spark.createDataFrame([(int(subjects[j]), at) for at, j in enumerate(order)] + [(-1, len(order)), (-2, len(order) + 1)], "iid long, place long")
+    for element in ("tinyint", "double"):
+        variants = spark.createDataFrame(short, "snp_id string, chr string, bp long, dosages array<int>").withColumn("dosages", F.col("dosages").cast(f"array<{element}>"))
+        other = gwas.gwas(variants, df, f, rows_in_tile=60, variants_in_tile=2, places=named).toPandas().set_index(["snp_id", "y_id"])
+        assert len(other) == 12
+        for key, row in got.iterrows():
+            assert [other.loc[key, c] for c in ("beta", "se", "t", "logp")] == pytest.approx([row[c] for c in ("beta", "se", "t", "logp")], nan_ok=True)
+            assert other.loc[key].err_flag == row.err_flag and other.loc[key].bp == row.bp
+    nobody = gwas.gwas(long.unionByName(spark.createDataFrame([("rs2", "1", 2, -7, 2.0), ("rs2", "1", 2, -8, 2.0), ("rs9", None, None, -7, 1.0)], long.schema)), df, f).toPandas().set_index(["snp_id", "y_id"])
+    assert nobody.loc[("rs2", "y")].beta == pytest.approx(got.loc[("rs2", "y")].beta) and nobody.loc[("rs9", "y")].err_flag
     both = gwas.gather([gwas.gwas(long, df, f, gwas.with_main(["x"], "one"), "t")])
     assert both.where("chr = 23").count() == 8
     a = np.concatenate((x, g[1][place][:, None] * x[:, [1, 0]]), 1)

@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> None:
     result = model.run(job, data)
     rows = result.design.df.select("fid", F.col("iid").cast("string").alias("iid"), *result.design.columns, *job.outcomes)
     variants = genotypes.genotypes(spark, a.plink)
-    out = gwas.gwas(genotypes.long_dosages(variants, genotypes.read_fam(spark, f"{a.plink}.fam").withColumnRenamed("row", "place")), rows, result.fit)
+    out = gwas.gwas(variants, rows, result.fit, places=genotypes.read_fam(spark, f"{a.plink}.fam").withColumnRenamed("row", "place"))
     write_table(gwas.gather([out]), a.out)
 
 

@@ -1,6 +1,7 @@
 """Association of each variant with outcomes, fixed effects and family covariance taken out.
 
-Genotypes and subjects meet in tiles: families are dealt to blocks, variants to parts, and a tile holds one block's rows and one part's dosages as a matrix. A tile gives,
+Genotypes and subjects meet in tiles: families are dealt to blocks, variants to parts, and a tile holds one block's rows and one part's dosages as a matrix. A variant's array of
+dosages is cut into the blocks' slices where it is read, so a dosage is one shuffled byte and no row is made for a subject and a variant. A tile gives,
 for each of its variants, sums of products with V⁻¹X, V⁻¹r and itself, where V is the covariance of the fitted mixed model, one for each bin of outcomes. The sums of
 all blocks are added up by variant, and the estimates follow from them. So neither subjects nor variants ever pass through the driver or one task; a
 family must fit a tile.
@@ -14,15 +15,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varimesh.functions.dist import chi2_log10sf, signed_log10p, t_sf2
 
-from .arrays import combine
+from .arrays import combine, lists, sliced
 from .linear import gram
 from .mixed import MixedFit, three, with_groups
 from .storage import saved
 
 KEYS = ["snp_id", "chr", "bp"]
+#: Bytes of one matrix of dosages by rows.
+HELD = 16 << 20
 KIND = "snp_id string, chr string, bp long, y_id string, basis_id int, beta double, se double, t double, logp double, wald double, wald_logp double, err_flag boolean"
 
 
@@ -52,10 +56,77 @@ def apply_inverse(z: np.ndarray, fid: np.ndarray, iid: np.ndarray, share: np.nda
     return Groups(fid, iid).apply_inverse(z, share)
 
 
-def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str] | None = None, test: str = "z", rows_in_tile: int = 2000, variants_in_tile: int = 250) -> DataFrame:
+def _slots(rows: DataFrame) -> DataFrame:
+    """``(subject, block, slot)``: each analysed subject's place within its block."""
+    named = rows.select("subject", "block").distinct()
+    w = Window.partitionBy("block").orderBy("subject")  # a block has a bounded number of rows, or one family's
+    return saved(named.where("subject is not null").withColumn("slot", (F.row_number().over(w) - 1).cast("int")))
+
+
+def _from_arrays(variants: DataFrame, places: DataFrame, slots: DataFrame, blocks: int) -> tuple[DataFrame, bool]:
+    """``(snp_id, chr, bp, block, mean, body)`` from arrays of dosages: each block's slice in the order of its slots, and the mean over the analysed subjects; and whether values are single bytes.
+
+    The places of all analysed subjects go to every task: as many numbers as one variant's row has.
+    """
+    known = places.select("place", F.col("iid").alias("subject")).join(slots, "subject").select("place", "block", "slot").toArrow()
+    place, block, slot = (known.column(k).to_numpy() for k in ("place", "block", "slot"))
+    order = np.lexsort((slot, block))
+    place, block, slot = place[order], block[order], slot[order]
+    sizes = dict(slots.groupBy("block").count().collect())
+    small = variants.schema["dosages"].dataType.elementType.typeName() == "byte"
+    kind = np.dtype("i1" if small else "<f8")
+    given = variants.sparkSession.sparkContext.broadcast((place, block, slot, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, block, slot, sizes = given.value
+        cuts = np.searchsorted(block, np.arange(blocks + 1))
+        for batch in sliced(batches, 3):
+            lists = batch.column(3)
+            g = lists.flatten().cast(pa.int8() if small else pa.float64()).fill_null(-1 if small else np.nan).to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            for k in range(len(g)):
+                own = g[k, place]
+                seen = own[own >= 0]
+                mean = float(seen.mean()) if len(seen) else 0.0
+                bodies = []
+                for b in range(blocks):
+                    body = np.full(sizes.get(b, 0), -1 if small else np.nan, kind)
+                    body[slot[cuts[b] : cuts[b + 1]]] = own[cuts[b] : cuts[b + 1]]
+                    bodies.append(body.tobytes())
+                head = [batch.column(c).slice(k, 1).take(pa.array(np.zeros(blocks, np.int64))) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, mean)), pa.array(bodies, pa.binary())], [*KEYS, "block", "mean", "body"])
+
+    return variants.select(F.col("snp_id").cast("string"), F.col("chr").cast("string"), F.col("bp").cast("long"), "dosages").mapInArrow(run, "snp_id string, chr string, bp long, block int, mean double, body binary"), small
+
+
+def _from_cells(dosages: DataFrame, slots: DataFrame, blocks: int) -> DataFrame:
+    """The same from a table with a row for each subject and variant: its rows are grouped by variant and block. A variant nobody analysed has keeps its name."""
+    cells = dosages.select(F.col("snp_id").cast("string"), F.col("chr").cast("string"), F.col("bp").cast("long"), F.col("iid").alias("subject"), F.col("dosage").cast("double").alias("dosage"))
+    own = saved(cells.join(slots, "subject").where("dosage is not null").select(*KEYS, "block", "slot", "dosage"))
+    none = F.lit(None).cast("array<struct<slot:int,dosage:double>>")
+    means = own.groupBy(*KEYS).agg(F.avg("dosage").alias("mean")).unionByName(cells.select(*KEYS).distinct().withColumn("mean", F.lit(None).cast("double")))
+    means = means.groupBy(*KEYS).agg(F.coalesce(F.max("mean"), F.lit(0.0)).alias("mean")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cells", none)
+    lists = own.groupBy(*KEYS, "block").agg(F.collect_list(F.struct("slot", "dosage")).alias("cells")).withColumn("mean", F.lit(None).cast("double"))
+    sizes = slots.groupBy("block").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    rows = means.unionByName(lists).groupBy(*KEYS, "block").agg(F.max("mean").alias("mean"), F.first("cells", ignorenulls=True).alias("cells")).join(F.broadcast(sizes), "block", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for size, cells in zip(batch.column(5).to_pylist(), batch.column(6), strict=True):
+                body = np.full(size or 0, np.nan)
+                if cells.is_valid:
+                    body[cells.values.field("slot").to_numpy()] = cells.values.field("dosage").to_numpy()
+                bodies.append(body.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bodies, pa.binary())], [*KEYS, "block", "mean", "body"])
+
+    return rows.select(*KEYS, "block", "mean", "size", "cells").mapInArrow(run, "snp_id string, chr string, bp long, block int, mean double, body binary")
+
+
+def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str] | None = None, test: str = "z", rows_in_tile: int = 2000, variants_in_tile: int = 2000, places: DataFrame | None = None) -> DataFrame:
     """``(snp_id, chr, bp, y_id, basis_id, beta, se, t, logp, wald, wald_logp, err_flag)``.
 
-    ``dosages`` has ``snp_id, chr, bp, iid, dosage``, a missing dosage counting as the variant's mean; ``design`` has ``fid, iid``, the terms and outcomes of ``fit``
+    ``dosages`` has ``snp_id, chr, bp`` and arrays ``dosages``, with ``places`` (``iid, place``) saying where a subject's value stands, or else a row ``iid, dosage`` for each subject. A missing dosage counts as the
+    variant's mean over the analysed subjects. ``design`` has ``fid, iid``, the terms and outcomes of ``fit``
     and the columns of ``basis``, each of which multiplies the variant (without any: its main effect). ``test``: p-values of single effects from the normal (``z``),
     Student's t (``t``) or the chi-squared law of the square (``chi``). A variant that is constant, or explained by X, has null results and ``err_flag`` set.
     """
@@ -67,18 +138,21 @@ def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str]
     rows = with_groups(design.withColumn("_subject", F.col("iid")), fit.effects)
     rows = rows.select(F.col("_subject").alias("subject"), "fid", "iid", *[c(x).alias(f"x{i}") for i, x in enumerate(xs)], *[c(y).alias(f"y{i}") for i, y in enumerate(ys)], *[c(b).alias(f"b{i}") for i, b in enumerate(bs)])
     g = gram(rows, [f"x{i}" for i in range(p)], [f"y{i}" for i in range(v)])
-    known = saved(dosages.groupBy(*KEYS).agg(F.coalesce(F.avg("dosage"), F.lit(0.0)).alias("mean")))
-    blocks, parts = max(1, -(-g.n // rows_in_tile)), max(1, -(-known.count() // variants_in_tile))
+    blocks = max(1, -(-g.n // rows_in_tile))
     rows = saved(rows.withColumn("block", F.pmod(F.xxhash64("fid"), F.lit(blocks)).cast("int")))
-    named = rows.select("subject", "block").distinct()
-    cells = dosages.join(named, F.col("iid") == F.col("subject")).where("dosage is not null").select("snp_id", "subject", "block", F.col("dosage").cast("double").alias("dosage"))
-    part = lambda: F.pmod(F.xxhash64("snp_id"), F.lit(parts)).cast("int").alias("part")
-    # a variant without any dosage in a block still needs its mean there
-    means = known.select(*KEYS, "mean", part()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("subject", F.lit(None).cast(rows.schema["subject"].dataType))
-    means = means.withColumn("dosage", F.col("mean"))
-    cells = cells.select(*[F.lit(None).cast(known.schema[k].dataType).alias(k) if k != "snp_id" else F.col(k) for k in KEYS], "dosage", part(), "block", "subject")
-    right = means.select("snp_id", "chr", "bp", "dosage", "part", "block", "subject").unionByName(cells)
-    left = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    slots = _slots(rows)
+    small = False
+    if "dosages" in dosages.columns:
+        if places is None:
+            raise ValueError("arrays of dosages need the places of subjects in them")
+        right, small = _from_arrays(dosages, places, slots, blocks)
+        n_variants = dosages.count()
+    else:
+        right = saved(_from_cells(dosages, slots, blocks))
+        n_variants = -(-right.count() // blocks)
+    parts = max(1, -(-n_variants // variants_in_tile))
+    right = right.withColumn("part", F.pmod(F.xxhash64(*KEYS), F.lit(parts)).cast("int"))
+    left = rows.join(slots.drop("block"), "subject", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     share = three(fit.shares, fit.effects)
     bins = [np.flatnonzero(fit.bins == b) for b in np.unique(fit.bins)]
@@ -87,33 +161,29 @@ def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str]
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         get = lambda k: a.column(k).to_numpy()
-        stack = lambda k, n: np.stack([get(f"{k}{i}") for i in range(n)], 1) if a.num_rows else np.zeros((0, n))
-        snp = b.column("snp_id").combine_chunks().dictionary_encode()
-        mean = b.filter(pa.compute.is_null(b.column("subject")))
-        order = pa.compute.index_in(mean.column("snp_id"), snp.dictionary).to_numpy()
-        m = len(mean)
-        if not a.num_rows or not m:
+        stack = lambda k, n: np.stack([get(f"{k}{i}") for i in range(n)], 1)
+        if not a.num_rows or not b.num_rows:
             return pa.table({"snp_id": pa.array([], pa.string()), "chr": pa.array([], pa.string()), "bp": pa.array([], pa.int64()), "m": pa.array([], pa.list_(pa.float64()))})
         x, y = stack("x", p), stack("y", v)
         base = stack("b", len(bs)) if bs else np.ones((len(x), 1))
-        subject = a.column("subject").combine_chunks().dictionary_encode()
-        full = np.empty((len(subject.dictionary), m))
-        full[:, order] = mean.column("dosage").to_numpy()[None, :]
-        own = b.filter(pa.compute.is_valid(b.column("subject")))
-        at = pa.compute.index_in(own.column("snp_id"), snp.dictionary).to_numpy()
-        full[pa.compute.index_in(own.column("subject"), subject.dictionary).to_numpy(), at] = own.column("dosage").to_numpy()
-        t = full[subject.indices.to_numpy()][:, :, None] * base[:, None, :]  # rows, variants, basis
-        groups, flat = Groups(get("fid"), get("iid")), t.reshape(len(x), -1)
-        res, out = y - x @ beta, []
-        cross = lambda u, w: np.einsum("nmi,nmj->mij", u, w).reshape(m, -1)
-        with_all = lambda u, w: np.einsum("nmi,nj->mij", u, w, optimize=True).reshape(m, -1)
-        for s, ids in zip(weights, bins, strict=True):
-            wt = groups.apply_inverse(flat, s).reshape(t.shape)
-            out += [cross(t, wt), with_all(wt, x), with_all(wt, res[:, ids])]
-        out += [cross(t, t), with_all(t, x), with_all(t, res)]
-        sums = np.concatenate(out, 1)[order]  # in the order of ``mean``
-        ends = pa.array(np.arange(m + 1) * sums.shape[1], pa.int32())
-        return pa.table({k: mean.column(k) for k in KEYS} | {"m": pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))})
+        slot, groups, res = a.column("slot").fill_null(-1).to_numpy(), Groups(get("fid"), get("iid")), y - x @ beta
+        step, made = max(1, HELD // (8 * len(x) * q)), []
+        for first in range(0, b.num_rows, step):  # so many variants that their matrix stays small
+            some = b.slice(first, step)
+            m = some.num_rows
+            cross = lambda u, w: np.einsum("nmi,nmj->mij", u, w).reshape(m, -1)  # noqa: B023, E731
+            with_all = lambda u, w: np.einsum("nmi,nj->mij", u, w, optimize=True).reshape(m, -1)  # noqa: B023, E731
+            full = np.frombuffer(b"".join(some.column("body").to_pylist()), "i1" if small else "<f8").reshape(m, -1).astype(float)
+            full = np.concatenate((full, np.full((m, 1), np.nan)), 1)  # for rows of no known subject
+            full = np.where(full >= 0, full, some.column("mean").to_numpy()[:, None])
+            t = full[:, slot].T[:, :, None] * base[:, None, :]  # rows, variants, basis
+            flat, out = t.reshape(len(x), -1), []
+            for s, ids in zip(weights, bins, strict=True):
+                wt = groups.apply_inverse(flat, s).reshape(t.shape)
+                out += [cross(t, wt), with_all(wt, x), with_all(wt, res[:, ids])]
+            out += [cross(t, t), with_all(t, x), with_all(t, res)]
+            made.append(np.concatenate(out, 1))
+        return pa.table({k: b.column(k) for k in KEYS} | {"m": lists(np.concatenate(made))})
 
     sums = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(tile, "snp_id string, chr string, bp long, m array<double>")
     sums = combine(sums, KEYS)
