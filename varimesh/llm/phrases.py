@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +67,22 @@ class Trie:
         self.parts.append(np.zeros(1, np.int32))
         self.words += len(words)
 
-    def level(self, depth: int, frequent: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
-        """Phrases of ``depth`` words in byte order, and their counts; both parts of ``depth - 1`` words must pass the filter."""
-        codes, spelled = np.concatenate(self.parts), list(self.code)
+    def level(self, depth: int, frequent: np.ndarray | None) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+        """The trie's nodes of ``depth`` words in order: all words, sorted, each node's words by place among them, and its count. Both parts of ``depth - 1`` words must pass the filter.
+
+        Words are numbered in order first, so nodes come out in order level by level.
+        """
+        words = pa.array(list(self.code)[1:], pa.binary())
+        order = pc.sort_indices(words).to_numpy()
+        words, rank = words.take(pa.array(order)), np.zeros(len(order) + 1, np.int32)
+        rank[order + 1] = np.arange(1, len(order) + 1)
+        codes = rank[np.concatenate(self.parts)]  # 0 is the end of a piece
         if depth == 1:
-            n = np.bincount(codes, minlength=len(spelled))
-            n[0] = 0
-            order = sorted(np.flatnonzero(n).tolist(), key=spelled.__getitem__)
-            return [spelled[i] for i in order], n[order]
+            return words, [np.arange(len(words))], np.bincount(codes, minlength=len(words) + 1)[1:]
         size = len(codes) - depth + 1
         if size <= 0:
-            return [], np.zeros(0, np.int64)
-        h = np.fromiter((self.digest(w, self.seed) for w in spelled), np.uint64, len(spelled))
+            return words, [np.zeros(0, np.int64)] * depth, np.zeros(0, np.int64)
+        h = np.fromiter((self.digest(w, self.seed) for w in (b",", *words.to_pylist())), np.uint64, len(rank))
         part = np.zeros(size + 1, np.uint64)
         whole = codes[: size + 1] > 0
         with np.errstate(over="ignore"):
@@ -89,17 +94,15 @@ class Trie:
         at = np.flatnonzero(good[:-1] & good[1:])
         node, above = codes[at].astype(np.int64), []
         for k in range(1, depth):
-            nodes, node = np.unique(node * len(spelled) + codes[at + k], return_inverse=True)
+            nodes, node = np.unique(node * len(rank) + codes[at + k], return_inverse=True)
             above.append(nodes)
         n = np.bincount(node, minlength=len(above[-1])) if len(at) else np.zeros(0, np.int64)
         now, path = np.arange(len(above[-1])), []
         for nodes in reversed(above):
-            path.append(nodes[now] % len(spelled))
-            now = nodes[now] // len(spelled)
-        path.append(now)
-        phrases = [b" ".join(p) for p in zip(*([spelled[i] for i in p.tolist()] for p in reversed(path)), strict=True)]
-        order = sorted(range(len(phrases)), key=phrases.__getitem__)
-        return [phrases[i] for i in order], n[order]
+            path.append(nodes[now] % len(rank) - 1)
+            now = nodes[now] // len(rank)
+        path.append(now - 1)
+        return words, path[::-1], n
 
 
 def shards(texts: DataFrame, depth: int, frequent=None) -> DataFrame:
@@ -110,10 +113,11 @@ def shards(texts: DataFrame, depth: int, frequent=None) -> DataFrame:
 
         def level(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
             for lang in sorted(tries):
-                phrases, n = tries[lang].level(depth, bits)
-                for at in range(0, len(phrases), 1 << 15):
-                    some = pa.array(phrases[at : at + (1 << 15)], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[at : at + (1 << 15)], pa.int64())], ["lang", "phrase", "n"])
+                words, path, n = tries[lang].level(depth, bits)
+                for at in range(0, len(n), 1 << 14):
+                    parts = [words.take(pa.array(p[at : at + (1 << 14)])) for p in path]
+                    some = (pc.binary_join_element_wise(*parts, b" ") if depth > 1 else parts[0]).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[at : at + (1 << 14)], pa.int64())], ["lang", "phrase", "n"])
 
         tries: dict[str, Trie] = {}
         for batch in batches:
@@ -130,7 +134,7 @@ def shards(texts: DataFrame, depth: int, frequent=None) -> DataFrame:
 
 
 def merged(tries: DataFrame) -> DataFrame:
-    """The counts of all shards added up: ranges of ``(lang, phrase)``, each read through in order, with the sum of equal neighbours."""
+    """The counts of all shards added up: ranges of ``(phrase, lang)``, each read through in order, with the sum of equal neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -144,7 +148,7 @@ def merged(tries: DataFrame) -> DataFrame:
         if last is not None:
             yield from last.to_batches()
 
-    return saved(tries).repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(run, "lang string, phrase string, n long")
+    return saved(tries).repartitionByRange("phrase", "lang").sortWithinPartitions("phrase", "lang").mapInArrow(run, "lang string, phrase string, n long")
 
 
 def _filter(frequent: DataFrame):
