@@ -261,3 +261,19 @@ def test_profile_interval(data):
     best, value = blocks.maximum_likelihood(res, "y", ("F", "E"), np.array([0.3, 0.7]), rounds=3, points=3)
     lo, hi = blocks.profile_interval(res, "y", ("F", "E"), best, value, 1, points=9)
     assert lo <= best[1] <= hi
+
+
+def test_pareto_tail_where_it_knows_nothing(spark):
+    """No spread, one value beyond the cut, and past the end of a bounded tail: the rank's p-value; else the law's."""
+    def rows(key, observed, values):
+        return [(key, 0, observed), *((key, k + 1, float(np.sqrt(v))) for k, v in enumerate(values))]
+
+    flat = [1.0] * 10 + [4.0] * 10
+    bounded = [float(v) for v in np.linspace(1, 2, 40)]
+    heavy = [float(v) for v in np.random.default_rng(1).pareto(3, 400) + 1]
+    made = rows("flat", 3.0, flat) + rows("one", 9.0, [1.0] * 19 + [2.0]) + rows("end", 100.0, bounded) + rows("law", 4.0, heavy)
+    p = spark.createDataFrame(made, "term string, perm_id long, z double")
+    got = {r.term: r.logp for r in resample.tail_p(p, ["term"], quantile=0.5, law="pareto").collect()}
+    own = {r.term: r.logp for r in resample.rank_p(p, ["term"]).collect()}
+    assert all(got[k] == pytest.approx(own[k]) for k in ("flat", "one", "end"))
+    assert got["law"] > own["law"] and got["law"] == pytest.approx(-np.log10(16.0**-3), abs=1.2)

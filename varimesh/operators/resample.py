@@ -94,7 +94,7 @@ def tail_p(perms: DataFrame, keys: list[str], value: str = "z", quantile: float
     """p-values beyond the resamples' range: a law fitted from the moments of the squared statistics continues the empirical tail.
 
     ``gamma`` and ``extreme`` (Gumbel) are fitted to all of them, ``chi2`` with the mean as its degrees of freedom, and ``pareto``, the generalised one, to what
-    exceeds the ``quantile``.
+    exceeds the ``quantile``. Where a law has nothing to say (no spread, a single value beyond the quantile, past the end of a bounded tail) the rank's p-value stands.
     """
     x = F.col(value) ** 2
     seen = perms.where("perm_id = 0").select(*keys, x.alias("observed"))
@@ -116,11 +116,12 @@ def tail_p(perms: DataFrame, keys: list[str], value: str = "z", quantile: float
     elif law == "pareto":
         over = rest.join(fit, keys).where(F.col("x") > cut).groupBy(*keys).agg(F.avg(F.col("x") - cut).alias("em"), F.var_samp(F.col("x") - cut).alias("ev"), F.count("x").alias("above"))
         rows = rows.join(over, keys, "left")
-        em, ev = F.col("em"), F.nullif(F.col("ev"), F.lit(0.0))
-        shape = F.nullif((F.lit(1.0) - em * em / ev) / 2, F.lit(0.0))
-        scale = em * (em * em / ev + 1) / 2
-        sf = F.greatest(F.lit(1.0) + shape * (o - cut) / scale, F.lit(0.0)) ** (F.lit(-1.0) / shape)
-        rows = rows.withColumn("tail", -F.log10(F.greatest(F.col("above") / F.col("n") * sf, F.lit(1e-300))))
+        em, ev = F.col("em"), F.when(F.col("ev") > 0, F.col("ev"))
+        shape, scale = (F.lit(1.0) - em * em / ev) / 2, em * (em * em / ev + 1) / 2
+        left = F.lit(1.0) + shape * (o - cut) / scale  # not above 0 beyond the end of a bounded tail, where the law says nothing
+        sf = F.when(F.abs(shape) > 1e-12, left ** (F.lit(-1.0) / F.nullif(shape, F.lit(0.0)))).otherwise(F.exp(-(o - cut) / scale))
+        known = (F.col("above") > 1) & (left > 0)
+        rows = rows.withColumn("tail", F.when(known & (sf > 0), -F.log10(F.col("above") / F.col("n") * sf)))
     else:
         raise ValueError(f"unknown law {law}")
     own = rank_p(perms, keys, value).select(*keys, "logp")

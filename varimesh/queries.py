@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from varimesh.functions import dist, splines
 from varimesh.functions import transforms as tr
-from varimesh.operators import arrays, linear, mixed, resample, tables
+from varimesh.operators import array_resample, arrays, linear, mixed, resample, tables
 from varimesh.sources import sinks, tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,16 +634,15 @@ def _(spark, d):
 
 
 def dosages(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers stand for variants and customers for subjects; dosages from arithmetic on their keys, one in 31 missing."""
-    s = t(spark, d, "supplier").select(F.concat(F.lit("rs"), F.col("s_suppkey")).alias("snp_id"), (F.col("s_nationkey") % 22 + 1).cast("string").alias("chr"), F.col("s_suppkey").cast("long").alias("bp"))
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("iid"))
+    """Customers stand for subjects, each with 24 variants; dosages from arithmetic on their numbers, one in 31 missing."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("iid"), F.explode(F.expr("sequence(1L, 24L)")).alias("bp"))
     a, b = F.col("bp"), F.col("iid")
     value = ((a * 7 + b * 13 + F.floor(a * b / 8) % 5 + F.floor(b / 9) * (a % 4)) % 3).cast("double")
-    return s.join(c, F.lit(True)).withColumn("dosage", F.when((a * 3 + b) % 31 != 0, value))  # every subject has every variant: this is the genotype table itself
+    return c.select(F.concat(F.lit("rs"), "bp").alias("snp_id"), (a % 22 + 1).cast("string").alias("chr"), "bp", "iid", F.when((a * 3 + b) % 31 != 0, value).alias("dosage"))
 
 
 GENO = """c AS (SELECT c_custkey AS iid, c_custkey // 50 AS fid, length(c_mktsegment) / 10.0e0 AS x, CAST(c_acctbal AS DOUBLE) / 1000 AS y FROM customer),
-raw AS (SELECT s_suppkey AS bp, iid, fid, x, y, CASE WHEN (s_suppkey * 3 + iid) % 31 <> 0 THEN CAST((s_suppkey * 7 + iid * 13 + (s_suppkey * iid // 8) % 5 + (iid // 9) * (s_suppkey % 4)) % 3 AS DOUBLE) END AS g0 FROM supplier, c),
+raw AS (SELECT s AS bp, iid, fid, x, y, CASE WHEN (s * 3 + iid) % 31 <> 0 THEN CAST((s * 7 + iid * 13 + (s * iid // 8) % 5 + (iid // 9) * (s % 4)) % 3 AS DOUBLE) END AS g0 FROM c, (SELECT unnest(range(1, 25)) AS s)),
 geno AS (SELECT bp, iid, fid, x, y, coalesce(g0, avg(g0) OVER (PARTITION BY bp)) AS g FROM raw)"""
 # the variant, x and y with 1 and x taken out, by variant
 PARTIAL = """m AS (SELECT bp, count(*) AS n, regr_sxx(g, x) AS sxx, regr_sxy(g, x) AS sgx, regr_sxy(y, x) AS syx, var_pop(g) * count(*) AS sgg, var_pop(y) * count(*) AS syy, covar_pop(g, y) * count(*) AS sgy FROM geno GROUP BY bp),
@@ -670,6 +669,25 @@ def _(spark, d):
     return gwas.gather([gwas.gwas(dosages(spark, d), df, mixed.fit(df, XS, ["y1"], ("F", "E")), gwas.with_main(["x1"]), "t")])
 
 
+NATIONS = """c AS (SELECT n_nationkey AS iid, n_regionkey AS fid, any_value(length(n_name)) / 10.0e0 AS x, avg(CAST(c_acctbal AS DOUBLE)) / 1000 AS y FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+raw AS (SELECT vec_id AS bp, iid, fid, x, y, CAST(floor(abs(CAST(embedding[iid + 1] AS DOUBLE)) * 1000) AS BIGINT) % 4 AS g1 FROM embeddings, c),
+geno AS (SELECT bp, iid, fid, x, y, coalesce(CAST(nullif(g1, 3) AS DOUBLE), avg(CAST(nullif(g1, 3) AS DOUBLE)) OVER (PARTITION BY bp)) AS g FROM raw)"""
+
+
+@query("gw02_gwas_arrays", f"""WITH {NATIONS}, {PARTIAL} SELECT 'rs' || bp AS snp_id, round(gy / gg, 5) + 0e0 AS beta, round(sqrt((yy - gy * gy / gg) / (n - 3) / gg), 5) AS se FROM r""")
+def _(spark, d):
+    """Vectors stand for variants, each an array of dosages of 64 subjects, of whom 25, the nations, are analysed."""
+    from varimesh.operators import gwas
+
+    n, c = t(spark, d, "nation"), t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.avg(F.col("c_acctbal").cast("double")) / 1000).alias("y1"))
+    df = n.join(c, "n_nationkey").select(F.col("n_nationkey").cast("long").alias("iid"), F.col("n_regionkey").alias("fid"), F.lit(1.0).alias("Intercept"), (F.length("n_name") / 10).alias("x1"), "y1")
+    value = lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 4
+    genes = F.transform("embedding", lambda x: F.when(value(x) != 3, value(x)).cast("tinyint"))
+    variants = t(spark, d, "embeddings").select(F.concat(F.lit("rs"), "vec_id").alias("snp_id"), (F.col("vec_id") % 22 + 1).cast("string").alias("chr"), F.col("vec_id").alias("bp"), genes.alias("dosages"))
+    places = n.select(F.col("n_nationkey").cast("long").alias("iid"), F.col("n_nationkey").cast("long").alias("place"))
+    return rounded(gwas.gwas(variants, df, mixed.fit(df, XS, ["y1"], ("E",)), places=places).select("snp_id", "beta", "se"), 5, "beta", "se")
+
+
 @query("xf23_genotype_scaling", """WITH g AS (SELECT p_partkey, [CAST(p_size % 3 AS DOUBLE), CAST(p_partkey % 3 AS DOUBLE), 1.0] AS d FROM part)
 SELECT p_partkey, round(list_sum(list_transform(d, lambda x: x * x)) , 6) AS q, round(coalesce((d[1] - list_avg(d)) / nullif(list_stddev_samp(d), 0), 0), 6) AS first FROM g""")
 def _(spark, d):
@@ -681,12 +699,17 @@ def _(spark, d):
     return out.select("p_partkey", F.round("q", 6).alias("q"), F.round(F.col("dosages")[0], 6).alias("first"))
 
 
-@query("ag33_relatedness")
+@query("ag33_relatedness", """WITH raw AS (SELECT p_partkey AS k, i, CASE WHEN (p_partkey + i) % 17 <> 0 THEN CAST((p_partkey * (i + 3) + p_partkey // (i + 2)) % 3 AS DOUBLE) END AS g FROM part, (SELECT unnest(range(20)) AS i)),
+m AS (SELECT k, avg(g) AS m FROM raw GROUP BY k), z AS (SELECT k, i, CASE WHEN g IS NULL OR m * (1 - m / 2) <= 0 THEN 0 ELSE (g - m) / sqrt(m * (1 - m / 2)) END AS z FROM raw JOIN m USING (k))
+SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(avg(a.z * b.z), 8) + 0e0 AS rel FROM z a JOIN z b ON a.k = b.k AND a.i <= b.i GROUP BY ALL""")
 def _(spark, d):
+    """Parts stand for variants of twenty subjects, cut into blocks of eight."""
     from varimesh.sources import genotypes
 
-    p = t(spark, d, "part").select(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.pmod(F.xxhash64("p_partkey", i), F.lit(3)).cast("tinyint")).alias("dosages"))
-    return genotypes.relatedness(p)
+    k = F.col("p_partkey")
+    value = lambda i: F.when((k + i) % 17 != 0, ((k * (i + 3) + F.floor(k / (i + 2))) % 3).cast("tinyint"))
+    p = t(spark, d, "part").select(F.transform(F.sequence(F.lit(0), F.lit(19)), value).alias("dosages"))
+    return rounded(genotypes.relatedness(p, 8), 8, "rel")
 
 
 @query("xf28_delta_by_age", """WITH b AS (SELECT o_custkey, min_by(o_totalprice, struct_pack(o_orderdate, o_orderkey)) AS base FROM orders GROUP BY 1)
@@ -789,27 +812,38 @@ def _(spark, d):
     return placed.groupBy("fid", "iid").agg(F.sum("place").cast("long").alias("places"))
 
 
-SQUARED = f"""{PERM}, q AS (SELECT term, perm_id, z * z AS x FROM p), k AS (SELECT term, avg(x) AS m, var_samp(x) AS v, quantile_cont(x, 0.5) AS cut, count(*) AS n FROM q WHERE perm_id > 0 GROUP BY term),
+SQUARED = """p AS (SELECT term, perm_id, m - 20 + CASE WHEN perm_id = 0 THEN term / 1.5e0 ELSE 0 END AS z
+  FROM (SELECT l_linenumber AS term, l_orderkey % 60 AS perm_id, avg(CAST(l_quantity AS DOUBLE)) AS m FROM lineitem GROUP BY ALL)),
+q AS (SELECT term, perm_id, z * z AS x FROM p), k AS (SELECT term, avg(x) AS m, var_samp(x) AS v, quantile_cont(x, 0.5) AS cut, count(*) AS n FROM q WHERE perm_id > 0 GROUP BY term),
 o AS (SELECT term, x AS observed FROM q WHERE perm_id = 0), rk AS (SELECT q.term, -log10((count(*) FILTER (x > observed) + 1) / (count(*) + 1.0)) AS logp FROM q JOIN o ON q.term = o.term WHERE perm_id > 0 GROUP BY q.term)"""
 
 
 def perms(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("term"), (F.col("l_orderkey") % 50).alias("perm_id")).agg(F.max(F.col("l_quantity").cast("double")).alias("z"))
+    """Line numbers stand for terms and orders for resamples; the observed one is moved out, the further the higher its term."""
+    of = t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("term"), (F.col("l_orderkey") % 60).alias("perm_id")).agg(F.avg(F.col("l_quantity").cast("double")).alias("m"))
+    return of.select("term", "perm_id", (F.col("m") - 20 + F.when(F.col("perm_id") == 0, F.col("term") / 1.5).otherwise(0.0)).alias("z"))
 
 
 @query("wn08_extreme_value_tail", f"""WITH {SQUARED}, g AS (SELECT term, m, cut, observed, sqrt(6 * v) / pi() AS s, logp FROM k JOIN o USING (term) JOIN rk USING (term))
-SELECT term, round(CASE WHEN observed > cut THEN -log10(1 - exp(-exp(-(observed - (m - s * 0.5772156649015329)) / s))) ELSE logp END, 6) AS logp FROM g""")
+SELECT term, round(CASE WHEN observed > cut THEN -log10(1 - exp(-exp(-(observed - (m - s * 0.5772156649015329)) / s))) ELSE logp END, 6) + 0e0 AS logp FROM g""")
 def _(spark, d):
     return rounded(resample.tail_p(perms(spark, d), ["term"], quantile=0.5, law="extreme"), 6, "logp")
 
 
 @query("wn09_pareto_tail", f"""WITH {SQUARED}, e AS (SELECT q.term, avg(x - cut) AS em, var_samp(x - cut) AS ev, count(*) AS above FROM q JOIN k ON q.term = k.term WHERE perm_id > 0 AND x > cut GROUP BY q.term),
-g AS (SELECT k.term, cut, observed, n, above, (1 - em * em / ev) / 2 AS c, em * (em * em / ev + 1) / 2 AS s, logp FROM k JOIN o ON k.term = o.term JOIN rk ON k.term = rk.term LEFT JOIN e ON k.term = e.term)
-SELECT term, round(CASE WHEN observed > cut THEN coalesce(-log10(greatest(above / n::DOUBLE * greatest(1 + c * (observed - cut) / s, 0) ^ (-1 / c), 1e-300)), logp) ELSE logp END, 6) AS logp FROM g""")
+g AS (SELECT k.term, cut, observed, n, above, ev, (1 - em * em / ev) / 2 AS c, em * (em * em / ev + 1) / 2 AS s, logp FROM k JOIN o ON k.term = o.term JOIN rk ON k.term = rk.term LEFT JOIN e ON k.term = e.term)
+SELECT term, round(CASE WHEN observed > cut AND above > 1 AND ev > 0 AND 1 + c * (observed - cut) / s > 0 THEN -log10(above / n::DOUBLE * (1 + c * (observed - cut) / s) ^ (-1 / c)) ELSE logp END, 6) + 0e0 AS logp FROM g""")
 def _(spark, d):
     return rounded(resample.tail_p(perms(spark, d), ["term"], quantile=0.5, law="pareto"), 6, "logp")
 
 
+@query("rs01_array_bootstrap")
+def _(spark, d):
+    """Ranks of 64 outcomes' statistics among their resamples, and among the largest of all outcomes."""
+    df = vectors(spark, d)
+    return array_resample.Bootstrap(df, arrays.fit(df, XS, "embedding", 64), "embedding", 200, 5).significance()
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
