@@ -128,20 +128,6 @@ def log_likelihood(res: DataFrame, ys: list[str], effects: tuple[str, ...], vari
     return out
 
 
-def maximum_likelihood(res: DataFrame, y: str, effects: tuple[str, ...], start: np.ndarray, rounds: int = 4, points: int = 5) -> tuple[np.ndarray, float]:
-    """Variances of largest likelihood by a search over factors, each round finer; all points of a round are evaluated in one pass over the data."""
-    best, best_value = np.maximum(start, 1e-8), -np.inf
-    span = 1.0
-    for _ in range(rounds):
-        steps = np.exp(np.linspace(-span, span, points))
-        grid = np.stack([g.ravel() for g in np.meshgrid(*[steps] * len(effects))], 1) * best
-        renamed = res.select("*", *[F.col(f"r_{y}").alias(f"r_{i}") for i in range(len(grid))])
-        values = log_likelihood(renamed, [str(i) for i in range(len(grid))], effects, grid)
-        i = int(np.nanargmax(values))
-        best, best_value, span = grid[i], float(values[i]), span / 2
-    return best, best_value
-
-
 def sandwich(df: DataFrame, fit: Fit, k: int, keep: list[str] | None = None) -> np.ndarray:
     """Robust covariance of outcome ``k``: families' scores multiplied out and summed by plain aggregates, between the inverse Gram matrices."""
     from .linear import residuals
@@ -198,13 +184,3 @@ def gls_unstructured(df: DataFrame, xs: list[str], y: str, visits: list, cov: di
         flat[r["i"]] = r["x"]
     c, _ = nearest_spd(np.linalg.pinv(flat[: p * p].reshape(p, p), hermitian=True))
     return Fit(xs, [y], (c @ flat[p * p :])[:, None], c, np.array([sigma2]), n)
-
-
-def profile_interval(res: DataFrame, y: str, effects: tuple[str, ...], best: np.ndarray, value: float, k: int, points: int = 41, drop: float = 1.920729) -> tuple[float, float]:
-    """Where the log-likelihood along one variance, the others held, stays within ``drop`` of its largest: all points in one pass."""
-    factors = np.exp(np.linspace(-2.5, 2.5, points))
-    grid = np.repeat(best[None, :], points, 0)
-    grid[:, k] *= factors
-    renamed = res.select("*", *[F.col(f"r_{y}").alias(f"r_{i}") for i in range(points)])
-    inside = grid[log_likelihood(renamed, [str(i) for i in range(points)], effects, grid) >= value - drop, k]
-    return (float(inside.min()), float(inside.max())) if len(inside) else (float("nan"), float("nan"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varimesh.functions import transforms as tr
-from varimesh.operators import array_resample, arrays, blocks, linear, mixed, resample
+from varimesh.operators import array_resample, arrays, blocks, groups, likelihood, linear, mixed, resample
 from varimesh.operators.storage import saved
 from varimesh.operators.tables import align, check_inputs, dropped, finite, varying
 
@@ -32,7 +32,7 @@ class Result:
 def run(spec: Spec, data: DataFrame, outcomes: DataFrame | None = None, keys: list[str] | None = None, contrasts: list[list[float]] | None = None, pairs: DataFrame | None = None, seed: int = 0) -> Result:
     """Fit a spec to a table with ``fid``, ``iid``, ``eid`` and variables; outcomes may come in a table of their own with the same keys.
 
-    Effects without a closed form take the path by family blocks; ``pairs`` are the relatedness values for A and D.
+    Effects of shared groups go by group sums, relatedness (A and D, with its values in ``pairs``) by family blocks.
     """
     keys = keys or ["iid", "eid"]
     design = build(saved(data), spec)
@@ -48,10 +48,12 @@ def run(spec: Spec, data: DataFrame, outcomes: DataFrame | None = None, keys: li
     if len(spec.outcomes) == 1 and df.schema[spec.outcomes[0]].dataType.typeName() == "array":
         return _run_arrays(spec, design, df, report, contrasts, seed)
     constant = check_inputs(df, design.columns, spec.outcomes)
-    if set(spec.random) <= {"F", "S", "E"}:
+    if spec.random_est == "MOM" and set(spec.random) <= {"F", "S", "E"}:
         fit = mixed.fit(df, design.columns, spec.outcomes, spec.random, spec.n_bins, fixed=spec.fixed)
+    elif {"A", "D"} & set(spec.random):
+        fit = fit_blocks(df if pairs is None else blocks.with_relatedness(df, pairs), design.columns, spec.outcomes, spec.random, spec.n_bins, spec.random_est)
     else:
-        fit = fit_blocks(df if pairs is None else blocks.with_relatedness(df, pairs), design.columns, spec.outcomes, spec.random, spec.n_bins)
+        fit = groups.fit(df, design.columns, spec.outcomes, spec.random, spec.n_bins, spec.random_est)
     table = fit.gls.table(df.sparkSession, None if contrasts is None else np.array(contrasts, float))
     perms = None
     if spec.n_perm and spec.perm_kind != "none":
@@ -80,7 +82,9 @@ def _run_arrays(spec: Spec, design: Design, df: DataFrame, report: DataFrame | N
     return Result(design, fit, table, fit.share_table(df.sparkSession), perms, report, still, significance)
 
 
-def fit_blocks(df: DataFrame, xs: list[str], ys: list[str], effects: tuple[str, ...], n_bins: int = 20) -> mixed.MixedFit:
+def fit_blocks(df: DataFrame, xs: list[str], ys: list[str], effects: tuple[str, ...], n_bins: int = 20, random: str = "MOM") -> mixed.MixedFit:
+    """The whole model with a dense block for each family, which A and D need."""
+    effects = (*[e for e in effects if e != "E"], "E")
     g = linear.gram(df, xs, ys)
     o = linear.ols(g)
     extra = [c for c in ("father_id", "mother_id", "home_id", "preg_id", "rel") if c in df.columns]
@@ -89,6 +93,9 @@ def fit_blocks(df: DataFrame, xs: list[str], ys: list[str], effects: tuple[str,
     for k in range(len(ys)):
         b = mixed.nnls_by_subsets(mm, md[k], dd[k])
         shares[k] = b / max(np.finfo(float).eps, b.sum())
+    if random == "ML":
+        best, _ = likelihood.maximum_likelihood(linear.residuals(df, o, ["fid", "iid", *extra]), ys, effects, (shares + 0.01) * o.sigma2[:, None])
+        shares = best / best.sum(1, keepdims=True)
     cells = mixed.bins(shares, n_bins)
     w = blocks.gls(df, xs, ys, effects, shares, cells, o.sigma2, g.n)
     return mixed.MixedFit(o, w, shares, cells, effects)

@@ -53,6 +53,7 @@ class Spec:
     n_pcs: int = 0
     subject: str = "iid"
     visit: str = "eid"
+    random_est: str = "MOM"
 
     def __post_init__(self):
         seen = set()
@@ -67,6 +68,8 @@ class Spec:
             if v.reference is None:
                 v.reference = "mode" if self.intercept else "none"
             v.winsorize = tuple(sorted(v.winsorize))
+        if self.random_est not in ("MOM", "ML"):
+            raise ValueError(f"unknown estimate of random effects {self.random_est}")
         if self.transform_global not in GLOBAL or self.outcome_transform not in GLOBAL:
             raise ValueError("unknown transform for all columns")
         for t in self.interactions:
@@ -101,6 +104,7 @@ def from_dict(job: dict) -> Spec:
         [_variable(v) for v in fixed.get("vars", [])], crossed, fixed.get("intercept", True), fixed.get("transform_global") or "none",
         [names] if isinstance(names, str) else list(names), dependent.get("transform") or "none", tuple(random), int(advanced.get("n_bins", 20)), int(advanced.get("n_perm", 0)),
         advanced.get("type_perm", "none"), str(advanced.get("type_fixed_est", "GLS")).upper(), advanced.get("type_cov", "analytic"), int(fixed.get("n_gpcs", 0)),
+        random_est=str(advanced.get("type_random_est", "MoM")).upper(),
     )
 
 

@@ -564,13 +564,48 @@ def small(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag14_block_effects")
 def _(spark, d):
-    """Shared homes and mothers within families: one dense block for each family."""
-    from varimesh.plans import model
+    """Shared homes and mothers within families; mothers lie within homes, so corrections follow level by level."""
+    from varimesh.operators import groups
 
-    f = model.fit_blocks(small(spark, d), XS, ["y1"], ("F", "H", "M", "E"))
+    f = groups.fit(small(spark, d), XS, ["y1"], ("F", "H", "M", "E"))
     return f.share_table(spark).unionByName(f.gls.table(spark).select("y_id", F.col("term").alias("effect"), F.col("beta").alias("share")))
 
 
+@query("ag16_group_effects", SQL["fit_gls"])
+def _(spark, d):
+    """Orders as homes: the same model as with orders as subjects, by the form for any nested groups."""
+    from varimesh.operators import groups
+
+    df = obs(spark, d).withColumn("home_id", F.col("iid"))
+    table = groups.fit(df, XS, YS, ("F", "H", "E"), n_bins=0).gls.table(spark).drop("logp")
+    return rounded(rounded(table, 6, "beta", "se"), 3, "z")
+
+
+@query("ag16_crossed_effects")
+def _(spark, d):
+    """Line items' suppliers as fathers and their orders as homes, which cross."""
+    from varimesh.operators import groups
+
+    both = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    df = both.select(F.col("o_custkey").alias("fid"), F.col("l_orderkey").alias("home_id"), (F.col("l_suppkey") % 5).alias("father_id"), F.lit(1.0).alias("Intercept"), (F.col("l_quantity").cast("double") / 10).alias("x1"), F.col("l_discount").cast("double").alias("y1"))
+    f = groups.fit(df, XS, ["y1"], ("F", "P", "H", "E"))
+    return f.share_table(spark).unionByName(f.gls.table(spark).select("y_id", F.col("term").alias("effect"), F.col("beta").alias("share")))
+
+
+@query("ag22_maximum_likelihood")
+def _(spark, d):
+    """Variances of family and home of largest likelihood, with intervals from the profile."""
+    from varimesh.operators import likelihood
+
+    df = small(spark, d)
+    res = linear.residuals(df, linear.ols(linear.gram(df, XS, ["y1"])), ["fid", "iid", "home_id"])
+    effects = ("F", "H", "E")
+    best, value = likelihood.maximum_likelihood(res, ["y1"], effects, np.array([[1.0, 1.0, 5.0]]))
+    ends = likelihood.profile_intervals(res, ["y1"], effects, best)
+    rows = [(e, float(b), float(lo), float(hi), float(value[0])) for e, b, (lo, hi) in zip(effects, best[0], ends[0], strict=True)]
+    return spark.createDataFrame(rows, "effect string, variance double, low double, high double, log_likelihood double")
+
+
 @query("ag17_unstructured")
 def _(spark, d):
     from varimesh.operators import blocks
@@ -582,7 +617,12 @@ def _(spark, d):
     return blocks.gls_unstructured(df, XS, "y1", visits, cov, float(o.sigma2[0]), o.n).table(spark)
 
 
-@query("ag21_log_likelihood")
+@query("ag21_log_likelihood", """WITH c AS (SELECT c_custkey // 50 AS fid, length(c_mktsegment) / 10.0e0 AS x, CAST(c_acctbal AS DOUBLE) / 1000 AS y FROM customer),
+m AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, count(*) AS n FROM c), r AS (SELECT fid, y - b0 - b1 * x AS r FROM c, m), s AS (SELECT sum(r * r) / (any_value(n) - 2) AS s2 FROM r, m),
+f AS (SELECT fid, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM r GROUP BY fid), t AS (SELECT sum(n * n) AS a, sum(n) AS e, sum(s * s) / any_value(s2) AS da, sum(q) / any_value(s2) AS de FROM f, s),
+u AS (SELECT greatest((da - de) / (a - e), 0) AS f0, (da - de) / (a - e) AS f1, de / e AS e1 FROM t),
+v AS (SELECT CASE WHEN f1 < 0 THEN 0 ELSE f0 END AS f, CASE WHEN f1 < 0 THEN e1 ELSE greatest(e1 - f0, 0) END AS e FROM u), w AS (SELECT f / (f + e) * s2 AS f, e / (f + e) * s2 AS e FROM v, s)
+SELECT 'y1' AS y_id, round(sum(-0.5 * ((q - f * s * s / (e + n * f)) / e + (n - 1) * ln(e) + ln(e + n * f) + n * ln(2 * pi()))), 4) AS log_likelihood FROM f AS g, w""".replace("FROM f AS g, w", "FROM (SELECT n, s, q FROM f) AS g, w"))
 def _(spark, d):
     from varimesh.operators import blocks
 
@@ -590,7 +630,7 @@ def _(spark, d):
     f = mixed.fit(df, XS, ["y1"], ("F", "E"))
     res = linear.residuals(df, f.ols, ["fid", "iid"])
     value = blocks.log_likelihood(res, ["y1"], ("F", "E"), f.shares * f.ols.sigma2[:, None])
-    return spark.createDataFrame([("y1", float(value[0]))], "y_id string, log_likelihood double")
+    return spark.createDataFrame([("y1", round(float(value[0]), 4))], "y_id string, log_likelihood double")
 
 
 @query("ag30_sandwich", f"""WITH {OBS}, s AS (SELECT regr_slope(y2, x1) AS b, regr_intercept(y2, x1) AS a, count(*) AS n, sum(x1) AS sx, sum(x1 * x1) AS sxx FROM obs),
