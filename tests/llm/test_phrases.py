@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,15 @@ def test_words_and_pieces():
 def test_counts_past_64_bits(spark):
     found = spark.createDataFrame([("en", "a b", 2, 4 * 10**15, [5 * 10**15], [6 * 10**15])], "lang string, phrase string, words int, f long, above array<long>, ends array<long>")
     assert found.select(F.expr("(cast(2000000 as decimal(38,0)) * f) div (cast(above[0] as decimal(20,0)) + ends[0])")).first()[0] == 2000000 * 4 * 10**15 // (11 * 10**15)
+
+
+def test_ranges_depend_on_the_words_alone():
+    rng = random.Random(9)
+    words = sorted({bytes(rng.choices(b"ab\x01\x1cz", k=rng.randint(1, 3))) for _ in range(30)})
+    nodes = sorted({(rng.randrange(len(words)), rng.randrange(len(words)), rng.randrange(len(words))) for _ in range(300)})
+    cuts = sorted((rng.choice([*words, b"q", b"\x00"]), rng.choice([*words, b"q", b"~"])) for _ in range(12))
+    for depth in (1, 2, 3):
+        own = sorted({n[:depth] for n in nodes})
+        path = [np.array([n[k] for n in own]) for k in range(depth)]
+        want = [sum(tuple(words[i] for i in n) >= c for c in cuts) for n in own]
+        assert phrases._ranges(words, path, cuts).tolist() == want

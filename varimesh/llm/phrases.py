@@ -9,7 +9,7 @@ through the trie of reversed phrases follows the links from each phrase to itsel
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,10 +93,11 @@ class Trie:
         good = whole & ((frequent[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
         at = np.flatnonzero(good[:-1] & good[1:])
         node, above = codes[at].astype(np.int64), []
-        for k in range(1, depth):
+        for k in range(1, depth - 1):
             nodes, node = np.unique(node * len(rank) + codes[at + k], return_inverse=True)
             above.append(nodes)
-        n = np.bincount(node, minlength=len(above[-1])) if len(at) else np.zeros(0, np.int64)
+        leaves, n = np.unique(node * len(rank) + codes[at + depth - 1], return_counts=True)
+        above.append(leaves)
         now, path = np.arange(len(above[-1])), []
         for nodes in reversed(above):
             path.append(nodes[now] % len(rank) - 1)
@@ -105,8 +106,30 @@ class Trie:
         return words, path[::-1], n
 
 
-def shards(texts: DataFrame, depth: int, frequent=None) -> DataFrame:
-    """``(lang, phrase, n)``: the level of every shard's trie, in order within a shard."""
+def _ranges(words: list[bytes], path: list[np.ndarray], cuts: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The range between cuts, pairs of words in order, of each node of a trie; it depends on the node's words alone."""
+    ends = []
+    for first, second in cuts:
+        i = bisect_left(words, first)
+        lo, hi = np.searchsorted(path[0], (i, i + 1))
+        if i < len(words) and words[i] == first:
+            lo = hi if len(path) == 1 else lo + np.searchsorted(path[1][lo:hi], bisect_left(words, second))
+        ends.append(int(lo))
+    return np.repeat(np.arange(len(cuts) + 1, dtype=np.int32), np.diff([0, *ends, len(path[0])]))
+
+
+def _cuts(words: DataFrame) -> list[tuple[bytes, bytes]]:
+    """Where to cut all phrases into ranges of like weight: pairs of words drawn with their counts, as many as four for each shuffle partition. Results don't depend on them."""
+    parts = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = (F.pmod(F.xxhash64("phrase", "lang"), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    drawn = [r["phrase"].encode() for r in words.orderBy(-F.ln(u) / F.col("n"), "phrase", "lang").limit(8 * parts).select("phrase").collect()]
+    pairs = sorted({*zip(drawn, drawn[1:], strict=False), *zip(drawn, drawn[2:], strict=False)})
+    return pairs[:: max(1, math.ceil(len(pairs) / parts))][1:]
+
+
+def shards(texts: DataFrame, depth: int, frequent=None, cuts: list[tuple[bytes, bytes]] = ()) -> DataFrame:
+    """``(lang, phrase, n, range)``: the level of every shard's trie, in order within a shard and cut into ranges."""
+    cuts = list(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
@@ -114,10 +137,11 @@ def shards(texts: DataFrame, depth: int, frequent=None) -> DataFrame:
         def level(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
             for lang in sorted(tries):
                 words, path, n = tries[lang].level(depth, bits)
+                ranges = _ranges(words.to_pylist() if cuts else [], path, cuts)
                 for at in range(0, len(n), 1 << 14):
                     parts = [words.take(pa.array(p[at : at + (1 << 14)])) for p in path]
                     some = (pc.binary_join_element_wise(*parts, b" ") if depth > 1 else parts[0]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[at : at + (1 << 14)], pa.int64())], ["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[at : at + (1 << 14)], pa.int64()), pa.array(ranges[at : at + (1 << 14)])], ["lang", "phrase", "n", "range"])
 
         tries: dict[str, Trie] = {}
         for batch in batches:
@@ -130,25 +154,25 @@ def shards(texts: DataFrame, depth: int, frequent=None) -> DataFrame:
                     tries = {}
         yield from level(tries)
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+    return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long, range int")
 
 
 def merged(tries: DataFrame) -> DataFrame:
-    """The counts of all shards added up: ranges of ``(phrase, lang)``, each read through in order, with the sum of equal neighbours."""
+    """The counts of all shards added up: each range of phrases is read through in order, with the sum of equal neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if last is not None:
-                table = pa.concat_tables([last, table])
+                table = pa.concat_tables([last, table.select(last.column_names)])
             table = table.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
             last = table.slice(table.num_rows - 1)  # it may go on in the next batch
             yield from table.slice(0, table.num_rows - 1).to_batches()
         if last is not None:
             yield from last.to_batches()
 
-    return saved(tries).repartitionByRange("phrase", "lang").sortWithinPartitions("phrase", "lang").mapInArrow(run, "lang string, phrase string, n long")
+    return tries.repartition("range").sortWithinPartitions("phrase", "lang").select("lang", "phrase", "n").mapInArrow(run, "lang string, phrase string, n long")
 
 
 def _filter(frequent: DataFrame):
@@ -181,12 +205,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH) ->
     if least < 1 or not 1 <= depth <= 16:
         raise ValueError("phrases need a least count and a depth of 1 to 16")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
-    every = saved(merged(shards(texts, 1)))
+    # words have no ranges yet, and are few beside phrases
+    every = saved(shards(texts, 1).groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     sizes = saved(every.groupBy("lang").agg(F.sum("n").alias("n")), few=True)
     level = every.where(F.col("n") >= least)
     out = level.withColumn("words", F.lit(1))
+    cuts = _cuts(level)
     for k in range(2, depth + 1):
-        level = saved(merged(shards(texts, k, _filter(level))).where(F.col("n") >= least))
+        level = saved(merged(shards(texts, k, _filter(level), cuts)).where(F.col("n") >= least))
         out = out.unionByName(level.withColumn("words", F.lit(k)))
     return out.select("lang", "phrase", "words", F.col("n").alias("f")), sizes
 
