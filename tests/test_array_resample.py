@@ -69,3 +69,36 @@ def test_job_with_resamples_of_arrays(wide):
     job.n_perm, job.perm_kind = 10, "wildbootstrap"
     run = model.run(job, wide)
     assert run.resamples.count() == 11 * 14 and run.significance.count() == 14
+
+
+def mahalanobis(z, keep):
+    """Lengths of the rows of z, the observed one first, with the whole covariance of the others."""
+    u, s, _ = np.linalg.svd(np.cov(z[1:].T))
+    s = np.maximum(s, s[keep - 1])
+    return np.einsum("bi,ij,bj->b", z, (u / s) @ u.T, z)
+
+
+@pytest.mark.parametrize("keep", [2, 5, 7])
+def test_multivariate_against_the_whole_covariance(wide, keep):
+    fit = arrays.fit(wide, ["one", "x"], "a", 7)
+    boot = array_resample.Bootstrap(wide, fit, "a", 30, seed=1)
+    long = boot.table().where("term = 'x'").cache()
+    wide_z = long.toPandas().pivot(index="perm_id", columns="y_id", values="z").sort_index().to_numpy()
+    want = mahalanobis(wide_z, keep)
+    for got in (boot.multivariate("x", keep), resample.multivariate(long, keep=keep)):
+        rows = got.orderBy("perm_id").toPandas()
+        assert rows.stat.to_numpy() == pytest.approx(want, rel=1e-6)
+        assert rows.logp[0] == pytest.approx(-np.log10(((want[1:] >= want[0]).sum() + 1) / 30))
+
+
+def test_multivariate_of_ten_thousand_outcomes(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(40, 6)) @ rng.normal(size=(6, 10_000)) + rng.normal(size=(40, 10_000))
+    z[0] += 3
+    df = spark.createDataFrame([(k, [float(x) for x in z[:, k]]) for k in range(10_000)], "y_id int, m array<double>").select("y_id", F.posexplode("m").alias("perm_id", "z"))
+    got = resample.multivariate(df.select("y_id", F.col("perm_id").cast("long").alias("perm_id"), "z"), keep=6).orderBy("perm_id").toPandas().stat.to_numpy()
+    centred = z[1:] - z[1:].mean(0)
+    _, s, w = np.linalg.svd(centred, full_matrices=False)
+    lead, along = s[:6] ** 2 / 38, z @ w[:6].T
+    want = (along**2 / lead).sum(1) + ((z * z).sum(1) - (along**2).sum(1)) / lead[-1]
+    assert got == pytest.approx(want, rel=1e-6)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrays import _matrix, codes, combine, lists, sliced
 from .mixed import MixedFit, three, with_groups
-from .resample import weights
+from .resample import length_table, lengths, weights
 from .storage import saved
 
 #: Numbers in a tile's sums, over all resamples and terms.
@@ -218,3 +218,26 @@ class Bootstrap:
                     ], ["y_id", "term", "observed", "logp", "family_logp"])
 
         return self.sums.mapInArrow(run, "y_id string, term string, observed double, logp double, family_logp double")
+
+    def multivariate(self, term: str, keep: int | None = None) -> DataFrame:
+        """``(perm_id, stat, logp)`` of one term over all outcomes: see :func:`.resample.multivariate`. Tasks add up products of resamples over their tiles."""
+        of, i, perms, model = self._statistics(), self.fit.gls.terms.index(term), self.perms, self.model
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h = None
+            for batch in sliced(batches, 1):
+                for tile, m in zip(batch.column(0).to_pylist(), _matrix(batch.column(1), batch.num_rows), strict=True):
+                    at, _, z = of(tile, m)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        z = np.nan_to_num(np.concatenate(((model.beta[i, at] / model.se[i, at])[None], z[:, i])), posinf=0, neginf=0)
+                    h = z @ z.T if h is None else h + z @ z.T
+            if h is not None:
+                step = max(1, TILE // (perms + 1))
+                for k in range(0, perms + 1, step):
+                    own = h[k : k + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(own))), lists(own)], ["i", "m"])
+
+        h = np.zeros((perms + 1, perms + 1))
+        for batch in sliced(iter(combine(self.sums.mapInArrow(run, "i long, m array<double>"), ["i"]).toArrow().to_batches()), 1):
+            h[batch.column(0).to_numpy()] = _matrix(batch.column(1), batch.num_rows)
+        return length_table(self.sums.sparkSession, lengths(h, keep, len(model.at)))

@@ -147,29 +147,66 @@ def mediation(full: DataFrame, reduced: DataFrame, term: str, level: float = 0.0
     return {"estimate": seen, "se": row["s"], "t": t, "normal": (seen - z * row["s"], seen + z * row["s"]), "percentile": (row["lo"], row["hi"]), "logp": float(-gamma_logsf((t - row["m"] / row["s"]) ** 2 / scale, shape) / np.log(10))}
 
 
-def multivariate(perms: DataFrame, outcomes: list[str], keep: int | None = None) -> DataFrame:
-    """``(perm_id, stat, logp)``: the Mahalanobis length of each resample's Z values under their covariance over resamples.
+def lengths(h: np.ndarray, keep: int | None, outcomes: int) -> np.ndarray:
+    """Squared Mahalanobis lengths of all resamples, the observed one first, from the products of their statistics over outcomes.
 
-    The covariance, as wide as the outcomes, is a sum of products; its small singular values are raised to the ``keep``-th.
+    The covariance is that of the resamples; its singular values beyond the ``keep``-th, those of directions that no resample takes among them, count as large as that one. So the leading
+    directions, which the products give, are enough, and no matrix of outcomes by outcomes is made.
     """
-    wide = perms.groupBy("perm_id").pivot("y_id", outcomes).agg(F.first("z"))
-    v = len(outcomes)
-    c = [F.col(f"`{y}`") for y in outcomes]
-    row = wide.where("perm_id > 0").agg(*[F.covar_samp(c[i], c[j]).alias(f"c{i}_{j}") for i in range(v) for j in range(i, v)]).first()
-    cov = np.zeros((v, v))
-    at = 0
-    for i in range(v):
-        for j in range(i, v):
-            cov[i, j] = cov[j, i] = row[at]
-            at += 1
-    u, s, _ = np.linalg.svd(cov)
-    s = np.maximum(s, s[min(keep or v, v) - 1])
-    inv = (u / s) @ u.T
-    stat = sum((F.lit(float(inv[i, j])) * c[i] * c[j] for i in range(v) for j in range(v)), F.lit(0.0))
-    out = wide.select("perm_id", stat.alias("stat"))
-    observed = out.where("perm_id = 0").first()["stat"]
-    reached, n = out.where("perm_id > 0").agg(F.sum((F.col("stat") >= F.lit(observed)).cast("long")), F.count(F.lit(1))).first()
-    return out.select("perm_id", "stat", F.lit(float(-np.log10((reached + 1) / n))).alias("logp"))
+    n = len(h) - 1
+    middle = h[1:, 1:] - h[1:, 1:].mean(0) - h[1:, 1:].mean(1)[:, None] + h[1:, 1:].mean()
+    value, vector = np.linalg.eigh((middle + middle.T) / 2)
+    value, vector = value[::-1], vector[:, ::-1]
+    k = min(keep or outcomes, outcomes, int((value > 1e-12 * max(value[0], 1e-300)).sum()))
+    if not k:
+        return np.full(n + 1, np.nan)
+    cross = h[1:] - h[1:].mean(0)
+    along = (vector[:, :k].T @ cross) ** 2 / value[:k, None]
+    spread = value[:k] / (n - 1)
+    return (along / spread[:, None]).sum(0) + np.maximum(np.diag(h) - along.sum(0), 0) / spread[-1]
+
+
+def multivariate(perms: DataFrame, outcomes: list[str] | None = None, keep: int | None = None) -> DataFrame:
+    """``(perm_id, stat, logp)``: the Mahalanobis length of each resample's Z values under their covariance over resamples, for any number of outcomes.
+
+    ``perms`` has ``perm_id`` from 0, ``y_id`` and ``z``. An outcome's values over resamples are one vector, and each task adds up its outcomes' products, resamples by resamples: that matrix, a
+    number for each pair of resamples, is all that is moved. A missing value counts as 0.
+    """
+    from .arrays import _matrix, combine, lists, sliced
+
+    if outcomes is not None:
+        perms = perms.where(F.col("y_id").isin(outcomes))
+    n = perms.agg(F.max("perm_id")).first()[0]
+    if n is None:
+        return perms.sparkSession.createDataFrame([], "perm_id long, stat double, logp double")
+    vectors = perms.groupBy("y_id").agg(F.collect_list(F.struct("perm_id", "z")).alias("c"))  # a number for each resample
+
+    def products(batches):
+        h, seen = np.zeros((n + 1, n + 1)), 0
+        for batch in batches:
+            m = np.zeros((batch.num_rows, n + 1))
+            for k, c in enumerate(batch.column(0)):
+                m[k, c.values.field("perm_id").to_numpy()] = np.nan_to_num(c.values.field("z").to_numpy(zero_copy_only=False).astype(float))
+            h += m.T @ m
+            seen += batch.num_rows
+        if seen:
+            step = max(1, (1 << 20) // (n + 1))
+            for at in range(0, n + 1, step):
+                own = h[at : at + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(own))), lists(np.concatenate((own, np.full((len(own), 1), seen)), 1))], ["i", "m"])
+
+    h, v = np.zeros((n + 1, n + 1)), 0
+    for batch in sliced(iter(combine(vectors.select("c").mapInArrow(products, "i long, m array<double>"), ["i"]).toArrow().to_batches()), 1):
+        m = _matrix(batch.column(1), batch.num_rows)
+        h[batch.column(0).to_numpy()], v = m[:, :-1], int(m[0, -1])
+    return length_table(perms.sparkSession, lengths(h, keep, v))
+
+
+def length_table(spark, stat: np.ndarray) -> DataFrame:
+    """``(perm_id, stat, logp)``, with the observed one's -log10 p among all resamples."""
+    n = len(stat) - 1
+    logp = float(-np.log10(((stat[1:] >= stat[0]).sum() + 1) / n))
+    return spark.createDataFrame([(k, float(x), logp) for k, x in enumerate(stat)], "perm_id long, stat double, logp double")
 
 
 def enhance(stats: DataFrame, edges: DataFrame, steps: int = 100, e: float = 0.5, h: float = 2.0) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from varimesh.functions import dist, splines
 from varimesh.functions import transforms as tr
-from varimesh.operators import array_resample, arrays, linear, mixed, resample, tables
+from varimesh.operators import array_resample, arrays, linear, mixed, resample, tables, tails
 from varimesh.sources import sinks, tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -884,6 +884,28 @@ def _(spark, d):
     return array_resample.Bootstrap(df, arrays.fit(df, XS, "embedding", 64), "embedding", 200, 5).significance()
 
 
+@query("wn07_cross_outcome_tail")
+def _(spark, d):
+    """One gamma law for each term over the resamples of all 64 outcomes, every outcome judged by it; and the law of the largest of all outcomes."""
+    df = vectors(spark, d)
+    p = array_resample.Bootstrap(df, arrays.fit(df, XS, "embedding", 64), "embedding", 200, 5).table()
+    own = tails.tail_p(p, ["term", "y_id"], over=["y_id"])
+    whole = tails.family_tail_p(p, ["term"], ["term", "y_id"]).select("term", "y_id", F.col("logp").alias("family_logp"))
+    return own.join(whole, ["term", "y_id"])
+
+
+@query("wn08_weibull_tail")
+def _(spark, d):
+    return tails.tail_p(perms(spark, d), ["term"], law="weibull", low=0.5, high=0.95)
+
+
+@query("ag32_array_multivariate")
+def _(spark, d):
+    """The joint statistic of 64 outcomes from products of resamples, without their covariance."""
+    df = vectors(spark, d)
+    return array_resample.Bootstrap(df, arrays.fit(df, XS, "embedding", 64), "embedding", 200, 5).multivariate("x1", 20)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
