@@ -184,3 +184,68 @@ def test_what_a_file_holds(spark, tmp_path):
     assert {tuple(r) for r in subjects.collect()} == {("s2", 2, True), ("nobody", None, False)}
     assert {tuple(r) for r in variants.collect()} == {("rs4", "1", 40, 4, True), ("none", None, None, None, False)}
     assert genotypes.check(spark, str(tmp_path / "c"))[0].where("in_file").count() == 4
+
+
+def test_volumes_written_and_read_back(spark, tmp_path):
+    from varimesh.sources import volumes
+
+    rng = np.random.default_rng(1)
+    maps = {"age z": {int(p): float(rng.normal()) for p in rng.choice(60, 20, replace=False)}, "last": {59: 1.5}, "first": {0: -2.0}}
+    df = spark.createDataFrame([(m, p, v) for m, x in maps.items() for p, v in x.items()] + [("first", 3, None)], "map_id string, pos int, value double").repartition(5)
+    affine = np.array([[2.0, 0, 0, -9], [0, 2, 0, 4], [0, 0, 3, 1], [0, 0, 0, 1]])
+    done = {r["map_id"]: (r["path"], r["n"]) for r in volumes.write_nifti(df, str(tmp_path / "maps"), (3, 4, 5), affine, fill=7.0).collect()}
+    assert {k: n for k, (_, n) in done.items()} == {"age z": 20, "last": 1, "first": 1}
+    for name, want in maps.items():
+        values, got = volumes.parse_nifti((tmp_path / "maps" / (name.replace(" ", "_") + ".nii")).read_bytes())
+        assert values.shape == (3, 4, 5) and got == pytest.approx(affine)
+        assert values.ravel(order="F") == pytest.approx([want.get(p, 7.0) for p in range(60)], rel=1e-6)
+        back = volumes.read_nifti(spark, done[name][0]).where("value <> 7")
+        assert {r["pos"] for r in back.collect()} == set(want)
+    mask = spark.createDataFrame([(k, 59 - 2 * k) for k in range(30)], "pos int, place int")
+    volumes.write_nifti(df.where("map_id = 'first'"), str(tmp_path / "masked"), (3, 4, 5), mask=mask).collect()
+    assert volumes.parse_nifti((tmp_path / "masked/first.nii").read_bytes())[0].ravel(order="F")[59] == -2
+    with pytest.raises(Exception, match="outside"):
+        volumes.write_nifti(df, str(tmp_path / "bad"), (3, 4, 4)).collect()
+    assert volumes.write_nifti(df.limit(0), str(tmp_path / "none"), (3, 4, 5)).count() == 0
+
+
+def octahedron():
+    points = np.array([[1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1.0]])
+    faces = np.array([[a, b, c] for a in (0, 1) for b in (2, 3) for c in (4, 5)])
+    return points, faces
+
+
+def test_surfaces(spark, tmp_path):
+    """Meshes of both formats, labels, neighbours and areas; enhancement with areas from a file."""
+    import struct
+
+    from varimesh.operators import resample
+    from varimesh.sources import surfaces
+
+    points, faces = octahedron()
+    (tmp_path / "lh.tri").write_bytes(surfaces.TRIANGLES + b"made by hand\n\n" + struct.pack(">2i", 6, 8) + points.astype(">f4").tobytes() + faces.astype(">i4").tobytes())
+    array = lambda intent, x, kind, form, enc, body: f'<DataArray Intent="{intent}" DataType="{kind}" ArrayIndexingOrder="RowMajorOrder" Dimensionality="2" Dim0="{len(x)}" Dim1="3" Encoding="{enc}" Endian="LittleEndian"><Data>{body}</Data></DataArray>'
+    import base64
+
+    xml = "<GIFTI>" + array("NIFTI_INTENT_POINTSET", points, "NIFTI_TYPE_FLOAT32", "f4", "Base64Binary", base64.b64encode(points.astype("<f4").tobytes()).decode())
+    xml += array("NIFTI_INTENT_TRIANGLE", faces, "NIFTI_TYPE_INT32", "i4", "ASCII", " ".join(map(str, faces.ravel()))) + "</GIFTI>"
+    (tmp_path / "lh.gii").write_text(xml)
+    for name in ("lh.tri", "lh.gii"):
+        v, f = surfaces.read_vertices(spark, str(tmp_path / name)), surfaces.read_faces(spark, str(tmp_path / name))
+        assert [(r.x, r.y, r.z) for r in v.orderBy("pos").collect()] == [tuple(p) for p in points]
+        edges, areas = surfaces.mesh_edges(f), {r.pos: r.area for r in surfaces.vertex_areas(f, v).collect()}
+        assert edges.count() == 12 and edges.where("a = 0 and b = 1").count() == 0
+        assert list(areas.values()) == pytest.approx([4 * np.sqrt(3) / 6] * 6) and len(areas) == 6
+    stats = spark.createDataFrame([("m", p, x) for p, x in enumerate([2.0, 0.0, 2.0, 0.0, -1.0, 0.0])], "map_id string, pos long, value double")
+    with_area = stats.join(surfaces.vertex_areas(f, v), "pos")
+    got = {r.pos: r.tfce for r in resample.enhance(with_area, edges, steps=2).collect()}
+    one = 4 * np.sqrt(3) / 6
+    assert got[0] == pytest.approx((3 * one) ** 0.5 * 1 + (2 * one) ** 0.5 * 4) and got[4] == pytest.approx(-((3 * one) ** 0.5))
+    label = struct.pack(">i", 3) + struct.pack(">6i", 0, 1 + (2 << 8) + (3 << 16), 1, 99, 4, 1 + (2 << 8) + (3 << 16)) + struct.pack(">3i", 1, -2, 2) + struct.pack(">i", 4) + b"tab\0"
+    label += struct.pack(">i", 1) + struct.pack(">2i", 0, 6) + b"bank.\0" + struct.pack(">4i", 1, 2, 3, 0)
+    (tmp_path / "lh.annot").write_bytes(label)
+    assert {(r.pos, r.name) for r in surfaces.read_annotation(spark, str(tmp_path / "lh.annot")).collect()} == {(0, "bank."), (1, None), (4, "bank.")}
+    with pytest.raises(Exception, match="neither"):
+        surfaces.read_faces(spark, str(tmp_path / "lh.annot")).collect()
+    done = surfaces.write_overlays(stats, str(tmp_path / "out"), 8).first()
+    assert surfaces.parse_xml(open(done.path, "rb").read())[0][1] == pytest.approx([2, 0, 2, 0, -1, 0, 0, 0])
