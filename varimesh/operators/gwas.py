@@ -243,6 +243,17 @@ def with_main(basis: list[str], one: str = "Intercept") -> list[str]:
     return [*basis, one]
 
 
+def typed(kind: str, basis: list[str] | None = None, main: bool = True, one: str = "Intercept") -> list[str] | None:
+    """The basis columns of the four named kinds: ``cross`` and ``long`` test the variant's own effect, ``cross_interact`` and ``long_interact`` its products with ``basis``, its own effect first with ``main``."""
+    if kind not in ("cross", "cross_interact", "long", "long_interact"):
+        raise ValueError(f"unknown kind of association {kind}")
+    if kind in ("cross", "long"):
+        return None
+    if not basis:
+        raise ValueError(f"{kind} needs basis columns")
+    return [one, *basis] if main else list(basis)
+
+
 def sex_basis(design: DataFrame, sex: str) -> tuple[DataFrame, list[str]]:
     """A 0/1 column for each sex, for a variant's effect within each."""
     levels = sorted(r[0] for r in design.select(sex).where(F.col(sex).isNotNull()).distinct().limit(10).collect())

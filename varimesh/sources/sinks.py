@@ -77,6 +77,22 @@ def upper_triangle(df: DataFrame, keys: list[str], column: str, labels: list[str
     return long.select(*keys, "_n.a", "_n.b", "value")
 
 
+def by_term(stats: DataFrame, shares: DataFrame | None = None, wald: DataFrame | None = None, variance: DataFrame | None = None) -> DataFrame:
+    """``(kind, key, json)``: JSON lists over the outcomes, one for each fixed effect, random effect (``y_id, effect, share``), Wald test (``y_id, contrast, statistic, df, logp``) and the total variance (``y_id, sigma2``)."""
+    parts = [by_key(stats, "term", "y_id").select(F.lit("fixed").alias("kind"), F.col("term").alias("key"), "json")]
+    if shares is not None:
+        parts.append(by_key(shares, "effect", "y_id", ("share",)).select(F.lit("random").alias("kind"), F.col("effect").alias("key"), "json"))
+    if wald is not None:
+        parts.append(by_key(wald, "contrast", "y_id", ("statistic", "df", "logp")).select(F.lit("wald").alias("kind"), F.col("contrast").cast("string").alias("key"), "json"))
+    if variance is not None:
+        whole = variance.withColumn("_all", F.lit("sigma2"))
+        parts.append(by_key(whole, "_all", "y_id", ("sigma2",)).select(F.lit("variance").alias("kind"), F.col("_all").alias("key"), "json"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def save_run(result, path: str, settings: dict | None = None) -> None:
     """Everything of a fitted job under one folder: estimates, shares, design, ids, JSON by outcome and by term, mapping and summary."""
     spark = result.estimates.sparkSession
@@ -87,10 +103,17 @@ def save_run(result, path: str, settings: dict | None = None) -> None:
     write_table(design.select(*ids, *result.design.columns).withColumnsRenamed({"iid": "participant_id", "eid": "session_id"}), f"{path}/design")
     write_table(design.select(*ids), f"{path}/ids")
     write_table(by_key(result.estimates, "y_id", "term"), f"{path}/by_outcome")
-    write_table(by_key(result.estimates, "term", "y_id"), f"{path}/by_term")
+    fit = result.fit.gls
+    variance = spark.createDataFrame([(y, float(x)) for y, x in zip(fit.ys, fit.sigma2, strict=True)], "y_id string, sigma2 double")
+    write_table(by_term(result.estimates, result.shares, None, variance), f"{path}/by_term", partition_by=["kind"])
     n = design.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("iid").alias("subjects"), F.countDistinct("fid").alias("families")).first().asDict()
     texts = [("summary", strict_json({**n, "settings": settings or {}, "dropped_columns": result.design.dropped, "constant": result.constant})), ("mapping", strict_json(result.design.mapping))]
     for name, text in texts:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
-    if result.resamples is not None:
-        write_table(result.resamples, f"{path}/resamples")
+    tables = [("estimates", "statistics of every outcome and term"), ("shares", "variance shares"), ("design", "design matrix"), ("ids", "analysed rows"), ("by_outcome", "statistics as JSON by outcome"), ("by_term", "statistics, shares and total variance as JSON by term"), ("summary", "counts and settings"), ("mapping", "columns of each variable")]
+    for name, df, what in (("resamples", result.resamples, "resamples"), ("significance", result.significance, "ranks among resamples"), ("dropped", result.dropped, "keys without a partner")):
+        if df is not None:
+            write_table(df, f"{path}/{name}")
+            tables.append((name, what))
+    tracker = [{"name": name, "path": f"{path}/{name}", "holds": what} for name, what in tables]
+    spark.createDataFrame([(strict_json(tracker),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/files")

@@ -74,6 +74,21 @@ def load_variables(spark: SparkSession, roots: list[str], variables: list[str],
     return out.withColumnsRenamed(rename or {})
 
 
+def read_two_headers(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame, dict[str, str]]:
+    """A text table whose second line describes its columns: the rows, and the description of each column. A column of which every value is a number becomes one."""
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, nullValue="NA")
+    names = raw.columns
+    head = spark.read.text(path).limit(2).collect()
+    labels = next(iter(spark.read.csv(spark.sparkContext.parallelize([head[1]["value"]], 1), sep=sep).collect()), None) if len(head) > 1 else None
+    if labels is None:
+        return raw, {}
+    labels = dict(zip(names, labels, strict=False))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.lit(labels.get(c))) for c in names])
+    rows = raw.where(~same)
+    numbers = rows.agg(*[(F.count(f"`{c}`") == F.count(F.expr(f"try_cast(`{c}` as double)"))).alias(c) for c in names]).first()
+    return rows.select(*[F.expr(f"try_cast(`{c}` as double)").alias(c) if numbers[c] else F.col(f"`{c}`") for c in names]), labels
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """One unnamed column of ids."""
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
