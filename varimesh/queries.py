@@ -906,6 +906,40 @@ def _(spark, d):
     return array_resample.Bootstrap(df, arrays.fit(df, XS, "embedding", 64), "embedding", 200, 5).multivariate("x1", 20)
 
 
+@query("api04_outcomes", """WITH c AS (SELECT c_custkey AS iid, c_nationkey AS eid, CAST(c_acctbal AS DOUBLE) AS v FROM customer),
+q AS (SELECT DISTINCT o_custkey AS iid FROM orders WHERE o_orderstatus = 'F'), f AS (SELECT c.*, v IS NOT NULL AS a, q.iid IS NOT NULL AS b, n_nationkey IS NOT NULL AS d FROM c LEFT JOIN q USING (iid) LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) ON n_nationkey = eid)
+SELECT 'missing outcome' AS reason, count(*) FILTER (NOT a) AS n, NULL::DOUBLE AS total FROM f UNION ALL SELECT 'subject', count(*) FILTER (NOT b), NULL FROM f UNION ALL SELECT 'event', count(*) FILTER (NOT d), NULL FROM f
+UNION ALL SELECT 'kept', count(*), round(sum(v), 2) FROM f WHERE a AND b AND d""")
+def _(spark, d):
+    """Customers' balances as outcomes, cut to those with finished orders and to three regions' nations, with an account of the rest."""
+    from varimesh.sources import outcomes
+
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("v"))
+    done = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("iid"))
+    near = t(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("eid"))
+    got = outcomes.load_outcomes(c, "external", keys=("c_custkey", "c_nationkey"), subjects=done, events=near)
+    kept = got.df.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    return got.dropped.select("reason", "n", F.lit(None).cast("double").alias("total")).unionByName(kept)
+
+
+@query("ag34_block_permutations")
+def _(spark, d):
+    """Customers exchanged within their nations, segments as variance groups: the G statistic of a permutation test."""
+    from varimesh.operators import exchange
+
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("row"), F.col("c_nationkey").alias("block"), F.col("c_mktsegment").alias("variance_group"), F.lit(1.0).alias("Intercept"), (F.col("c_custkey") % 7).cast("double").alias("x1"), (F.col("c_acctbal").cast("double") / 1000).alias("y"))
+    return exchange.permutation_test(c, XS, "y", ["x1"], 50, seed=3)
+
+
+@query("ag42_kernel_classifier")
+def _(spark, d):
+    """Whether a vector's label is odd, from all its places by a radial kernel, on families left out."""
+    from varimesh.plans import classify
+
+    e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("fid"), "embedding", (F.col("label") % 2).alias("odd"))
+    return classify.kernel_auc(e, "embedding", 64, "odd", k_folds=5, n_components=20, features=128, seed=1)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
