@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .linear import gram, inverse
 from .storage import saved
 
+#: A number of permutations past which they are not counted.
+MANY = 10**18
 #: Rows of a block that one range of hashes holds, about.
 RANGE = 50_000
 
@@ -40,9 +42,13 @@ def _placed(rows: DataFrame, keys: list[str], key: str, sizes: DataFrame, name:
 
 def number_of_permutations(sizes: list[int], how: str) -> int:
     """How many different orders there are of rows within blocks of these sizes, or of whole blocks of like size."""
-    if how == "within":
-        return int(np.prod([float(factorial(min(s, 170))) for s in sizes]).clip(max=1e18))
-    return int(np.prod([float(factorial(min(c, 170))) for c in np.unique(sizes, return_counts=True)[1]]).clip(max=1e18))
+    counts = sizes if how == "within" else np.unique(sizes, return_counts=True)[1].tolist()
+    out = 1
+    for c in counts:
+        out *= factorial(c) if c < 25 else MANY
+        if out >= MANY:
+            return MANY
+    return out
 
 
 def sources(rows: DataFrame, perms: int, how: str = "within", seed: int = 0, signs: bool = False, exhaustive: bool = True) -> tuple[DataFrame, int]:
