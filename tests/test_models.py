@@ -45,6 +45,16 @@ def test_mixed_against_dense(data):
         assert f.gls.beta[:, k] == pytest.approx(c @ x.T @ w @ y[:, k]) and f.gls.covariance(k) == pytest.approx(c * s2[k])
 
 
+def test_many_bins_as_vectors(data, monkeypatch):
+    """Sums of bins as vectors give what they give as expressions."""
+    df, _ = data
+    want = [mixed.fit(df, ["one", "x"], ["y", "z"], e, n_bins=0) for e in (("F", "S", "E"), ("F", "E"))]
+    monkeypatch.setattr(mixed, "MOST", 0)
+    for w, e in zip(want, (("F", "S", "E"), ("F", "E")), strict=True):
+        got = mixed.fit(df, ["one", "x"], ["y", "z"], e, n_bins=0)
+        assert got.gls.beta == pytest.approx(w.gls.beta) and got.gls.cov == pytest.approx(w.gls.cov) and got.bins.tolist() == w.bins.tolist()
+
+
 def test_blocks_equal_closed_form(data):
     df, _ = data
     f = mixed.fit(df, ["one", "x"], ["y", "z"])

@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .linear import Fit, Gram, gram, nearest_spd, ols, residuals
 
 EFFECTS = ("F", "S", "E")
+#: Sums that one aggregate may hold as expressions.
+MOST = 2000
 
 
 def with_groups(df: DataFrame, effects: tuple[str, ...]) -> DataFrame:
@@ -143,10 +145,17 @@ def weighted_grams(g: Gram, sums: DataFrame, shares: list[np.ndarray], outcomes:
 
 
 def gls(df: DataFrame, g: Gram, shares: np.ndarray, sigma2: np.ndarray, n_bins: int = 20) -> tuple[Fit, np.ndarray]:
-    """Generalised least squares, one weighting for each bin of outcomes at the bin's mean shares; the variance is that of ordinary residuals. One job for all bins."""
+    """Generalised least squares, one weighting for each bin of outcomes at the bin's mean shares; the variance is that of ordinary residuals. One job for all bins.
+
+    Where the bins' sums would be more expressions than a plan should hold, they are vectors instead, with the same result.
+    """
     cell = bins(shares, n_bins)
     p = len(g.xs)
     owners = [np.flatnonzero(cell == b) for b in np.unique(cell)]
+    if sum(p * (p + len(own)) for own in owners) > MOST:
+        from .groups import nested_gls
+
+        return nested_gls(df, g, ["S", "F"], EFFECTS, shares, sigma2, n_bins)
     # with no error share the covariance is singular, so a little of it stands in
     means = [m if m[-1] > 0 else m + np.array([0, 0, 1e-6]) for m in (shares[own].mean(axis=0) for own in owners)]
     beta, cov = np.zeros((p, len(g.ys))), np.zeros((len(g.ys), p, p))
