@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from varimesh.llm import exact, line_dedup, simhash
+from varimesh.llm import exact, line_dedup, linking, simhash
 from varimesh.llm.common import components
 
 
@@ -350,3 +351,46 @@ def test_components(spark):
     for n, k in zip(nodes, want, strict=True):
         least.setdefault(k, n)
     assert got == {n: least[k] for n, k in zip(nodes, want, strict=True)}
+
+
+def test_words_settle_what_characters_would(spark):
+    """Lines of many words, with words replaced, moved, dropped and put in: the verdict is that of the distance in characters wherever half of the words agree."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 12))))
+    rows = []
+    for i in range(90):
+        w = [word() for _ in range(int(rng.integers(16, 70)))]
+        v = [word() if rng.random() < i / 250 else x for x in w]
+        at, to = (int(x) for x in rng.integers(0, len(v), 2))
+        v[at:at] = [v.pop(to)] if i % 3 else [word() for _ in range(i % 7)]
+        rows.append((" ".join(w), " ".join(v)))
+
+    def want(a, b):
+        w, v = a.split(" "), b.split(" ")
+        return distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-6 and distance(w, v) <= max(len(w), len(v)) // 2
+
+    expected = [want(a, b) for a, b in rows]
+    assert judged(spark.createDataFrame(rows, "a string, b string").coalesce(1)) == expected and 20 < sum(expected) < 80
+
+
+def test_pairs_of_very_long_lines_take_seconds(spark):
+    """Lines of a million characters are settled by the pairs of words they share, or of runs where they have no words."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(20000)])
+    w = rng.choice(vocabulary, 150000)
+    some, many = (np.where(rng.random(len(w)) < p, rng.choice(vocabulary, len(w)), w) for p in (0.1, 0.5))
+    solid, other = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 200000)) for _ in range(2))
+    rows = [(" ".join(w), " ".join(x)) for x in (some, many, w[:100000])] + [(solid, solid[:90000] + "another" + solid[90000:]), (solid[:30000], other[:30000])]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    began = time.perf_counter()
+    got = {(r["n"], r["m"]) for r in line_dedup.alike(df.select(F.col("a").alias("norm"), F.col("b").alias("norm2"), F.length("a").alias("n"), F.length("b").alias("m"))).select("n", "m").collect()}
+    assert got == {(len(a), len(b)) for a, b in (rows[0], rows[3])} and time.perf_counter() - began < 90
+
+
+def test_one_template_is_dealt_into_bounded_parts(spark, monkeypatch):
+    """Rows with one fingerprint and one key are ordered in many parts, and still all meet the first of them."""
+    monkeypatch.setattr(linking, "PART", 20)
+    rows = spark.range(900).select(F.col("id"), F.lit(7).cast("long").alias("fp"), F.array(F.lit(1).cast("long")).alias("keys"))
+    pairs = linking.candidates(rows, rows.select("id", "fp"), 3)
+    g = groups_by(900, [(r["id"], r["id2"]) for r in pairs.collect()])
+    assert len(set(g)) == 1 and pairs.count() < 6 * 900
