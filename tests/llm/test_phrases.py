@@ -84,3 +84,22 @@ def test_ranges_depend_on_the_words_alone():
         path = [np.array([n[k] for n in own]) for k in range(depth)]
         want = [sum(tuple(words[i] for i in n) >= c for c in cuts) for n in own]
         assert phrases._ranges(words, path, cuts).tolist() == want
+
+
+def test_counts_go_on_over_batches(spark):
+    """Sums of a range of phrases that many batches hold; a phrase's rows may lie in two of them."""
+    rng = random.Random(2)
+    rows = [(lang, f"{a} {b}", rng.randint(1, 9), 0) for lang in ("de", "en") for a in range(40) for b in ("x", "é", "丏") for _ in range(rng.randint(1, 9))]
+    rng.shuffle(rows)
+    want = Counter()
+    for lang, phrase, n, _ in rows:
+        want[lang, phrase] += n
+    df = spark.createDataFrame(rows, "lang string, phrase string, n long, range int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7, 100, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = plain(phrases.merged(df))
+            assert got == sorted((*k, n) for k, n in want.items())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

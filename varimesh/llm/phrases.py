@@ -163,10 +163,16 @@ def merged(tries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             if last is not None:
-                table = pa.concat_tables([last, table.select(last.column_names)])
-            table = table.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
+                table = pa.concat_tables([last, table]).combine_chunks()
+            # by neighbours: Arrow's groups come in no certain order, and the last one must be that of the last row
+            new = pc.or_(*(pc.not_equal(table[c].slice(1), table[c].slice(0, table.num_rows - 1)) for c in ("lang", "phrase"))).to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], new)))
+            sums = pa.array(np.add.reduceat(table["n"].to_numpy(), first))
+            table = table.select(["lang", "phrase"]).take(pa.array(first)).append_column("n", sums)
             last = table.slice(table.num_rows - 1)  # it may go on in the next batch
             yield from table.slice(0, table.num_rows - 1).to_batches()
         if last is not None:
