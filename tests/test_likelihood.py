@@ -93,3 +93,20 @@ def test_job_with_likelihood_and_homes(spark, data):
     run = model.run(job, df)
     shares = {r.effect: r.share for r in run.shares.collect()}
     assert sum(shares.values()) == pytest.approx(1) and set(shares) == {"F", "H", "E"} and run.estimates.count() == 2
+
+
+def test_families_of_unlike_counts_are_worked_out_at_once():
+    """One call takes families of any counts; before, each kind of family needed a call of its own for every point."""
+    rng = np.random.default_rng(4)
+    effect, theta = np.array([0, 1, 1], np.int32), np.array([0.4, 0.3, 1.1])
+    counts, n = [], []
+    for _ in range(5):
+        a, b = rng.integers(1, 9, 2)
+        counts.append(np.array([[a + b, a, b], [a, a, 0], [b, 0, b]], float))
+        n.append(float(a + b))
+    counts, n, of = np.stack(counts), np.array(n), np.array([0, 1, 1, 2, 4])  # nobody is of kind 3
+    u, rr = rng.normal(size=(5, 3)), rng.uniform(20, 30, 5)
+    whole = likelihood._grouped(n, effect, counts, of, u, rr, theta)
+    parts = [likelihood._grouped(n[d : d + 1], effect, counts[d : d + 1], np.array([0]), u[f : f + 1], rr[f : f + 1], theta) for f, d in enumerate(of)]
+    for x, own in zip(whole, zip(*parts, strict=True), strict=True):
+        assert np.allclose(x, sum(own))

@@ -21,6 +21,8 @@ from .storage import saved
 
 #: Half of the chi-squared value that one parameter's 95 % interval allows (fixed value).
 DROP = 1.9207294103470618
+#: Bytes of the matrices of families that are worked out together.
+HELD = 8 << 20
 Evaluate = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -49,33 +51,40 @@ def packed(res: DataFrame, ys: list[str], effects: tuple[str, ...]) -> DataFrame
         squares = part[[f"q{i}" for i in range(v)]].sum().to_numpy(float)
         return pd.DataFrame({"n": [n.sum()], "effect": [effect.tobytes()], "counts": [counts.tobytes()], "sums": [sums.tobytes()], "squares": [squares.tobytes()]})
 
-    return saved(cells.groupBy("fid").applyInPandas(run, "n double, effect binary, counts binary, sums binary, squares binary"))
+    made = cells.groupBy("fid").applyInPandas(run, "n double, effect binary, counts binary, sums binary, squares binary")
+    # few bytes, but read and worked through by every pass: dealt to all cores, which their size would not call for
+    return saved(made.repartition(max(2, res.sparkSession.sparkContext.defaultParallelism)))
 
 
-def _grouped(n: float, effect: np.ndarray, counts: np.ndarray, u: np.ndarray, rr: np.ndarray, theta: np.ndarray) -> tuple:
-    """Value, gradient and information of families with the same counts: ``u`` is families by groups, ``rr`` the squares of each."""
-    k, e, m = len(theta), theta[-1], len(rr)
+def _grouped(n: np.ndarray, effect: np.ndarray, counts: np.ndarray, of: np.ndarray, u: np.ndarray, rr: np.ndarray, theta: np.ndarray) -> tuple:
+    """Value, gradient and information of families whose groups have the same effects, in order: ``n`` and ``counts`` are by kind, ``of`` is each family's kind, ``u`` is families by groups, ``rr`` the squares of each."""
+    k, e, m = len(theta), theta[-1], np.bincount(of, minlength=len(n)).astype(float)
     inner = counts.copy()
-    inner[np.diag_indices(len(inner))] += e / theta[effect]
+    at = np.arange(len(effect))
+    inner[:, at, at] += e / theta[effect]
     inv = np.linalg.inv(inner)
     _, logdet = np.linalg.slogdet(inner)
     gi = counts @ inv
     gig = gi @ counts
-    uk = u @ inv
-    quad = (rr - np.einsum("fg,fg->f", uk, u)) / e
-    value = -0.5 * (quad.sum() + m * (n * np.log(e) + logdet + np.log(theta[effect] / e).sum() + n * np.log(2 * np.pi)))
-    w = ((u - u @ gi.T) / e) ** 2
+    uk = (u[:, None, :] @ inv[of])[:, 0]
+    ug = (uk[:, None, :] @ counts[of])[:, 0]
+    fitted = np.einsum("fg,fg->f", uk, u)
+    value = -0.5 * ((rr - fitted).sum() / e + m @ (n * np.log(2 * np.pi * e) + logdet + np.log(theta[effect] / e).sum()))
+    w = (((u - ug) / e) ** 2).sum(0)
     p, p2 = (counts - gig) / e, (counts - 2 * gig + gi @ gig) / e**2
+    trace, trace2 = np.einsum("dgg->dg", p), np.einsum("dgg->dg", p2)
+    first, second, both = m @ trace, m @ trace2, np.einsum("d,dgh->gh", m, p**2)
     grad, info = np.zeros(k), np.zeros((k, k))
-    of = [np.flatnonzero(effect == a) for a in range(k - 1)]
-    for a, own in enumerate(of):
-        grad[a] = 0.5 * (w[:, own].sum() - m * np.diag(p)[own].sum())
-        info[a, k - 1] = info[k - 1, a] = 0.5 * m * np.diag(p2)[own].sum()
-        for b, other in enumerate(of):
-            info[a, b] = 0.5 * m * (p[np.ix_(own, other)] ** 2).sum()
-    q = (rr - 2 * np.einsum("fg,fg->f", uk, u) + np.einsum("fg,fg->f", uk @ counts, uk)) / e**2
-    grad[-1] = 0.5 * (q.sum() - m * (n - np.trace(gi)) / e)
-    info[-1, -1] = 0.5 * m * (n - 2 * np.trace(gi) + np.einsum("ij,ji->", gi, gi)) / e**2
+    own = [np.flatnonzero(effect == a) for a in range(k - 1)]
+    for a, i in enumerate(own):
+        grad[a] = 0.5 * (w[i].sum() - first[i].sum())
+        info[a, k - 1] = info[k - 1, a] = 0.5 * second[i].sum()
+        for b, j in enumerate(own):
+            info[a, b] = 0.5 * both[np.ix_(i, j)].sum()
+    q = (rr - 2 * fitted + np.einsum("fg,fg->f", uk, ug)).sum() / e**2
+    one, two = np.einsum("dgg->d", gi), np.einsum("dgh,dhg->d", gi, gi)
+    grad[-1] = 0.5 * (q - m @ (n - one) / e)
+    info[-1, -1] = 0.5 * (m @ (n - 2 * one + two)) / e**2
     return value, grad, info
 
 
@@ -125,17 +134,23 @@ def evaluator(res: DataFrame, ys: list[str], effects: tuple[str, ...]) -> Evalua
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(at), size))
             for batch in batches:
-                alike: dict[tuple, list] = {}
-                for n, effect, counts, sums, squares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    alike.setdefault((n, effect, counts), []).append((sums, squares))
-                for (n, effect, counts), rows in alike.items():
+                alike: dict[bytes, list] = {}
+                for n, effect, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    alike.setdefault(effect, []).append((row[0], n, *row[1:]))
+                for effect, rows in alike.items():
                     effect = np.frombuffer(effect, np.int32)
-                    counts = np.frombuffer(counts).reshape(len(effect), -1)
-                    u = np.stack([np.frombuffer(s).reshape(len(effect), v) for s, _ in rows])
-                    rr = np.stack([np.frombuffer(q) for _, q in rows])
-                    for i, (o, t) in enumerate(zip(at, theta, strict=True)):
-                        x, g, info = _grouped(n, effect, counts, u[:, :, o], rr[:, o], t)
-                        total[i] += np.concatenate(([x], g, info.ravel()))
+                    g = len(effect)
+                    rows.sort(key=lambda r: r[:2])
+                    step = max(1, HELD // max(1, 8 * g * g))
+                    for first in range(0, len(rows), step):
+                        some = rows[first : first + step]
+                        kinds = {kind: i for i, kind in enumerate(dict.fromkeys(r[:2] for r in some))}
+                        of = np.array([kinds[r[:2]] for r in some])
+                        counts = np.stack([np.frombuffer(c).reshape(g, g) for c, _ in kinds])
+                        u, rr = np.stack([np.frombuffer(r[2]).reshape(g, v) for r in some]), np.stack([np.frombuffer(r[3]) for r in some])
+                        for i, (o, t) in enumerate(zip(at, theta, strict=True)):
+                            x, slope, info = _grouped(np.array([n for _, n in kinds]), effect, counts, of, u[:, :, o], rr[:, o], t)
+                            total[i] += np.concatenate(([x], slope, info.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
         return summed(families.select("n", "effect", "counts", "sums", "squares").mapInArrow(run, "i long, x double"), len(at))
