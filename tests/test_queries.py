@@ -62,3 +62,10 @@ def test_enhancement_takes_a_hundred_steps(spark):
                 own = own | todo
             want[list(own)] += len(own) ** 0.5 * (k * dh) ** 2 * dh
     assert len(got) == 64 and [got[i] for i in range(64)] == pytest.approx((np.sign(v) * want).tolist(), rel=1e-6)
+
+
+@pytest.mark.parametrize("name", ["gw02_gwas_ols", "gw03_gwas"])
+def test_every_supplier_is_a_variant(spark, db, name):
+    """The whole job: as many variants as suppliers, not a fixed number of them."""
+    got = {r["snp_id"] for r in q.QUERIES[name](spark, DATA).select("snp_id").collect()}
+    assert got == {f"rs{r[0]}" for r in db.sql("select s_suppkey from supplier").fetchall()}

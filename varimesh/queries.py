@@ -673,16 +673,20 @@ def _(spark, d):
     return resample.enhance(long.select(F.lit("mean").alias("map_id"), F.col("pos").cast("long").alias("pos"), "value"), grid_edges(spark, (4, 4, 4)))
 
 
-def dosages(spark: SparkSession, d: str) -> DataFrame:
-    """Customers stand for subjects, each with 24 variants; dosages from arithmetic on their numbers, one in 31 missing."""
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("iid"), F.explode(F.expr("sequence(1L, 24L)")).alias("bp"))
-    a, b = F.col("bp"), F.col("iid")
-    value = ((a * 7 + b * 13 + F.floor(a * b / 8) % 5 + F.floor(b / 9) * (a % 4)) % 3).cast("double")
-    return c.select(F.concat(F.lit("rs"), "bp").alias("snp_id"), (a % 22 + 1).cast("string").alias("chr"), "bp", "iid", F.when((a * 3 + b) % 31 != 0, value).alias("dosage"))
+def dosages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers stand for variants and customers for subjects; dosages from arithmetic on their keys, one in 31 missing. A variant's are an array with a customer's at the place of its key."""
+    from varimesh.operators import gwas
+
+    c = t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("iid"), F.col("c_custkey").cast("long").alias("place"))
+    last = c.agg(F.max("place")).first()[0] or 0
+    value = "(bp * 7 + i * 13 + (bp * i div 8) % 5 + (i div 9) * (bp % 4)) % 3"
+    made = F.expr(f"transform(sequence(0L, {last}L), i -> case when (bp * 3 + i) % 31 <> 0 then cast({value} as tinyint) end)")
+    s = t(spark, d, "supplier").select(F.concat(F.lit("rs"), "s_suppkey").alias("snp_id"), (F.col("s_nationkey") % 22 + 1).cast("string").alias("chr"), F.col("s_suppkey").cast("long").alias("bp"))
+    return gwas.split(s, chunk=25).withColumn("dosages", made), c  # so few in a task that their arrays stay small
 
 
 GENO = """c AS (SELECT c_custkey AS iid, c_custkey // 50 AS fid, length(c_mktsegment) / 10.0e0 AS x, CAST(c_acctbal AS DOUBLE) / 1000 AS y FROM customer),
-raw AS (SELECT s AS bp, iid, fid, x, y, CASE WHEN (s * 3 + iid) % 31 <> 0 THEN CAST((s * 7 + iid * 13 + (s * iid // 8) % 5 + (iid // 9) * (s % 4)) % 3 AS DOUBLE) END AS g0 FROM c, (SELECT unnest(range(1, 25)) AS s)),
+raw AS (SELECT s_suppkey AS bp, iid, fid, x, y, CASE WHEN (s_suppkey * 3 + iid) % 31 <> 0 THEN CAST((s_suppkey * 7 + iid * 13 + (s_suppkey * iid // 8) % 5 + (iid // 9) * (s_suppkey % 4)) % 3 AS DOUBLE) END AS g0 FROM supplier, c),
 geno AS (SELECT bp, iid, fid, x, y, coalesce(g0, avg(g0) OVER (PARTITION BY bp)) AS g FROM raw)"""
 # the variant, x and y with 1 and x taken out, by variant
 PARTIAL = """m AS (SELECT bp, count(*) AS n, regr_sxx(g, x) AS sxx, regr_sxy(g, x) AS sgx, regr_sxy(y, x) AS syx, var_pop(g) * count(*) AS sgg, var_pop(y) * count(*) AS syy, covar_pop(g, y) * count(*) AS sgy FROM geno GROUP BY bp),
@@ -696,7 +700,8 @@ def _(spark, d):
     from varimesh.operators import gwas
 
     df = small(spark, d)
-    out = gwas.gwas(dosages(spark, d), df, mixed.fit(df, XS, ["y1"], ("E",)))
+    genes, places = dosages(spark, d)
+    out = gwas.gwas(genes, df, mixed.fit(df, XS, ["y1"], ("E",)), places=places)
     return rounded(rounded(out.select("snp_id", "beta", "se", "t"), 6, "beta", "se"), 4, "t")
 
 
@@ -706,7 +711,8 @@ def _(spark, d):
     from varimesh.operators import gwas
 
     df = small(spark, d)
-    return gwas.gather([gwas.gwas(dosages(spark, d), df, mixed.fit(df, XS, ["y1"], ("F", "E")), gwas.with_main(["x1"]), "t")])
+    genes, places = dosages(spark, d)
+    return gwas.gather([gwas.gwas(genes, df, mixed.fit(df, XS, ["y1"], ("F", "E")), gwas.with_main(["x1"]), "t", places=places)])
 
 
 NATIONS = """c AS (SELECT n_nationkey AS iid, n_regionkey AS fid, any_value(length(n_name)) / 10.0e0 AS x, avg(CAST(c_acctbal AS DOUBLE)) / 1000 AS y FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
