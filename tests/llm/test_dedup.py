@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from varimesh.llm import exact, line_dedup, linking, simhash
+from varimesh.llm import common, exact, line_dedup, linking, simhash
 from varimesh.llm.common import components
 
 
@@ -394,3 +394,23 @@ def test_one_template_is_dealt_into_bounded_parts(spark, monkeypatch):
     pairs = linking.candidates(rows, rows.select("id", "fp"), 3)
     g = groups_by(900, [(r["id"], r["id2"]) for r in pairs.collect()])
     assert len(set(g)) == 1 and pairs.count() < 6 * 900
+
+
+def test_a_letter_changed_in_every_word(spark):
+    """Lines none of whose words agree are alike by the distance in characters, which alone decides."""
+    rng = np.random.default_rng(17)
+    for n in (16, 40, 200):
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(n)]
+        other = [w[:4] + "z" + w[5:] for w in words]
+        third = [w[:2] + "zyz" + w[5:] for w in words]
+        df = spark.createDataFrame([(" ".join(words), " ".join(other)), (" ".join(words), " ".join(third))], "a string, b string")
+        assert judged(df) == [True, False]
+
+
+def test_slots_let_few_others_pass(spark):
+    """With as many keys as a fifth of the slots, rows of other keys hardly pass, nor does any key get lost; nulls are no keys."""
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(400_000).select(F.when(F.col("id") < 399_990, F.xxhash64("id")).alias("key"))
+    semi, anti = (common.in_slots(rows, "key", keys, how, "k") for how in ("left_semi", "left_anti"))
+    assert semi.columns == ["key"] and 200_000 <= semi.count() < 202_000 and semi.where("key is null").count() == 0
+    assert anti.count() == 400_000 - semi.count() and anti.join(keys, F.col("key") == F.col("k"), "left_semi").count() == 0
