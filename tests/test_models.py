@@ -287,3 +287,17 @@ def test_pareto_tail_where_it_knows_nothing(spark):
     own = {r.term: r.logp for r in resample.rank_p(p, ["term"]).collect()}
     assert all(got[k] == pytest.approx(own[k]) for k in ("flat", "one", "end"))
     assert got["law"] > own["law"] and got["law"] == pytest.approx(-np.log10(16.0**-3), abs=1.2)
+
+
+def test_gram_matrices_of_folds_and_of_some_columns(spark):
+    """One pass for all folds, and none for a smaller model."""
+    rng = np.random.default_rng(8)
+    rows = [(int(k % 3), 1.0, *map(float, rng.normal(size=3))) for k in range(60)]
+    df = spark.createDataFrame(rows, "fold int, c double, x double, y double, z double")
+    by = linear.grams(df, "fold", ["c", "x"], ["y", "z"])
+    assert sorted(by) == [0, 1, 2]
+    for i, g in by.items():
+        own = linear.gram(df.where(f"fold = {i}"), ["c", "x"], ["y", "z"])
+        assert np.allclose(g.xx, own.xx) and np.allclose(g.xy, own.xy) and np.allclose(g.yy, own.yy) and g.n == own.n
+    some, own = linear.part(linear.gram(df, ["c", "x"], ["y", "z"]), ["x"]), linear.gram(df, ["x"], ["y", "z"])
+    assert some.xs == own.xs and np.allclose(some.xx, own.xx) and np.allclose(some.xy, own.xy) and np.allclose(some.yy, own.yy) and some.n == own.n

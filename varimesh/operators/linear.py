@@ -28,13 +28,17 @@ class Gram:
     eigen: np.ndarray = field(default=None, repr=False)
 
 
-def gram(df: DataFrame, xs: list[str], ys: list[str]) -> Gram:
-    """Sums of products of columns in one aggregate; the partial sums combine on the map side. Rows with a null in any column must be gone."""
-    p, v = len(xs), len(ys)
+def _sums(xs: list[str], ys: list[str]) -> list:
+    p = len(xs)
     c = lambda name: F.col(f"`{name}`").cast("double")
     sums = [F.sum(c(xs[i]) * c(xs[j])) for i in range(p) for j in range(i, p)]
     sums += [F.sum(c(x) * c(y)) for x in xs for y in ys] + [F.sum(c(y) * c(y)) for y in ys] + [F.count(F.lit(1))]
-    row = [x or 0.0 for x in df.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()]
+    return [s.alias(f"s{k}") for k, s in enumerate(sums)]
+
+
+def _gram(xs: list[str], ys: list[str], row: list[float]) -> Gram:
+    p, v = len(xs), len(ys)
+    row = [x or 0.0 for x in row]
     xx = np.zeros((p, p))
     upper = np.triu_indices(p)
     xx[upper] = row[: len(upper[0])]
@@ -43,6 +47,22 @@ def gram(df: DataFrame, xs: list[str], ys: list[str]) -> Gram:
     return Gram(xs, ys, xx, np.array(row[at : at + p * v]).reshape(p, v), np.array(row[at + p * v : at + p * v + v]), int(row[-1]))
 
 
+def gram(df: DataFrame, xs: list[str], ys: list[str]) -> Gram:
+    """Sums of products of columns in one aggregate; the partial sums combine on the map side. Rows with a null in any column must be gone."""
+    return _gram(xs, ys, list(df.agg(*_sums(xs, ys)).first()))
+
+
+def grams(df: DataFrame, key: str, xs: list[str], ys: list[str]) -> dict:
+    """The Gram matrix of each of a few values of ``key``, from one pass."""
+    return {row[0]: _gram(xs, ys, list(row[1:])) for row in df.groupBy(key).agg(*_sums(xs, ys)).collect()}
+
+
+def part(g: Gram, xs: list[str]) -> Gram:
+    """The Gram matrix of some of the columns."""
+    at = [g.xs.index(x) for x in xs]
+    return Gram(xs, g.ys, g.xx[np.ix_(at, at)], g.xy[at], g.yy, g.n)
+
+
 def gram_arrays(df: DataFrame, xs: list[str], y: str, width: int) -> Gram:
     """The same for outcomes in one array column: each Arrow batch is one matrix product, and the partial matrices are added up by place."""
     p = len(xs)
@@ -193,10 +213,7 @@ def omnibus(fit: Fit, prefixes: list[str], use_f: bool = False) -> list[tuple]:
 
 def delta_r2(df: DataFrame, full: Fit, reduced: Fit) -> float:
     """Mean share of the outcomes' variance that the full model's fitted values have over the reduced one's."""
-    def share(fit: Fit) -> float:
-        fitted = [sum((F.lit(float(b)) * F.col(f"`{x}`") for b, x in zip(fit.beta[:, k], fit.terms, strict=True)), F.lit(0.0)) for k in range(len(fit.ys))]
-        row = df.agg(*[F.var_samp(f).alias(f"f{k}") for k, f in enumerate(fitted)], *[F.var_samp(f"`{y}`").alias(f"v{k}") for k, y in enumerate(fit.ys)]).first()
-        v = len(fit.ys)
-        return sum(row[:v]) / sum(row[v:])
-
-    return share(full) - share(reduced)
+    fitted = [sum((F.lit(float(b)) * F.col(f"`{x}`") for b, x in zip(fit.beta[:, k], fit.terms, strict=True)), F.lit(0.0)) for fit in (full, reduced) for k in range(len(fit.ys))]
+    row = df.agg(*[F.var_samp(f).alias(f"f{k}") for k, f in enumerate(fitted)], *[F.var_samp(f"`{y}`").alias(f"v{k}") for k, y in enumerate(full.ys)]).first()
+    v = len(full.ys)
+    return sum(row[:v]) / sum(row[2 * v :]) - sum(row[v : 2 * v]) / sum(row[2 * v :])

@@ -440,7 +440,8 @@ def _(spark, d):
 @query("ag29_delta_r2", f"WITH {OBS}, {LONG}, {OLS} SELECT round(sum(v.f) / sum(v.y), 8) AS d FROM (SELECT y_id, var_samp(a + b * x1) AS f, var_samp(y) AS y FROM long JOIN fit USING (y_id) GROUP BY y_id) v")
 def _(spark, d):
     df = obs(spark, d)
-    full, reduced = (linear.ols(linear.gram(df, xs, YS)) for xs in (XS, XS[:1]))
+    g = linear.gram(df, XS, YS)
+    full, reduced = linear.ols(g), linear.ols(linear.part(g, XS[:1]))
     return spark.createDataFrame([(round(linear.delta_r2(df, full, reduced), 8),)], "d double")
 
 
