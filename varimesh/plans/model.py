@@ -106,7 +106,9 @@ def cross_validated_auc(df: DataFrame, xs: list[str], y: str, k: int = 5, seed:
     from varimesh.operators.tables import auc, folds
 
     df = df.withColumn("fold", folds("fid", k, seed))
-    grams = [linear.gram(df.where(F.col("fold") == i), xs, [y]) for i in range(k)]
+    by_fold = linear.grams(df, "fold", xs, [y])
+    none = linear.Gram(xs, [y], np.zeros((len(xs), len(xs))), np.zeros((len(xs), 1)), np.zeros(1), 0)
+    grams = [by_fold.get(i, none) for i in range(k)]
     score = None
     for i in range(k):
         rest = [g for j, g in enumerate(grams) if j != i]
