@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from varimesh.functions import dist, splines
 from varimesh.functions import transforms as tr
-from varimesh.operators import array_resample, arrays, linear, mixed, resample, tables, tails
+from varimesh.operators import array_resample, arrays, linear, mixed, resample, storage, tables, tails
 from varimesh.sources import sinks, tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,7 +648,7 @@ def _(spark, d):
 
 @query("ag31_mediation")
 def _(spark, d):
-    df = obs(spark, d)
+    df = storage.saved(obs(spark, d).select("fid", "iid", *XS, "x2", "y1"))  # joined once for all passes of both models
     full, reduced = mixed.fit(df, ["Intercept", "x1", "x2"], ["y1"]), mixed.fit(df, XS, ["y1"])
     m = resample.mediation(resample.wild_bootstrap(df, full, 0, 100, 5, null=False), resample.wild_bootstrap(df, reduced, 0, 100, 5, null=False), "x1")
     return spark.createDataFrame([(m["estimate"], m["se"], m["t"], *m["normal"], *m["percentile"], m["logp"])], "estimate double, se double, t double, lo double, hi double, p_lo double, p_hi double, logp double")
