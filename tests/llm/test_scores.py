@@ -272,6 +272,17 @@ def test_secret_network(spark):
     assert secret_scan.MASK in secret_scan.masked(text, net) and secret_scan.masked("plain text", net) == "plain text"
 
 
+def test_secret_network_learns_from_all(spark):
+    """With ``most`` far under the number of windows each one still has a part in the weights, however the rows are dealt."""
+    texts = [f"note ref{i:04d}-build-{i * 7:05d} of the plan" for i in range(400)] + [f"api_key=Zx{i:03d}qWeRtY{i * 31:04d}uI" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = secret_scan.learn(docs, most=50, epochs=2)
+    again = secret_scan.learn(docs.repartition(5), most=50, epochs=2)
+    assert all((net.weights[k] == again.weights[k]).all() for k in net.weights) and (net.platt, net.threshold) == (again.platt, again.threshold)
+    longer = secret_scan.learn(docs.where("doc_id <> 399"), most=50, epochs=2)
+    assert any((net.weights[k] != longer.weights[k]).any() for k in net.weights)
+
+
 def test_secret_gradients():
     net = secret_scan.Network.fresh()
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}

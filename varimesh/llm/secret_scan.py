@@ -3,8 +3,8 @@
 Three patterns give the base findings, which always stand. Every other run of twelve key-like characters or more with a digit, or with a capital
 after a small letter, is a candidate, but for numbers and addresses without a letter;
 the network reads it in windows together with the characters around it and adds those it takes for secrets. It is trained in numpy
-on labelled findings: base findings of the corpus and generated keys of common shapes as secrets, the corpus's other candidates as harmless. Its scores are
-calibrated on findings kept aside, and the threshold is the highest one that still finds a stated share of those.
+on labelled findings: all base findings of the corpus and generated keys of common shapes as secrets, all other candidates of the corpus as harmless, in shards
+whose weights are averaged after each epoch. Its scores are calibrated on findings kept aside, and the threshold is the highest one that still finds a stated share of those.
 """
 
 from __future__ import annotations
@@ -115,7 +115,9 @@ class Network:
         return v1, h1, v2, pooled, top, pooled @ w["o"] + w["ob"][0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 256])[-1] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0, np.float32)
+        """Scores in steps of 1/256 from -32 to 32: so few that a table of how often each occurs is small, however large the corpus."""
+        z = np.concatenate([self._forward(x[i : i + 256])[-1] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0, np.float32)
+        return np.rint(np.clip(z, -32, 32) * 256) / 256
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
@@ -155,8 +157,11 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.weights[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.platt[0] * z + self.platt[1], -30, 30)))
+
     def probabilities(self, rows: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.platt[0] * self.logits(codes(rows)) + self.platt[1], -30, 30)))
+        return self.probability(self.logits(codes(rows)).astype(float))
 
 
 def generated(n: int, seed: int = 3) -> list[str]:
@@ -179,9 +184,11 @@ def generated(n: int, seed: int = 3) -> list[str]:
     return out
 
 
-def learn(docs: DataFrame, most: int = 4000, recall: float = 0.98) -> Network:
-    """Train on at most ``most`` base findings and as many other candidates of the corpus, those with the smallest hashes, and ``most`` generated keys.
+def learn(docs: DataFrame, most: int = 4000, recall: float = 0.98, epochs: int = 6) -> Network:
+    """Train on every base finding and every other candidate of the corpus, and on generated keys.
 
+    Windows are dealt by hash to as many shards as it takes for some ``most`` of a kind in each, with ``most`` generated keys in every shard. In each epoch a task
+    goes on from the common weights over one shard, and the weights of all shards are averaged, as whole numbers, so that their order can't matter.
     Half of each kind is kept aside for calibration: a logistic curve makes scores probabilities, and the threshold is the
     highest at which ``recall`` of the secrets kept aside are found. Without any candidate the generated keys and plain words serve.
     """
@@ -204,22 +211,59 @@ def learn(docs: DataFrame, most: int = 4000, recall: float = 0.98) -> Network:
 
     found = docs.select(whole_text().alias("text")).mapInArrow(listed, "w string, y int").groupBy("w").agg(F.max("y").alias("y"))
     found = saved(found, few=True)
-    real = [[r["w"] for r in found.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(most).collect()] for y in (0, 1)]
-    drop_saved(found)
-    harmless = real[0] or ["\0" * SIDE + "plain2words.and.no.keys".ljust(CORE, "\0") + "\0" * SIDE]
-    made = generated(most)
-    secrets = [*real[1], *made]
-    side = lambda rows, k: [r for i, r in enumerate(rows) if i % 2 == k]
-    fit, aside = ((side(harmless, k), side(secrets, k)) for k in (0, 1))
+    sizes = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shards = max(1, -(-max(sizes.values(), default=0) // most))
+    plain = "\0" * SIDE + "plain2words.and.no.keys".ljust(CORE, "\0") + "\0" * SIDE
+    dealt = found.select(F.pmod(F.xxhash64("w"), F.lit(shards)).cast("int").alias("shard"), "w", "y")
+    # every shard has a row without a window, so that one without findings trains on generated keys all the same
+    dealt = dealt.union(docs.sparkSession.range(shards).select(F.col("id").cast("int"), F.lit(None).cast("string"), F.lit(None).cast("int")))
+
+    def of_shard(rows: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """The codes and labels of what it is fitted to and of what it keeps aside."""
+        number = rows.column("shard")[0].as_py()
+        own = sorted((w, y) for w, y in zip(rows.column("w").to_pylist(), rows.column("y").to_pylist(), strict=True) if w is not None)
+        harmless = [w for w, y in own if not y] or [plain]
+        secrets = [*(w for w, y in own if y), *generated(most, 3 + number)]
+        side = lambda rows, k: [r for i, r in enumerate(rows) if i % 2 == k]
+        (h0, h1), (s0, s1) = ([side(rows, k) for k in (0, 1)] for rows in (harmless, secrets))
+        h0 = h0 * max(1, len(s0) // max(1, len(h0)))
+        return tuple((codes(h + s), np.array([0.0] * len(h) + [1.0] * len(s))) for h, s in ((h0, s0), (h1, s1)))
+
     net = Network.fresh()
-    repeat = max(1, len(fit[1]) // max(1, len(fit[0])))
-    x, y = codes(fit[0] * repeat + fit[1]), np.array([0.0] * len(fit[0]) * repeat + [1.0] * len(fit[1]))
-    net.fit(x, y)
-    z = net.logits(codes(aside[0] + aside[1])).astype(float)
-    y = np.array([0.0] * len(aside[0]) + [1.0] * len(aside[1]))
-    a, b = fit_logistic(np.stack((z, np.ones(len(z))), 1), y)
+    shapes = {k: w.shape for k, w in net.weights.items()}
+
+    def trained(weights: dict[str, np.ndarray], epoch: int):
+        """The weights after an epoch over a shard, in units of 2^-24."""
+
+        def run(rows: pa.Table) -> pa.Table:
+            own = Network({k: w.copy() for k, w in weights.items()})
+            own.fit(*of_shard(rows)[0], epochs=1, seed=5 + epoch)
+            flat = np.concatenate([own.weights[k].ravel() for k in shapes]).astype(float)
+            return pa.table({"i": pa.array(np.arange(len(flat), dtype=np.int32)), "x": pa.array(np.rint(flat * (1 << 24)).astype(np.int64))})
+
+        return run
+
+    for epoch in range(epochs):
+        mean = np.zeros(sum(w.size for w in net.weights.values()))
+        for r in dealt.groupBy("shard").applyInArrow(trained(net.weights, epoch), "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            mean[r["i"]] = r["x"] / shards / (1 << 24)
+        parts = np.split(mean.astype(np.float32), np.cumsum([math.prod(shape) for shape in shapes.values()])[:-1])
+        net = Network({k: part.reshape(shape) for (k, shape), part in zip(shapes.items(), parts, strict=True)})
+
+    def aside(rows: pa.Table) -> pa.Table:
+        """How often each score occurs among the windows kept aside."""
+        x, y = of_shard(rows)[1]
+        seen, n = np.unique(np.stack((net.logits(x).astype(float), y), 1), axis=0, return_counts=True)
+        return pa.table({"z": seen[:, 0], "y": seen[:, 1], "n": n.astype(np.int64)})
+
+    rows = sorted(dealt.groupBy("shard").applyInArrow(aside, "z double, y double, n long").groupBy("z", "y").agg(F.sum("n").alias("n")).collect())
+    drop_saved(found)
+    z, y, n = np.array(rows, float).T
+    a, b = fit_logistic(np.stack((z, np.ones(len(z))), 1), y, weights=n)
     net.platt = (max(float(a), 1e-3), float(b))
-    net.threshold = float(np.quantile(net.probabilities(aside[1]), 1 - recall))
+    z, n = z[y == 1], n[y == 1]  # by score; of the secrets from ``last`` on, ``recall`` are the fewest that have to be found
+    last = np.flatnonzero(np.cumsum(n[::-1])[::-1] >= recall * n.sum())[-1]
+    net.threshold = float(net.probability(z[last]))
     return net
 
 
