@@ -589,7 +589,7 @@ def _(spark, d):
 
     both = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     df = both.select(F.col("o_custkey").alias("fid"), F.col("l_orderkey").alias("home_id"), (F.col("l_suppkey") % 5).alias("father_id"), F.lit(1.0).alias("Intercept"), (F.col("l_quantity").cast("double") / 10).alias("x1"), F.col("l_discount").cast("double").alias("y1"))
-    f = groups.fit(df, XS, ["y1"], ("F", "P", "H", "E"))
+    f = groups.fit(storage.saved(df), XS, ["y1"], ("F", "P", "H", "E"))
     return f.share_table(spark).unionByName(f.gls.table(spark).select("y_id", F.col("term").alias("effect"), F.col("beta").alias("share")))
 
 
