@@ -264,6 +264,25 @@ def test_unstructured(data):
     assert np.isfinite(f.beta).all() and f.cov[1, 1] > 0
 
 
+def test_visit_sums(spark):
+    """Pair sums by brute force, with null ids and visits; rows are dealt to as many tasks as asked for, and the visits of a group meet without a join of all groups."""
+    rng = np.random.default_rng(6)
+    pick = lambda n: None if rng.random() < 0.1 else int(rng.integers(0, n))
+    rows = [(pick(5), pick(7), pick(3), float(rng.normal())) for _ in range(300)]
+    got = mixed.visit_moments(spark.createDataFrame(rows, "fid long, iid long, visit int, r_y double"), "y", parts=9)
+    want = {}
+    for f, i, a, r in rows:
+        for g, j, b, s in rows:
+            if None not in (f, g, a, b) and f == g and a <= b:
+                sums = want.setdefault((a, b), [0, 0, 0.0, 0.0])
+                mine = i is not None and i == j
+                for k, x in enumerate((1, mine, r * s, mine * r * s)):
+                    sums[k] += x
+    assert {(r["v1"], r["v2"]): list(r)[2:] for r in got.select("v1", "v2", "family_pairs", "subject_pairs", "family_sum", "subject_sum").collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(fid" in plan and ", 9), REPARTITION_BY_NUM" in plan and plan.split("AdaptiveSparkPlan")[1].count("SortMergeJoin") <= 1
+
+
 def test_profile_interval(data):
     df, _ = data
     o = linear.ols(linear.gram(df, ["one", "x"], ["y"]))

@@ -204,19 +204,23 @@ def fit(df: DataFrame, xs: list[str], ys: list[str], effects: tuple[str, ...] =
     return MixedFit(o, w, shares, cell, effects)
 
 
-def visit_moments(res: DataFrame, y: str, visit: str = "visit") -> DataFrame:
+def visit_moments(res: DataFrame, y: str, visit: str = "visit", parts: int | None = None) -> DataFrame:
     """Unstructured covariance: for each pair of visits, the pair sums of one family and of one subject, from group sums.
 
     ``(v1, v2, family_pairs, subject_pairs, family_sum, subject_sum)``; the diagonal holds all pairs at one visit, each row with itself included.
+    Rows are dealt by subject once, to ``parts`` tasks if given, so a task's memory is set by its rows; a group's visits are then one short list.
     """
-    cell = res.groupBy("fid", "iid", visit).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(f"`r_{y}`")).alias("s"))
-    def paired(keys: list[str], name: str) -> DataFrame:
-        one = cell.groupBy(*keys, visit).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        other = one.select(*keys, F.col(visit).alias("v2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-        both = one.join(other, keys).where(F.col(visit) <= F.col("v2"))
-        return both.groupBy(F.col(visit).alias("v1"), "v2").agg(F.sum(F.col("n") * F.col("n2")).alias(f"{name}_pairs"), F.sum(F.col("s") * F.col("s2")).alias(f"{name}_sum"))
-
-    return paired(["fid"], "family").join(paired(["fid", "iid"], "subject"), ["v1", "v2"], "left")
+    rows = res.where(F.col("fid").isNotNull() & F.col(visit).isNotNull())
+    rows = rows.repartition(parts, "fid", "iid") if parts else rows.repartition("fid", "iid")
+    cell = rows.groupBy("fid", "iid", visit).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(f"`r_{y}`")).alias("s"))
+
+    def paired(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
+        lists = groups.groupBy(*keys).agg(F.collect_list(F.struct(F.col(visit).alias("visit"), "n", "s")).alias("v"))
+        both = lists.select("v", F.explode("v").alias("a")).select("a", F.explode(F.filter("v", lambda b: F.col("a.visit") <= b.visit)).alias("b"))
+        return both.groupBy(F.col("a.visit").alias("v1"), F.col("b.visit").alias("v2")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias(f"{name}_pairs"), F.sum(F.col("a.s") * F.col("b.s")).alias(f"{name}_sum"))
+
+    family = cell.groupBy("fid", visit).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return paired(family, ["fid"], "family").join(paired(cell.where(F.col("iid").isNotNull()), ["fid", "iid"], "subject"), ["v1", "v2"], "left")
 
 
 def scores(df: DataFrame, f: MixedFit, k: int) -> DataFrame:

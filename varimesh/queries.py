@@ -37,9 +37,17 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def obs(spark: SparkSession, d: str) -> DataFrame:
-    """Line items with their order and customer as doubles."""
-    both = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def in_parts(spark: SparkSession, d: str, rows: int = 500_000) -> int:
+    """How many tasks hold at most some ``rows`` line items each; at least the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t(spark, d, "lineitem").count() // rows))
+
+
+def obs(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """Line items with their order and customer as doubles; joined in ``parts`` tasks, if given."""
+    items, orders = t(spark, d, "lineitem"), t(spark, d, "orders")
+    if parts:
+        items, orders = items.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    both = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     c = lambda n: F.col(n).cast("double")
     return both.select(
         F.col("o_custkey").alias("fid"), F.col("l_orderkey").alias("iid"), F.lit(1.0).alias("Intercept"), (c("l_quantity") / 10).alias("x1"), (c("o_totalprice") / 100000).alias("x2"),
@@ -431,9 +439,10 @@ pf AS (SELECT a.visit AS v1, b.visit AS v2, sum(a.n * b.n) AS family_pairs, roun
 ps AS (SELECT a.visit AS v1, b.visit AS v2, sum(a.n * b.n) AS subject_pairs, round(sum(a.s * b.s), 6) AS subject_sum FROM i a JOIN i b ON a.fid = b.fid AND a.iid = b.iid AND a.visit <= b.visit GROUP BY ALL)
 SELECT * FROM pf LEFT JOIN ps USING (v1, v2)""")
 def _(spark, d):
-    df = obs(spark, d).withColumn("visit", F.year("l_shipdate") % 3)
+    parts = in_parts(spark, d)
+    df = storage.saved(obs(spark, d, parts).select("fid", "iid", (F.year("l_shipdate") % 3).alias("visit"), "y2"))
     mean = df.agg(F.avg("y2")).first()[0]
-    sums = mixed.visit_moments(df.select("fid", "iid", "visit", (F.col("y2") - mean).alias("r_y2")), "y2")
+    sums = mixed.visit_moments(df.select("fid", "iid", "visit", (F.col("y2") - mean).alias("r_y2")), "y2", parts=parts)
     return rounded(sums, 6, "family_sum", "subject_sum")
 
 
