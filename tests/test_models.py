@@ -283,6 +283,18 @@ def test_visit_sums(spark):
     assert "hashpartitioning(fid" in plan and ", 9), REPARTITION_BY_NUM" in plan and plan.split("AdaptiveSparkPlan")[1].count("SortMergeJoin") <= 1
 
 
+def test_slices_are_small():
+    """A full Arrow batch of wide vectors is worked on in parts of a few MB, with no row lost."""
+    import pyarrow as pa
+
+    from varimesh.operators import arrays
+
+    rows = np.arange(10_000 * 131, dtype=float).reshape(10_000, 131)
+    parts = list(arrays.sliced(iter([pa.RecordBatch.from_arrays([arrays.lists(rows)], ["m"])]), 0))
+    assert (np.concatenate([arrays._matrix(b.column(0), b.num_rows) for b in parts]) == rows).all()
+    assert max(b.num_rows for b in parts) * 131 * 8 <= 4 << 20
+
+
 def test_profile_interval(data):
     df, _ = data
     o = linear.ols(linear.gram(df, ["one", "x"], ["y"]))

@@ -25,7 +25,7 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 
 #: Bytes of vectors, as doubles, that a task works on at a time.
-SLICE = 32 << 20
+SLICE = 4 << 20
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int, times: int = 1) -> Iterator[pa.RecordBatch]:
