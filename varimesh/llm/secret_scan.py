@@ -185,11 +185,11 @@ def generated(n: int, seed: int = 3) -> list[str]:
 
 
 def learn(docs: DataFrame, most: int = 4000, recall: float = 0.98, epochs: int = 6) -> Network:
-    """Train on every base finding and every other candidate of the corpus, and on generated keys.
+    """Learn from every base finding and every other candidate of the corpus, and from generated keys: half of each kind fits the weights, half calibrates.
 
     Windows are dealt by hash to as many shards as it takes for some ``most`` of a kind in each, with ``most`` generated keys in every shard. In each epoch a task
     goes on from the common weights over one shard, and the weights of all shards are averaged, as whole numbers, so that their order can't matter.
-    Half of each kind is kept aside for calibration: a logistic curve makes scores probabilities, and the threshold is the
+    In calibration a logistic curve makes scores probabilities, and the threshold is the
     highest at which ``recall`` of the secrets kept aside are found. Without any candidate the generated keys and plain words serve.
     """
 
