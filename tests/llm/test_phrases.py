@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,35 @@ def test_counts_go_on_over_batches(spark):
             assert got == sorted((*k, n) for k, n in want.items())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_words_of_many_texts():
+    """Words split and numbered in bulk are those of each text by itself, whatever characters they have; a text's end parts words."""
+    rng = random.Random(5)
+    letters = [*map(chr, range(128)), *"  ,.\t\n\x85\xa0\u2003\u3000ñé中\U0001f600"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 40]))).encode() for _ in range(rng.randint(1, 4))]
+        want = [b","]
+        for t in texts:
+            want += [*phrases.words_of(t), b","]
+        trie = phrases.Trie("en")
+        trie.add(texts[:1])
+        trie.add(texts[1:])
+        words = {n: w for w, n in trie.code.items()}
+        got = [w for codes in trie.parts for w in map(words.get, codes.tolist())]
+        assert phrases.numbered(texts).cast("large_binary").to_pylist() == want
+        assert [w for w, v in zip(got, [None, *got]) if w != b"," or v != b","] == [w for w, v in zip(want, [None, *want]) if w != b"," or v != b","]
+
+
+@pytest.mark.parametrize(("size", "most"), [(1, 1 << 22), (40, 50), (1 << 23, 1)])
+def test_tries_of_slices(size, most):
+    """Words are all there however many texts are split at once, and however many words a trie holds."""
+    rows = [("en", "a b, c"), ("de", "d"), ("en", ""), ("en", "b a b"), ("de", "d e.")] * 7
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 9])], ["lang", "text"]) for at in range(0, len(rows), 9)]
+    got, tries = Counter(), 0
+    for some in phrases.gathered(iter(batches), size, most):
+        tries += 1
+        for lang, trie in some.items():
+            words, (path,), n = trie.level(1, None)
+            got.update({(lang, words[int(i)].as_py()): int(k) for i, k in zip(path, n)})
+    assert got == {("en", b"a"): 14, ("en", b"b"): 21, ("en", b"c"): 7, ("de", b"d"): 14, ("de", b"e"): 7} and tries > (most < 100)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import saved, whole_text
 DEPTH, LEAST, SHOWN = 4, 30, 2000
 #: Words of texts that one trie holds.
 SHARD = 1 << 22
+#: Bytes of texts that are split at once.
+SLICE = 1 << 23
 #: Bits of the filter that tells tasks which phrases are frequent: a megabyte is 2^23. Its size never changes; a bit too many only lets a phrase be counted in vain.
 FILTER_BITS = 27
 
@@ -31,9 +34,19 @@ _MARKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(ord(",") if b in _MARKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _spaced(text: bytes) -> bytes:
+    return text.translate(_TABLE).replace(b",", b" , ")
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The words of a text in UTF-8, with ``b","``, which no word can be, at the ends of pieces."""
-    return text.translate(_TABLE).replace(b",", b" , ").split()
+    return _spaced(text).split()
+
+
+def numbered(texts: list[bytes]) -> pa.DictionaryArray:
+    """:func:`words_of` of one text after the other, with ``b","`` before, between and after them. Arrow splits and numbers the words, which would be too many Python objects."""
+    joined = _spaced(b",".join([b"", *texts, b""])).strip(b" ")
+    return pc.ascii_split_whitespace(pa.array([joined], pa.large_string())).values.dictionary_encode()
 
 
 def _step(h: np.ndarray, k: int) -> np.ndarray:
@@ -59,12 +72,10 @@ class Trie:
         self.parts: list[np.ndarray] = []
         self.words = 0
 
-    def add(self, words: list[bytes]) -> None:
-        index = dict.fromkeys(words)
-        for w in index:
-            index[w] = self.code.setdefault(w, len(self.code))
-        self.parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-        self.parts.append(np.zeros(1, np.int32))
+    def add(self, texts: list[bytes]) -> None:
+        words = numbered(texts)
+        index = [self.code.setdefault(w, len(self.code)) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+        self.parts.append(np.array(index, np.int32)[words.indices.to_numpy()])
         self.words += len(words)
 
     def level(self, depth: int, frequent: np.ndarray | None) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
@@ -106,6 +117,29 @@ class Trie:
         return words, path[::-1], n
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = SLICE, most: int = SHARD) -> Iterator[dict[str, Trie]]:
+    """The tries of texts ``(lang, text)`` by language, those of some ``most`` words at a time; some ``size`` bytes of texts are split at once."""
+    tries: dict[str, Trie] = {}
+    for batch in batches:
+        waiting, held = defaultdict(list), 0
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+        for row, (lang, text) in enumerate(zip(langs, texts, strict=True), 1):
+            waiting[lang].append(text)
+            held += len(text) + 1
+            if held < size and row < len(texts):
+                continue
+            for key, some in waiting.items():
+                if key not in tries:
+                    tries[key] = Trie(key)
+                tries[key].add(some)
+            waiting, held = defaultdict(list), 0
+            if sum(t.words for t in tries.values()) >= most:
+                yield tries
+                tries = {}
+    if tries:
+        yield tries
+
+
 def _ranges(words: list[bytes], path: list[np.ndarray], cuts: list[tuple[bytes, bytes]]) -> np.ndarray:
     """The range between cuts, pairs of words in order, of each node of a trie; it depends on the node's words alone."""
     ends = []
@@ -143,16 +177,8 @@ def shards(texts: DataFrame, depth: int, frequent=None, cuts: list[tuple[bytes,
                     some = (pc.binary_join_element_wise(*parts, b" ") if depth > 1 else parts[0]).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[at : at + (1 << 14)], pa.int64()), pa.array(ranges[at : at + (1 << 14)])], ["lang", "phrase", "n", "range"])
 
-        tries: dict[str, Trie] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if lang not in tries:
-                    tries[lang] = Trie(lang)
-                tries[lang].add(words_of(text))
-                if sum(t.words for t in tries.values()) >= SHARD:
-                    yield from level(tries)
-                    tries = {}
-        yield from level(tries)
+        for tries in gathered(batches):
+            yield from level(tries)
 
     return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long, range int")
 
