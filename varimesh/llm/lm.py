@@ -14,13 +14,12 @@ For comparison each text also gets the smoothed unigram score of its words.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +31,8 @@ WINDOW, STRIDE = 32, 24
 BACK = WINDOW - STRIDE
 DIM, SINGLE, SHARED, OWN_ROWS = 16, 60, 20, 2048
 SLOT_BITS = 21
+#: Windows that are worked on at a time.
+PART = 64
 #: Tokens of a shard, and the most ids of a text of the first sample, which the driver holds.
 SHARD, MOST_IDS = 8_000_000, 1 << 16
 #: How many counts the share of a token without context weighs in its share after a row.
@@ -59,13 +60,22 @@ def tokens(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataF
     return rows.mapInArrow(run, "key long, train boolean, ids binary")
 
 
-def _counted(tok: DataFrame, width: int, of) -> np.ndarray:
-    """Sums over the training texts of a vector with ``width`` places, counted in tasks and added up by place."""
+def _joined(ids: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with the end before and after it, in one array, and where each text begins; the last number is the length of all."""
+    texts, mark = [np.frombuffer(b, "<u2") for b in ids.to_pylist()], np.full(1, end, np.uint16)
+    starts = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts], dtype=np.int64)))
+    return np.concatenate([part for t in texts for part in (mark, t, mark)]) if texts else mark[:0], starts
+
+
+def _counted(tok: DataFrame, width: int, end: int) -> np.ndarray:
+    """How often each of ``width`` ids occurs in the training texts, the end once for each text, counted in tasks and added up by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
-        for batch in slices(batches, 2048):
-            total += np.bincount(of([np.frombuffer(b, "<u2") for b in batch.column(0).to_pylist()]), minlength=width)
+        for batch in slices(batches):
+            text, starts = _joined(batch.column(0), end)
+            total += np.bincount(text, minlength=width)
+            total[end] -= len(starts) - 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
 
@@ -78,18 +88,41 @@ def _counted(tok: DataFrame, width: int, of) -> np.ndarray:
 def _pairs(tok: DataFrame, row_of: np.ndarray, end: int) -> DataFrame:
     """``(k, n)``: how often each ``row << 16 | token`` of neighbours occurs in the training texts, all of them."""
 
+    rows = row_of.astype(np.uint32) << np.uint32(16)
+    if int(row_of.max()) >> 16:
+        raise ValueError("rows do not fit 16 bits")
+
+    def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and how often each occurs; numbers alone sort much faster than with their places."""
+        if counts is None:
+            keys.sort()
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            return keys[at], np.diff(np.append(at, len(keys)))
+        both, at = np.unique(keys, return_inverse=True)
+        return both, np.bincount(at, counts, len(both)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, 2048):
-            texts = [np.concatenate(([end], np.frombuffer(b, "<u2"), [end])) for b in batch.column(0).to_pylist()]
-            if texts:
-                new, n = np.unique(np.concatenate([(row_of[t[:-1]].astype(np.int64) << 16) | t[1:] for t in texts]), return_counts=True)
-                both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-                keys, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
+        keys, counts, wait, n_wait = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, n = summed(np.concatenate(wait))
+            return summed(np.concatenate((keys, new)), np.concatenate((counts, n)))
+
+        for batch in slices(batches, 256):
+            text, starts = _joined(batch.column(0), end)
+            if len(text):
+                pair = rows[text[:-1]] | text[1:]
+                wait.append(np.delete(pair, starts[1:-1] - 1))  # no pair reaches into the next text
+                n_wait += len(pair)
+            if n_wait > 8_000_000:
+                keys, counts = merged()
+                wait, n_wait = [], 0
                 if len(keys) > 2_000_000:  # a task hands on what it has, so its memory does not grow with its texts
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["k", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["k", "n"])
                     keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["k", "n"])
+        if wait:
+            keys, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["k", "n"])
 
     return saved(tok.where("train").select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
 
@@ -122,6 +155,17 @@ def _least_count(df: DataFrame, column: str, most: int) -> int:
 # ---- model
 
 
+def _hidden(kind: type) -> np.ndarray:
+    """What hides from each place that scores the places after it."""
+    return np.where(np.arange(WINDOW)[None, :] > np.arange(BACK, WINDOW)[:, None], -1e9, 0).astype(kind)
+
+
+def _bounded(q, pq, k, pk, v, pv, c) -> bool:
+    """Whether exponents can't overflow, so that they need no shift by their largest: by the lengths of queries, keys, values and the classes' weights."""
+    most = lambda a: np.sqrt(np.einsum("ij,ij->i", a, a).max())
+    return (most(q) + most(pq)) * (most(k) + most(pk)) < 60 and (most(v) + most(pv)) * most(c.T) < 40
+
+
 @dataclass
 class Model:
     """``row_of``: a token's row in the tables. ``class_of`` and ``share``: its class and share within it. ``after``: class logits after each row.
@@ -149,10 +193,10 @@ class Model:
         return self.least > 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_slots", "counted")} | {"counted": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_slots", "_held", "counted")} | {"counted": None}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
 
     def pair_log_share(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log shares of tokens seen ``n`` times after a row."""
@@ -167,21 +211,24 @@ class Model:
     def shares(self, rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Log shares of tokens within their classes, each after a row. Most pairs are found in a hashed table, those it has no room for by search."""
         if "_slots" not in self.__dict__:
-            slot = self._slot(self.pair)
-            held, at = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.float32)
-            held[slot], at[slot] = self.pair, self.pair_share
-            over = held[slot] != self.pair
-            self._slots = held, at, self.pair[over], self.pair_share[over]
-        held, at, over, over_share = self._slots
-        key = (rows.astype(np.int64) << 16) | tokens
-        slot = self._slot(key)
-        hit = held[slot] == key
-        out = np.where(hit, at[slot], self.rest[rows, self.class_of[tokens]] + self.share[tokens])
-        if len(over) and not hit.all():
-            left = np.flatnonzero(~hit)
-            k = np.minimum(np.searchsorted(over, key[left]), len(over) - 1)
-            found = over[k] == key[left]
-            out[left[found]] = over_share[k[found]]
+            # a key and its share lie side by side, so that a pair is looked up in one place of memory
+            key = self.pair.astype(np.uint32)
+            slot, table = self._slot(key), np.full(1 << SLOT_BITS, -1, np.int64).view(np.uint32).reshape(-1, 2)
+            table[slot, 0], table[slot, 1] = key, self.pair_share.view(np.uint32)
+            over = table[slot, 0] != key
+            self._slots = table.view(np.uint64).ravel(), self.pair[over], self.pair_share[over], self.rest.ravel()
+        table, over, over_share, rest = self._slots
+        key = (rows.astype(np.uint32) << np.uint32(16)) | tokens.astype(np.uint32)
+        found = np.take(table, self._slot(key)).view(np.uint32).reshape(-1, 2)
+        out, left = found[:, 1].copy().view(np.float32), np.flatnonzero(found[:, 0] != key)
+        if len(left):
+            row, token = rows[left], tokens[left]
+            out[left] = rest[row * np.int64(self.rest.shape[1]) + self.class_of[token]] + self.share[token]
+            if len(over):
+                key = key[left].astype(np.int64)
+                k = np.minimum(np.searchsorted(over, key), len(over) - 1)
+                found = over[k] == key
+                out[left[found]] = over_share[k[found]]
         return out
 
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,93 +254,122 @@ class Model:
         made = {"q": w["e"] @ q, "pq": w["p"][BACK:] @ q, "k": w["e"] @ k, "pk": w["p"] @ k, "v": w["e"] @ v, "pv": w["p"] @ v, "c": w["c"]}
         return {name: np.ascontiguousarray(a, np.float32) for name, a in made.items()}
 
-    def log_probability(self, texts: list[np.ndarray], batch: int = 192) -> np.ndarray:
+    def log_probability(self, texts: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each text and its end."""
         read, scored, many = self.windows(texts)
-        t, total = self.tables(), np.zeros(len(read))
-        # exponents that can't overflow need no shift by their largest
-        longest = lambda a, b: np.linalg.norm(a, axis=-1).max() + np.linalg.norm(b, axis=-1).max()
-        small = longest(t["q"], t["pq"]) * longest(t["k"], t["pk"]) < 60 and longest(t["v"], t["pv"]) * np.linalg.norm(t["c"], axis=0).max() < 40
-        hidden = np.where(np.arange(WINDOW)[None, :] > np.arange(BACK, WINDOW)[:, None], np.float32(-1e9), np.float32(0))
-        # every batch is worked out in the same buffers
-        new = lambda *shape: np.empty((batch, *shape), np.float32)
-        held = new(STRIDE, DIM), new(WINDOW, DIM), new(WINDOW, DIM), new(STRIDE, WINDOW), new(STRIDE, DIM), new(STRIDE, len(t["c"][0])), new(STRIDE, len(t["c"][0]))
-        for at in range(0, len(read), batch):
-            x, y = read[at : at + batch], scored[at : at + batch]
-            q, k, v, a, o, z, base = (b[: len(x)] for b in held)
+        t, total, room = self.tables(), np.zeros(len(read)), self._room(0, np.dtype(np.float32))
+        small = _bounded(*(t[name] for name in ("q", "pq", "k", "pk", "v", "pv", "c")))
+        of_kv, place_kv = np.concatenate((t["k"], t["v"]), axis=1), np.concatenate((t["pk"], t["pv"]), axis=1)
+        n_class = self.after.shape[1]
+        hidden, ones = _hidden(np.float32), np.ones(max(WINDOW, n_class), np.float32)
+        for at in range(0, len(read), PART):
+            x, flat = read[at : at + PART], scored[at : at + PART].ravel()
+            q, kv, a, o, z, base = (room[name][: len(x)] for name in ("q", "kv", "a", "o", "z", "base"))
             own = x[:, BACK:]
-            for name, places, out in (("q", own, q), ("k", x, k), ("v", x, v)):
-                np.take(t[name], places, axis=0, out=out, mode="clip")
-                out += t["p" + name]
-            np.matmul(q, k.transpose(0, 2, 1), out=a)
+            np.take(t["q"], own, axis=0, out=q, mode="clip")
+            q += t["pq"]
+            np.take(of_kv, x, axis=0, out=kv, mode="clip")
+            kv += place_kv
+            np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1), out=a)
             a += hidden
             if not small:
                 a -= a.max(axis=2, keepdims=True)
             np.exp(a, out=a)
-            np.matmul(a, v, out=o)
-            o /= a.sum(axis=2, keepdims=True)
-            rows = z.reshape(-1, z.shape[2])
-            np.matmul(o.reshape(-1, DIM), t["c"], out=rows)
-            np.take(self.after, own, axis=0, out=base, mode="clip")
+            np.matmul(a, kv[:, :, DIM:], out=o)
+            flat_o, rows = o.reshape(-1, DIM), z.reshape(-1, n_class)
+            flat_o /= (a.reshape(-1, WINDOW) @ ones[:WINDOW])[:, None]
+            np.matmul(flat_o, t["c"], out=rows)
+            np.take(room["after"], own, axis=0, out=base, mode="clip")
             z += base
-            flat = y.ravel()
             known = np.maximum(flat, 0)
             if not small:
                 rows -= rows.max(axis=1, keepdims=True)
-            got = rows[np.arange(len(rows)), self.class_of[known]].astype(float)
-            got += self.shares(own.ravel(), known) - np.log(np.exp(rows, out=rows).sum(axis=1))
+            got = rows.ravel()[np.arange(0, rows.size, n_class) + self.class_of[known]].astype(float)
+            np.exp(rows, out=rows)
+            got += self.shares(own.ravel(), known) - np.log(rows @ ones[:n_class])
             got[flat < 0] = 0
-            total[at : at + batch] = got.reshape(y.shape).sum(axis=1)
+            total[at : at + PART] = got.reshape(len(x), STRIDE).sum(axis=1)
         ends = np.concatenate(([0], np.cumsum(total)))[np.concatenate(([0], np.cumsum(many)))]
         return np.diff(ends) / np.log(10)
 
+    def _room(self, many: int, kind: np.dtype) -> dict[str, np.ndarray]:
+        """Buffers that all batches share: memory that is asked for anew costs more than the sums made in it. ``d`` holds a whole batch, the others ``PART`` windows."""
+        room = self.__dict__.get("_held")
+        if room is None or room["q"].dtype != kind or len(room["d"]) < many:
+            new = lambda n, *shape: np.empty((n, *shape), kind)
+            n_class = self.after.shape[1]
+            room = {"q": new(PART, STRIDE, DIM), "kv": new(PART, WINDOW, 2 * DIM), "a": new(PART, STRIDE, WINDOW), "da": new(PART, STRIDE, WINDOW), "o": new(PART, STRIDE, DIM)}
+            room |= {"do": new(PART, STRIDE, DIM), "z": new(PART, STRIDE, n_class), "base": new(PART, STRIDE, n_class), "d": new(many, WINDOW, 3 * DIM), "spots": np.empty((many * WINDOW, 3 * DIM), np.int64), "after": self.after.astype(kind, copy=False)}
+            self._held = room
+        return room
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss in nats over classes, and its gradients."""
-        w, many = self.weights, len(x)
-        scale, flat2 = w["e"].dtype.type(1 / np.sqrt(DIM)), lambda a: a.reshape(-1, a.shape[-1])
-        e = w["e"][x]
-        e += w["p"]
-        own = np.ascontiguousarray(e[:, BACK:])
-        # products with a matrix are made of all rows at once, not window by window
-        q, k, v = (flat2(a) @ w[name] for a, name in ((own, "q"), (e, "k"), (e, "v")))
-        q, k, v = q.reshape(many, STRIDE, DIM), k.reshape(many, WINDOW, DIM), v.reshape(many, WINDOW, DIM)
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= scale
-        a += np.where(np.arange(WINDOW)[None, :] > np.arange(BACK, WINDOW)[:, None], scale.dtype.type(-1e9), scale.dtype.type(0))
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        o = np.matmul(a, v)
-        p = flat2(o) @ w["c"]
-        p += self.after[x[:, BACK:].ravel()]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        flat = y.ravel()
-        real = flat >= 0
-        goal, n = self.class_of[np.maximum(flat, 0)], max(1, int(real.sum()))
-        at = np.arange(len(p))
-        loss = -float(np.log(p[at, goal][real] + 1e-30).sum()) / n
-        p[at, goal] -= 1
-        p *= (real / n).astype(p.dtype)[:, None]
-        g = {"c": flat2(o).T @ p}
-        do = (p @ w["c"].T).reshape(o.shape)
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        da -= np.einsum("nst,nst->ns", da, a)[:, :, None]
-        da *= a
-        da *= scale
-        dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-        g["q"], g["k"], g["v"] = (flat2(left).T @ flat2(d) for left, d in ((own, dq), (e, dk), (e, dv)))
-        de = (flat2(dk) @ w["k"].T + flat2(dv) @ w["v"].T).reshape(e.shape)
-        de[:, BACK:] += (flat2(dq) @ w["q"].T).reshape(dq.shape)
-        g["p"] = de.sum(axis=0)
-        rows = x.ravel()
-        order = np.argsort(rows, kind="stable")
-        rows, starts = np.unique(rows[order], return_index=True)
-        g["e"] = np.zeros_like(w["e"])
-        g["e"][rows] = np.add.reduceat(de.reshape(-1, DIM)[order], starts, axis=0)
-        return loss, g
+        """Mean loss in nats over classes, and its gradients.
+
+        Queries, keys and values are looked up in tables of rows and places, so what flows back to them is added up by row and by place first, and only these sums
+        meet the matrices. Windows are worked on ``PART`` at a time, in buffers that stay in a core's cache.
+        """
+        w, many, kind = self.weights, len(x), self.weights["e"].dtype
+        scale, n = kind.type(1 / np.sqrt(DIM)), kind.type(max(1, int((y >= 0).sum())))
+        room, n_class = self._room(many, kind), self.after.shape[1]
+        into = np.concatenate((w["q"] * scale, w["k"], w["v"]), axis=1)
+        rows, places = w["e"] @ into, w["p"] @ into
+        of_q, of_kv = (np.ascontiguousarray(part) for part in (rows[:, :DIM], rows[:, DIM:]))
+        small = _bounded(*(t[:, i : i + DIM] for i in (0, DIM, 2 * DIM) for t in (rows, places)), w["c"])
+        hidden, ones, back = _hidden(kind), np.ones(max(WINDOW, n_class), kind), np.ascontiguousarray(w["c"].T)
+        g = {"c": np.zeros_like(w["c"])}
+        d, loss = room["d"][:many], 0.0
+        d[:, :BACK, :DIM] = 0
+        for at in range(0, many, PART):
+            read, flat_y, own_d = x[at : at + PART], y[at : at + PART].ravel(), d[at : at + PART]
+            q, kv, a, da, o, do, z, base = (room[name][: len(read)] for name in ("q", "kv", "a", "da", "o", "do", "z", "base"))
+            own = read[:, BACK:]
+            np.take(of_q, own, axis=0, out=q, mode="clip")
+            q += places[BACK:, :DIM]
+            np.take(of_kv, read, axis=0, out=kv, mode="clip")
+            kv += places[:, DIM:]
+            k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+            np.matmul(q, k.transpose(0, 2, 1), out=a)
+            a += hidden
+            if not small:
+                a -= a.max(axis=2, keepdims=True)
+            np.exp(a, out=a)
+            # the sums divide what attention makes, and what flows back to it, but never the exponents
+            total = (a.reshape(-1, WINDOW) @ ones[:WINDOW])[:, None]
+            np.matmul(a, v, out=o)
+            flat_o, flat_do, p = o.reshape(-1, DIM), do.reshape(-1, DIM), z.reshape(-1, n_class)
+            flat_o /= total
+            np.matmul(flat_o, w["c"], out=p)
+            np.take(room["after"], own, axis=0, out=base, mode="clip")
+            z += base
+            if not small:
+                p -= p.max(axis=1, keepdims=True)
+            real = flat_y >= 0
+            goal = np.arange(0, p.size, n_class) + self.class_of[np.maximum(flat_y, 0)]
+            got, flat_p = p.ravel()[goal], p.reshape(-1)
+            np.exp(p, out=p)
+            sums = p @ ones[:n_class]
+            loss += float((np.log(sums) - got)[real].sum())
+            weight = real / n
+            p *= (weight / sums).astype(kind)[:, None]
+            flat_p[goal] -= weight
+            g["c"] += flat_o.T @ p
+            np.matmul(p, back, out=flat_do)
+            flat_do /= total
+            np.matmul(do, v.transpose(0, 2, 1), out=da)
+            da -= np.einsum("nsd,nsd->ns", do, o)[:, :, None]
+            da *= a
+            np.matmul(da, k, out=own_d[:, BACK:, :DIM])
+            np.matmul(da.transpose(0, 2, 1), q, out=own_d[:, :, DIM : 2 * DIM])
+            np.matmul(a.transpose(0, 2, 1), do, out=own_d[:, :, 2 * DIM :])
+        spots = room["spots"][: many * WINDOW]
+        np.add(x.reshape(-1, 1) * np.int64(3 * DIM), np.arange(3 * DIM), out=spots)
+        by_row = np.bincount(spots.ravel(), d.ravel(), rows.size).reshape(rows.shape).astype(kind)
+        by_place = d.sum(axis=0)
+        g["e"], g["p"] = by_row @ into.T, by_place @ into.T
+        both = w["e"].T @ by_row + w["p"].T @ by_place
+        g["q"], g["k"], g["v"] = both[:, :DIM] * scale, both[:, DIM : 2 * DIM], both[:, 2 * DIM :]
+        return loss / float(n), g
 
     def fit(self, read: np.ndarray, scored: np.ndarray, rate: float, epochs: int = 1, batch: int = 128, seed: int = 1, state: dict | None = None) -> list[float]:
         """Adam with a rate that falls to zero; the weights change in place. With ``state`` it goes on from where it was, at a steady rate."""
@@ -302,6 +378,7 @@ class Model:
         if not state:
             state |= {"step": 0, "m": {k: np.zeros_like(a) for k, a in self.weights.items()}, "v": {k: np.zeros_like(a) for k, a in self.weights.items()}}
         m, v, step = state["m"], state["v"], state["step"]
+        parts = {k: np.empty_like(a) for k, a in self.weights.items()}
         steps = epochs * -(-len(read) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(read))
@@ -311,9 +388,19 @@ class Model:
                 step += 1
                 now = rate if steady else rate * (1 - (step - 1) / steps)
                 for k, d in g.items():
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    v[k] = 0.99 * v[k] + 0.01 * d * d
-                    self.weights[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    part = parts[k]  # scratch, so that a step asks for no memory
+                    m[k] *= 0.9
+                    m[k] += np.multiply(d, 0.1, out=part)
+                    v[k] *= 0.99
+                    np.multiply(d, d, out=part)
+                    part *= 0.01
+                    v[k] += part
+                    np.multiply(v[k], 1 / (1 - 0.99**step), out=part)
+                    np.sqrt(part, out=part)
+                    part += 1e-8
+                    np.divide(m[k], part, out=part)
+                    part *= now / (1 - 0.9**step)
+                    self.weights[k] -= part
         state["step"] = step
         return losses
 
@@ -347,7 +434,7 @@ def learn(tok: DataFrame, path: str, sample: int = 3000, held_pairs: int = 2_000
     names = vocabulary(path).bytes_of
     size = max(names) + 1
     end = max(vocabulary(path).special.values(), default=size - 1)
-    count = _counted(tok, size, lambda texts: np.concatenate([np.append(t, np.uint16(end)) for t in texts]) if texts else np.zeros(0, int))
+    count = _counted(tok, size, end)
     row_of, class_of, share = _classes(count, names)
     n_class, n_row = SINGLE + SHARED, OWN_ROWS + SINGLE + SHARED + 1
 
@@ -457,9 +544,29 @@ def score(tok: DataFrame, model: Model) -> DataFrame:
 # ---- unigram base
 
 
-def split(text: bytes) -> list[bytes]:
-    """Words in UTF-8: on bytes only A-Z fold and only ASCII white space splits."""
-    return text.lower().split()
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of some ``most`` bytes of texts, or of one text."""
+    for batch in batches:
+        upto, at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts in UTF-8, then the empty word, which ends a text; and each word's text and number, end for end left out.
+
+    Only A-Z fold and only ASCII white space splits. Arrow splits and numbers the words, which would be too many Python objects.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = words.flatten().dictionary_encode()
+    names, number = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    blank = pc.index(names, pa.scalar(b"", pa.binary())).as_py()
+    if blank >= 0:  # what white space at either end of a text leaves
+        text, number = text[number != blank], number[number != blank]
+    return pa.concat_arrays([names, pa.array([b""], pa.binary())]), text, number
 
 
 def word_counts(docs: DataFrame, modulus: int = 7, held: int = 2, most_in_task: int = 400_000) -> DataFrame:
@@ -469,14 +576,16 @@ def word_counts(docs: DataFrame, modulus: int = 7, held: int = 2, most_in_task:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
-        seen: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(split(text))
-                seen[b""] += 1
-                if len(seen) > most_in_task:
-                    yield out()
-                    seen.clear()
+        seen: dict[bytes, int] = {}
+        for batch in portions(batches, 0):
+            names, _, number = numbered(batch.column(0))
+            n = np.bincount(number, minlength=len(names))
+            n[-1] = batch.num_rows
+            for word, k in zip(names.to_pylist(), n.tolist(), strict=True):
+                seen[word] = seen.get(word, 0) + k
+            if len(seen) > most_in_task:
+                yield out()
+                seen.clear()
         yield out()
 
     train = docs.where(fold(modulus) != held).select(whole_text().alias("text"))
@@ -491,26 +600,24 @@ def base_scores(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     counts = saved(word_counts(docs))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("word")).first()
     top = counts.where(F.col("c") >= _least_count(counts, "c", frequent)).toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), np.log10(top.column("c").to_numpy() + 1.0).tolist(), strict=True)))
+    known = docs.sparkSession.sparkContext.broadcast((pa.array(top.column("word").to_pylist(), pa.binary()), np.log10(top.column("c").to_numpy() + 1.0)))
     del top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = known.value
-        get = logs.get
-        for batch in slices(batches):
-            n_tokens, n_known, sums, ends, names, times = [], [], [], [0], [], []
-            for text in batch.column(3).cast(pa.binary()).to_pylist():
-                words = split(text)
-                words.append(b"")
-                others = Counter([w for w in words if w not in logs])
-                names += others.keys()
-                times += others.values()
-                ends.append(len(names))
-                n_tokens.append(len(words))
-                n_known.append(len(words) - others.total())
-                sums.append(sum(map(get, words, repeat(0.0))))
-            columns = [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64())]
-            pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], ["w", "n"])
+        frequent_words, logs = known.value
+        logs = np.append(logs, 0.0)  # of words that are not there
+        for batch in portions(batches, 3):
+            many = batch.num_rows
+            names, text, number = numbered(batch.column(3))
+            text, number = np.append(text, np.arange(many)), np.append(number, np.full(many, len(names) - 1))
+            place = pc.index_in(names, value_set=frequent_words).fill_null(-1).to_numpy()[number]
+            there = place >= 0
+            n_tokens = np.bincount(text, minlength=many)
+            sums = np.bincount(text, logs[place], many)
+            pair, times = np.unique(text[~there] * np.int64(len(names)) + number[~there], return_counts=True)
+            ends = np.searchsorted(pair, np.arange(many + 1) * np.int64(len(names)))
+            columns = [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(np.bincount(text[there], minlength=many), pa.int64()), pa.array(sums, pa.float64())]
+            pairs = pa.StructArray.from_arrays([names.take(pa.array(pair % len(names))), pa.array(times, pa.int64())], ["w", "n"])
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
             yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "known", "logs", "rare"])
 
