@@ -332,3 +332,31 @@ def test_gram_matrices_of_folds_and_of_some_columns(spark):
         assert np.allclose(g.xx, own.xx) and np.allclose(g.xy, own.xy) and np.allclose(g.yy, own.yy) and g.n == own.n
     some, own = linear.part(linear.gram(df, ["c", "x"], ["y", "z"]), ["x"]), linear.gram(df, ["x"], ["y", "z"])
     assert some.xs == own.xs and np.allclose(some.xx, own.xx) and np.allclose(some.xy, own.xy) and np.allclose(some.yy, own.yy) and some.n == own.n
+
+
+def test_gwas_reads_dosages_where_it_cuts_them(spark, data):
+    """Dosages that tasks read, and arrays of whole numbers over 2, against rows for each subject; with families, subjects and interactions. A slice holds four dosages a byte."""
+    df, (_, iid, _, _) = data
+    subjects, rng = np.unique(iid), np.random.default_rng(8)
+    g = rng.integers(-1, 3, (7, len(subjects))).astype(np.int8)
+    named = spark.createDataFrame([(int(s), 2 * k) for k, s in enumerate(subjects)], "iid long, place long")
+    keys = spark.createDataFrame([(f"rs{k}", "1", k) for k in range(7)], "snp_id string, chr string, bp long")
+    wide = np.full((7, 2 * len(subjects)), 2, np.int8)
+    wide[:, ::2] = g
+    for effects, basis in ((("F", "S", "E"), None), (("F", "E"), gwas.with_main(["x"], "one")), (("E",), None)):
+        f = mixed.fit(df, ["one", "x"], ["y", "z"], effects)
+        for times in (1, 3):  # thrice a dosage is over 2
+            rows = [(f"rs{k}", "1", k, int(s), None if g[k, j] < 0 else float(g[k, j] * times)) for k in range(7) for j, s in enumerate(subjects)]
+            long = spark.createDataFrame(rows, "snp_id string, chr string, bp long, iid long, dosage double")
+            want = {(r["snp_id"], r["y_id"], r["basis_id"]): r for r in gwas.gwas(long, df, f, basis, rows_in_tile=60, variants_in_tile=3).collect()}
+            if times == 1:
+                other = gwas.gwas(keys, df, f, basis, rows_in_tile=60, variants_in_tile=3, places=named, read=lambda bp: wide[bp]).collect()
+            else:
+                arrays_ = keys.join(spark.createDataFrame([(k, [None if v < 0 else int(v) * 3 for v in wide[k]]) for k in range(7)], "bp long, dosages array<tinyint>"), "bp")
+                other = gwas.gwas(arrays_, df, f, basis, rows_in_tile=60, variants_in_tile=3, places=named).collect()
+            assert len(other) == len(want) == 14 * (1 if basis is None else 2)
+            for r in other:
+                w = want[r["snp_id"], r["y_id"], r["basis_id"]]
+                assert [r[c] for c in ("beta", "se", "wald_logp")] == pytest.approx([w[c] for c in ("beta", "se", "wald_logp")], rel=1e-8)
+    slots = gwas._slots(df.select(F.col("iid").alias("subject"), "fid").withColumn("block", F.lit(0)))
+    assert {len(r["body"]) for r in gwas._from_arrays(keys, named, slots, 1, lambda bp: wide[bp]).collect()} == {-(-len(subjects) // 4)}

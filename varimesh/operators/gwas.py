@@ -1,7 +1,7 @@
 """Association of each variant with outcomes, fixed effects and family covariance taken out.
 
 Genotypes and subjects meet in tiles: families are dealt to blocks, variants to parts, and a tile holds one block's rows and one part's dosages as a matrix. A variant's array of
-dosages is cut into the blocks' slices where it is read, so a dosage is one shuffled byte and no row is made for a subject and a variant. A tile gives,
+dosages is cut into the blocks' slices where it is read, four to a byte if they are 0, 1 and 2, and no row is made for a subject and a variant. A tile gives,
 for each of its variants, sums of products with V⁻¹X, V⁻¹r and itself, where V is the covariance of the fitted mixed model, one for each bin of outcomes. The sums of
 all blocks are added up by variant, and the estimates follow from them. So neither subjects nor variants ever pass through the driver or one task; a
 family must fit a tile.
@@ -9,7 +9,7 @@ family must fit a tile.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from varimesh.functions.dist import chi2_log10sf, signed_log10p, t_sf2
 
-from .arrays import combine, lists, sliced
+from .arrays import SLICE, combine, lists, sliced
 from .linear import gram
 from .mixed import MixedFit, three, with_groups
 from .storage import saved
@@ -50,6 +50,48 @@ class Groups:
         w = np.add.reduceat(sums / d, self.firsts, axis=0) * (f / (1 + f * q))[:, None]
         return (z - (s / d * sums)[self.sub]) / e - (w[self.fam] / d)[self.sub]
 
+    def sorted(self) -> Groups:
+        """The same groups for rows in the order ``order``."""
+        out = object.__new__(Groups)
+        out.sub, out.fam, out.n, out.order, out.starts, out.firsts = self.sub[self.order], self.fam, self.n, np.arange(len(self.order)), self.starts, self.firsts
+        return out
+
+    def taken(self, g: np.ndarray, base: np.ndarray, share: np.ndarray) -> np.ndarray | float:
+        """What group effects take from T'T / e in T'V⁻¹T, for each row ``g`` of values in the groups' order, whose T is its products with the columns of ``base``; 0 without such effects."""
+        f, s, e = share
+        if not f and not s:
+            return 0.0
+        d = e + s * self.n
+        sums = np.stack([np.add.reduceat(g * u if (u != 1).any() else g, self.starts, axis=1) if len(self.n) < g.shape[1] else g * u for u in base.T], 1)
+        out = np.einsum("mis,mjs->mij", sums * (s / (d * e)), sums, optimize=True) if s else 0.0
+        if f:
+            inner = np.add.reduceat(sums / d, self.firsts, axis=2) if len(self.firsts) < len(self.n) else sums / d
+            out = out + np.einsum("mis,mjs->mij", inner * (f / (1 + f * np.add.reduceat(self.n / d, self.firsts))), inner, optimize=True)
+        return out
+
+
+#: The four codes in each byte, in order.
+CODES = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8)
+
+
+def _unpacked(b: pa.Table, at: np.ndarray, bits: int, slot: np.ndarray) -> np.ndarray:
+    """The dosages of the rows ``at`` of a tile, variants by subjects' rows; a missing one is the variant's mean."""
+    some = b.take(pa.array(at))
+    data, mean = b"".join(some.column("body").to_pylist()), some.column("mean").to_numpy()[:, None]
+    if bits == 2:
+        g = CODES.view("<u4")[:, 0].take(np.frombuffer(data, np.uint8)).view(np.uint8).reshape(len(at), -1)
+    else:
+        g = np.frombuffer(data, "<f8").reshape(len(at), -1)
+    if (slot < 0).any() or not g.shape[1]:  # rows of no known subject
+        g = np.concatenate((g, np.full((len(at), 1), 3 if bits == 2 else np.nan, g.dtype)), 1)
+    if len(slot) > g.shape[1] or (slot != np.arange(len(slot))).any():
+        g = g.take(slot, axis=1)
+    else:
+        g = g[:, : len(slot)]
+    out = g.astype(float)
+    np.copyto(out, mean, where=g == 3 if bits == 2 else ~(g >= 0))
+    return out
+
 
 def apply_inverse(z: np.ndarray, fid: np.ndarray, iid: np.ndarray, share: np.ndarray) -> np.ndarray:
     """V⁻¹z for the F, S, E covariance; subjects lie in families."""
@@ -57,45 +99,71 @@ def apply_inverse(z: np.ndarray, fid: np.ndarray, iid: np.ndarray, share: np.nda
 
 
 def _slots(rows: DataFrame) -> DataFrame:
-    """``(subject, block, slot)``: each analysed subject's place within its block."""
-    named = rows.select("subject", "block").distinct()
-    w = Window.partitionBy("block").orderBy("subject")  # a block has a bounded number of rows, or one family's
-    return saved(named.where("subject is not null").withColumn("slot", (F.row_number().over(w) - 1).cast("int")))
+    """``(subject, block, slot)``: each analysed subject's place within its block, families together."""
+    named = rows.where("subject is not null").groupBy("subject", "block").agg(F.min("fid").alias("_fid"))
+    w = Window.partitionBy("block").orderBy("_fid", "subject")  # a block has a bounded number of rows, or one family's
+    return saved(named.select("subject", "block", (F.row_number().over(w) - 1).cast("int").alias("slot")))
+
+
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """Four codes of two bits in each byte."""
+    x = np.ascontiguousarray(codes).view("<u4")
+    return (x | x >> 6 | x >> 12 | x >> 18).astype(np.uint8)
 
 
-def _from_arrays(variants: DataFrame, places: DataFrame, slots: DataFrame, blocks: int) -> tuple[DataFrame, bool]:
-    """``(snp_id, chr, bp, block, mean, body)`` from arrays of dosages: each block's slice in the order of its slots, and the mean over the analysed subjects; and whether values are single bytes.
+def _from_arrays(variants: DataFrame, places: DataFrame, slots: DataFrame, blocks: int, read: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """``(snp_id, chr, bp, block, mean, bits, body)``: each block's slice of a variant's dosages in the order of its slots, and the mean over the analysed subjects.
 
-    The places of all analysed subjects go to every task: as many numbers as one variant's row has.
+    Dosages of 0, 1 and 2 take two bits each, other whole numbers and fractions 64. The places of all analysed subjects go to every task: as many numbers as one variant's row has.
     """
     known = places.select("place", F.col("iid").alias("subject")).join(slots, "subject").select("place", "block", "slot").toArrow()
     place, block, slot = (known.column(k).to_numpy() for k in ("place", "block", "slot"))
-    order = np.lexsort((slot, block))
-    place, block, slot = place[order], block[order], slot[order]
-    sizes = dict(slots.groupBy("block").count().collect())
-    small = variants.schema["dosages"].dataType.elementType.typeName() == "byte"
-    kind = np.dtype("i1" if small else "<f8")
-    given = variants.sparkSession.sparkContext.broadcast((place, block, slot, sizes))
+    sizes = np.zeros(blocks, np.int64)
+    for r in slots.groupBy("block").agg((F.max("slot") + 1).alias("n")).collect():
+        sizes[r["block"]] = r["n"]
+    ends = np.cumsum(-(-sizes // 4) * 4)  # blocks begin at whole bytes
+    starts = ends - -(-sizes // 4) * 4
+    order = np.full(int(ends[-1]), -1, np.int32)  # the place of each slot of all blocks; none for what fills a byte
+    order[starts[block] + slot] = place
+    small = read is not None or variants.schema["dosages"].dataType.elementType.typeName() == "byte"
+    given = variants.sparkSession.sparkContext.broadcast((order, starts, ends))
+
+    def bodies(data: np.ndarray, bits: int, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The blocks' slices of each row, cut where they lie."""
+        cuts = np.append(starts, ends[-1]) * bits // 8
+        offsets = (np.arange(len(data))[:, None] * cuts[-1] + cuts[:-1]).ravel()
+        return pa.Array.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(np.append(offsets, len(data) * cuts[-1]).astype("<i4").tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, block, slot, sizes = given.value
-        cuts = np.searchsorted(block, np.arange(blocks + 1))
-        for batch in sliced(batches, 3):
-            lists = batch.column(3)
-            g = lists.flatten().cast(pa.int8() if small else pa.float64()).fill_null(-1 if small else np.nan).to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-            for k in range(len(g)):
-                own = g[k, place]
-                seen = own[own >= 0]
-                mean = float(seen.mean()) if len(seen) else 0.0
-                bodies = []
-                for b in range(blocks):
-                    body = np.full(sizes.get(b, 0), -1 if small else np.nan, kind)
-                    body[slot[cuts[b] : cuts[b + 1]]] = own[cuts[b] : cuts[b + 1]]
-                    bodies.append(body.tobytes())
-                head = [batch.column(c).slice(k, 1).take(pa.array(np.zeros(blocks, np.int64))) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, mean)), pa.array(bodies, pa.binary())], [*KEYS, "block", "mean", "body"])
-
-    return variants.select(F.col("snp_id").cast("string"), F.col("chr").cast("string"), F.col("bp").cast("long"), "dosages").mapInArrow(run, "snp_id string, chr string, bp long, block int, mean double, body binary"), small
+        order, starts, ends = given.value
+        few = max(1, SLICE // max(1, len(order)))
+        for batch in sliced(batches, 3) if read is None else (b.slice(at, few) for b in batches for at in range(0, b.num_rows, few)):
+            rows, column = batch.num_rows, batch.column(3)
+            if read is not None:
+                g = read(column.to_numpy(zero_copy_only=False))
+            else:
+                g = column.flatten().cast(pa.int8() if small else pa.float64()).fill_null(-1 if small else np.nan).to_numpy(zero_copy_only=False).reshape(rows, -1)
+            none = -1 if small else np.nan
+            if len(order) and g.shape[1]:
+                own = np.take(g, order, axis=1, mode="clip")
+                own[:, order < 0] = none
+            else:
+                own = np.full((rows, len(order)), none, g.dtype)
+            if small and (not own.size or own.max() <= 2):
+                codes = np.minimum(own.view(np.uint8), 3)  # below 0: missing
+                one, two, missing = (np.count_nonzero(codes == k, axis=1) for k in (1, 2, 3))
+                mean, bits, data = (one + 2.0 * two) / np.maximum(1, own.shape[1] - missing), 2, _packed(codes)
+            else:
+                data = own.astype("<f8")
+                data[~(data >= 0)] = np.nan
+                seen = np.isfinite(data)
+                mean, bits = np.where(seen, data, 0).sum(1) / np.maximum(1, seen.sum(1)), 64
+            blocks = len(starts)
+            at = pa.array(np.repeat(np.arange(rows), blocks))
+            columns = [batch.column(c).take(at) for c in range(3)] + [pa.array(np.tile(np.arange(blocks, dtype=np.int32), rows)), pa.array(np.repeat(mean, blocks)), pa.array(np.full(rows * blocks, bits, np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, bodies(data, bits, starts, ends)], [*KEYS, "block", "mean", "bits", "body"])
+
+    return variants.select(F.col("snp_id").cast("string"), F.col("chr").cast("string"), F.col("bp").cast("long"), "dosages" if read is None else F.col("bp").cast("long").alias("number")).mapInArrow(run, "snp_id string, chr string, bp long, block int, mean double, bits int, body binary")
 
 
 def _from_cells(dosages: DataFrame, slots: DataFrame, blocks: int) -> DataFrame:
@@ -113,20 +181,20 @@ def _from_cells(dosages: DataFrame, slots: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             bodies = []
             for size, cells in zip(batch.column(5).to_pylist(), batch.column(6), strict=True):
-                body = np.full(size or 0, np.nan)
+                body = np.full(-(-(size or 0) // 4) * 4, np.nan)
                 if cells.is_valid:
                     body[cells.values.field("slot").to_numpy()] = cells.values.field("dosage").to_numpy()
                 bodies.append(body.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bodies, pa.binary())], [*KEYS, "block", "mean", "body"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.full(batch.num_rows, 64, np.int32)), pa.array(bodies, pa.binary())], [*KEYS, "block", "mean", "bits", "body"])
 
-    return rows.select(*KEYS, "block", "mean", "size", "cells").mapInArrow(run, "snp_id string, chr string, bp long, block int, mean double, body binary")
+    return rows.select(*KEYS, "block", "mean", "size", "cells").mapInArrow(run, "snp_id string, chr string, bp long, block int, mean double, bits int, body binary")
 
 
-def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str] | None = None, test: str = "z", rows_in_tile: int = 2000, variants_in_tile: int = 2000, places: DataFrame | None = None) -> DataFrame:
+def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str] | None = None, test: str = "z", rows_in_tile: int | None = None, variants_in_tile: int = 2000, places: DataFrame | None = None, read: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``(snp_id, chr, bp, y_id, basis_id, beta, se, t, logp, wald, wald_logp, err_flag)``.
 
-    ``dosages`` has ``snp_id, chr, bp`` and arrays ``dosages``, with ``places`` (``iid, place``) saying where a subject's value stands, or else a row ``iid, dosage`` for each subject. A missing dosage counts as the
-    variant's mean over the analysed subjects. ``design`` has ``fid, iid``, the terms and outcomes of ``fit``
+    ``dosages`` has ``snp_id, chr, bp`` and arrays ``dosages``, with ``places`` (``iid, place``) saying where a subject's value stands, or else a row ``iid, dosage`` for each
+    subject. With ``read``, which gives the dosages of variants ``bp`` as a matrix of bytes (below 0: missing), the table has no arrays and tasks read what they cut. A missing dosage counts as the variant's mean over the analysed subjects. Tiles have ``rows_in_tile`` rows, by default 2,000 to 16,000 as there are more. ``design`` has ``fid, iid``, the terms and outcomes of ``fit``
     and the columns of ``basis``, each of which multiplies the variant (without any: its main effect). ``test``: p-values of single effects from the normal (``z``),
     Student's t (``t``) or the chi-squared law of the square (``chi``). A variant that is constant, or explained by X, has null results and ``err_flag`` set.
     """
@@ -138,14 +206,13 @@ def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str]
     rows = with_groups(design.withColumn("_subject", F.col("iid")), fit.effects)
     rows = rows.select(F.col("_subject").alias("subject"), "fid", "iid", *[c(x).alias(f"x{i}") for i, x in enumerate(xs)], *[c(y).alias(f"y{i}") for i, y in enumerate(ys)], *[c(b).alias(f"b{i}") for i, b in enumerate(bs)])
     g = gram(rows, [f"x{i}" for i in range(p)], [f"y{i}" for i in range(v)])
-    blocks = max(1, -(-g.n // rows_in_tile))
+    blocks = max(1, -(-g.n // (rows_in_tile or min(max(g.n // 64, 2000), 16000))))
     rows = saved(rows.withColumn("block", F.pmod(F.xxhash64("fid"), F.lit(blocks)).cast("int")))
     slots = _slots(rows)
-    small = False
-    if "dosages" in dosages.columns:
+    if read is not None or "dosages" in dosages.columns:
         if places is None:
             raise ValueError("arrays of dosages need the places of subjects in them")
-        right, small = _from_arrays(dosages, places, slots, blocks)
+        right = _from_arrays(dosages, places, slots, blocks, read)
         n_variants = dosages.count()
     else:
         right = saved(_from_cells(dosages, slots, blocks))
@@ -153,6 +220,8 @@ def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str]
     parts = max(1, -(-n_variants // variants_in_tile))
     right = right.withColumn("part", F.pmod(F.xxhash64(*KEYS), F.lit(parts)).cast("int"))
     left = rows.join(slots.drop("block"), "subject", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tasks = min(blocks * parts, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * parts // 8))
+    left, right = left.repartition(tasks, "block", "part"), right.repartition(tasks, "block", "part")
 
     share = three(fit.shares, fit.effects)
     bins = [np.flatnonzero(fit.bins == b) for b in np.unique(fit.bins)]
@@ -164,26 +233,33 @@ def gwas(dosages: DataFrame, design: DataFrame, fit: MixedFit, basis: list[str]
         stack = lambda k, n: np.stack([get(f"{k}{i}") for i in range(n)], 1)
         if not a.num_rows or not b.num_rows:
             return pa.table({"snp_id": pa.array([], pa.string()), "chr": pa.array([], pa.string()), "bp": pa.array([], pa.int64()), "m": pa.array([], pa.list_(pa.float64()))})
-        x, y = stack("x", p), stack("y", v)
-        base = stack("b", len(bs)) if bs else np.ones((len(x), 1))
-        slot, groups, res = a.column("slot").fill_null(-1).to_numpy(), Groups(get("fid"), get("iid")), y - x @ beta
-        step, made = max(1, HELD // (8 * len(x) * q)), []
-        for first in range(0, b.num_rows, step):  # so many variants that their matrix stays small
-            some = b.slice(first, step)
-            m = some.num_rows
-            cross = lambda u, w: np.einsum("nmi,nmj->mij", u, w).reshape(m, -1)  # noqa: B023, E731
-            with_all = lambda u, w: np.einsum("nmi,nj->mij", u, w, optimize=True).reshape(m, -1)  # noqa: B023, E731
-            full = np.frombuffer(b"".join(some.column("body").to_pylist()), "i1" if small else "<f8").reshape(m, -1).astype(float)
-            full = np.concatenate((full, np.full((m, 1), np.nan)), 1)  # for rows of no known subject
-            full = np.where(full >= 0, full, some.column("mean").to_numpy()[:, None])
-            t = full[:, slot].T[:, :, None] * base[:, None, :]  # rows, variants, basis
-            flat, out = t.reshape(len(x), -1), []
-            for s, ids in zip(weights, bins, strict=True):
-                wt = groups.apply_inverse(flat, s).reshape(t.shape)
-                out += [cross(t, wt), with_all(wt, x), with_all(wt, res[:, ids])]
-            out += [cross(t, t), with_all(t, x), with_all(t, res)]
-            made.append(np.concatenate(out, 1))
-        return pa.table({k: b.column(k) for k in KEYS} | {"m": lists(np.concatenate(made))})
+        groups = Groups(get("fid"), get("iid"))
+        order = groups.order  # rows of a subject, and of a family, side by side
+        x, y = stack("x", p)[order], stack("y", v)[order]
+        base = (stack("b", len(bs)) if bs else np.ones((len(x), 1)))[order]
+        slot, res = a.column("slot").fill_null(-1).to_numpy()[order], y - x @ beta
+        groups = groups.sorted()
+        # what a variant's row is multiplied with: products of the basis with X and r, weighted for each bin and not, and of the basis with itself for the squares
+        by = lambda w: (base[:, :, None] * w[:, None, :]).reshape(len(x), -1)
+        sides = [by(groups.apply_inverse(w, s)) for s, ids in zip(weights, bins, strict=True) for w in (x, res[:, ids])] + [by(x), by(res)]
+        ends, side = np.cumsum([0] + [w.shape[1] for w in sides]), np.concatenate(sides, 1)
+        squares = by(base)
+        step = max(1, min(HELD // (8 * len(x) * q), 1 + HELD // (64 * len(x))))
+        made = np.empty((b.num_rows, (len(bins) + 1) * q * (q + p) + 2 * q * v))
+        bits = b.column("bits").to_numpy()
+        for width in np.unique(bits):
+            own = np.flatnonzero(bits == width)
+            for first in range(0, len(own), step):  # so many variants that their matrix stays small
+                at = own[first : first + step]
+                full = _unpacked(b, at, int(width), slot)
+                linear, tt = full @ side, (full * full @ squares).reshape(-1, q, q)
+                parts, k = [], 0
+                for s in weights:
+                    twt = tt / s[2] - groups.taken(full, base, s)
+                    parts += [twt.reshape(len(at), -1), linear[:, ends[k] : ends[k + 2]]]
+                    k += 2
+                made[at] = np.concatenate([*parts, tt.reshape(len(at), -1), linear[:, ends[k] :]], 1)
+        return pa.table({k: b.column(k) for k in KEYS} | {"m": lists(made)})
 
     sums = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(tile, "snp_id string, chr string, bp long, m array<double>")
     sums = combine(sums, KEYS)

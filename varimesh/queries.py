@@ -683,16 +683,22 @@ def _(spark, d):
     return resample.enhance(long.select(F.lit("mean").alias("map_id"), F.col("pos").cast("long").alias("pos"), "value"), grid_edges(spark, (4, 4, 4)))
 
 
-def dosages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers stand for variants and customers for subjects; dosages from arithmetic on their keys, one in 31 missing. A variant's are an array with a customer's at the place of its key."""
+def dosages(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    """Suppliers stand for variants and customers for subjects; dosages from arithmetic on their keys, one in 31 missing. A variant's are bytes with a customer's at the place of its key, -1 for a missing one."""
     from varimesh.operators import gwas
 
     c = t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("iid"), F.col("c_custkey").cast("long").alias("place"))
-    last = c.agg(F.max("place")).first()[0] or 0
-    value = "(bp * 7 + i * 13 + (bp * i div 8) % 5 + (i div 9) * (bp % 4)) % 3"
-    made = F.expr(f"transform(sequence(0L, {last}L), i -> case when (bp * 3 + i) % 31 <> 0 then cast({value} as tinyint) end)")
+    n = (c.agg(F.max("place")).first()[0] or 0) + 1
+    repeats = 27 * 31 * 40  # the arithmetic looks at the remainders of a customer's key by 27, 31 and 40 alone
+
+    def read(bp: np.ndarray) -> np.ndarray:
+        i, bp = np.arange(min(n, repeats)), bp[:, None]
+        value = (bp * 7 + i * 13 + bp * i // 8 % 5 + i // 9 * (bp % 4)) % 3
+        made = np.where((bp * 3 + i) % 31 != 0, value, -1).astype(np.int8)
+        return np.tile(made, (1, -(-n // len(i))))[:, :n]
+
     s = t(spark, d, "supplier").select(F.concat(F.lit("rs"), "s_suppkey").alias("snp_id"), (F.col("s_nationkey") % 22 + 1).cast("string").alias("chr"), F.col("s_suppkey").cast("long").alias("bp"))
-    return gwas.split(s, chunk=25).withColumn("dosages", made), c  # so few in a task that their arrays stay small
+    return gwas.split(s, chunk=25), {"places": c, "read": read}
 
 
 GENO = """c AS (SELECT c_custkey AS iid, c_custkey // 50 AS fid, length(c_mktsegment) / 10.0e0 AS x, CAST(c_acctbal AS DOUBLE) / 1000 AS y FROM customer),
@@ -710,8 +716,8 @@ def _(spark, d):
     from varimesh.operators import gwas
 
     df = small(spark, d)
-    genes, places = dosages(spark, d)
-    out = gwas.gwas(genes, df, mixed.fit(df, XS, ["y1"], ("E",)), places=places)
+    genes, how = dosages(spark, d)
+    out = gwas.gwas(genes, df, mixed.fit(df, XS, ["y1"], ("E",)), **how)
     return rounded(rounded(out.select("snp_id", "beta", "se", "t"), 6, "beta", "se"), 4, "t")
 
 
@@ -721,8 +727,8 @@ def _(spark, d):
     from varimesh.operators import gwas
 
     df = small(spark, d)
-    genes, places = dosages(spark, d)
-    return gwas.gather([gwas.gwas(genes, df, mixed.fit(df, XS, ["y1"], ("F", "E")), gwas.with_main(["x1"]), "t", places=places)])
+    genes, how = dosages(spark, d)
+    return gwas.gather([gwas.gwas(genes, df, mixed.fit(df, XS, ["y1"], ("F", "E")), gwas.with_main(["x1"]), "t", **how)])
 
 
 NATIONS = """c AS (SELECT n_nationkey AS iid, n_regionkey AS fid, any_value(length(n_name)) / 10.0e0 AS x, avg(CAST(c_acctbal AS DOUBLE)) / 1000 AS y FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
