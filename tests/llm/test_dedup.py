@@ -414,3 +414,53 @@ def test_slots_let_few_others_pass(spark):
     semi, anti = (common.in_slots(rows, "key", keys, how, "k") for how in ("left_semi", "left_anti"))
     assert semi.columns == ["key"] and 200_000 <= semi.count() < 202_000 and semi.where("key is null").count() == 0
     assert anti.count() == 400_000 - semi.count() and anti.join(keys, F.col("key") == F.col("k"), "left_semi").count() == 0
+
+
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """Of a crowd, every pair within the radius and of like size that is not connected yet, whatever the order of fingerprints; groups that hold most of a crowd are not compared with themselves."""
+    monkeypatch.setattr(linking, "CELL", 50)
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 1 << 62, 300, dtype=np.int64)
+    fps = np.concatenate((fps, fps[:100] ^ ((1 << 61) | (1 << 31) | (1 << 3))))
+    sizes = rng.integers(1, 40, len(fps))
+    label = {i: 5 for i in range(40, 300, 2)}
+    data = [(i, int(f), int(n)) for i, (f, n) in enumerate(zip(fps, sizes, strict=True))]
+    rows = spark.createDataFrame(data, "id long, fp long, size int")
+    crowds = rows.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"), "id").where("key = 1 or id < 350")
+    near = linking.near(20) & (F.least("size", "size2") >= F.floor(F.greatest("size", "size2") * 0.8 - 1e-6))
+    got = linking.unlinked(crowds, rows, spark.createDataFrame(list(label.items()), "id long, group long"), near, 0.8)
+    found = [(min(r["id"], r["id2"]), max(r["id"], r["id2"]), r["key"]) for r in got.collect()]
+    apart = lambda i, j: label.get(i, i) != label.get(j, j) and (data[i][1] ^ data[j][1]).bit_count() <= 20 and min(sizes[i], sizes[j]) >= int(max(sizes[i], sizes[j]) * 0.8 - 1e-6)
+    want = {(i, j, k) for i in range(400) for j in range(i + 1, 400) for k in (1, 2) if (k == 1 or j < 350) and apart(i, j)}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
+
+
+def test_alike_lines_of_a_crowd(spark):
+    """Hundreds of unlike lines with the same middle, each with a twin that shares no rarer words with it: all twins within the radius go."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    texts = []
+    for _ in range(150):
+        a, b = word(), word()
+        texts += [f"{a} every evening nobody {b}", f"z{a[1:]} every evening nobody {b[:-1]}z"]
+    prints = [line_print(x) for x in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= line_dedup.WIDE and distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-6]
+    g = groups_by(len(texts), linked)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(linked) >= 100 and got == {i: x if g.index(g[i]) == i else "" for i, x in enumerate(texts)}
+
+
+def test_near_texts_of_a_crowd(spark):
+    """Texts that share a passage, and with it all of their smallest shingles: twins end in one group, others apart, as in a comparison of all pairs."""
+    rng = np.random.default_rng(14)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    passage = " ".join(word() for _ in range(60))
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range(14)]
+        rows += [(2 * k, f"{passage} {' '.join(w)}"), (2 * k + 1, f"{passage} {' '.join([*w[:7], word(), *w[8:]])}")]
+    own = [sets(t) for _, t in rows]
+    g = groups_by(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])])
+    assert len(set(g)) == 60
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: g.index(g[i]) for i in range(len(rows))}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import components, in_slots, saved, whole_text
-from .linking import candidates, ordered
+from .linking import merged, near, ordered, unlinked, with_crowds
 
 RADIUS = 4
 #: Blocks beyond the radius that the embedding is cut into, tried in this order as cells get crowded.
@@ -217,12 +217,16 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radiu
     close = links(prints)
     close = close.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("id")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("id2")), "b")
     alike = prints.join(rep, "fp").select("id", F.col("rep").alias("id2"))
-    pairs = candidates(texts.select("id", "fp", "keys"), prints, radius)
+    pairs, crowds = with_crowds(texts.select("id", "fp", "keys"), prints, radius)
     pairs = saved(ordered(pairs.unionByName(close.select("id", "id2")).unionByName(alike)), few=True)
-    ids = pairs.select("id").union(pairs.select("id2")).distinct()
-    sets = saved(shingle_sets(docs, texts.join(ids, "id", "left_semi").select("key", "id"), shingle))
 
-    def settled(some: DataFrame) -> DataFrame:
+    def sets_of(some: DataFrame) -> DataFrame:
+        ids = some.select("id").union(some.select("id2")).distinct()
+        return saved(shingle_sets(docs, texts.join(ids, "id", "left_semi").select("key", "id"), shingle))
+
+    sets = sets_of(pairs)
+
+    def settled(some: DataFrame, sets: DataFrame = sets) -> DataFrame:
         both = some.join(sets, "id").join(sets.select(F.col("id").alias("id2"), F.col("set").alias("set2")), "id2")
         shared = F.size(F.array_intersect("set", "set2"))
         return saved(both.where(shared >= F.lit(similarity) * (F.size("set") + F.size("set2") - shared)).select("id", "id2"), few=True)
@@ -234,8 +238,13 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radiu
     at = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
     rest = pairs.join(one, ["id", "id2"], "left_anti").join(at("id"), "id", "left").join(at("id2"), "id2", "left")
     rest = rest.where(~F.col("id_group").eqNullSafe(F.col("id2_group")) | F.col("id_group").isNull()).select("id", "id2")
-    label = components(sure.unionByName(settled(saved(rest, few=True))), "id", "id2").withColumnRenamed("node", "id")
-    named = saved(texts.select("id", "first").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), few=True)
+    label = components(sure.unionByName(settled(saved(rest, few=True))), "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    if crowds.take(1):  # what crowded shingles keep apart so far
+        label = saved(label, few=True)
+        more = saved(ordered(unlinked(crowds, prints, label, near(radius))).join(pairs, ["id", "id2"], "left_anti"), few=True)
+        if more.take(1):
+            label = merged(label, settled(more, sets_of(more)))
+    named = saved(texts.select("id", "first").join(label, "id", "left").withColumn("component", F.coalesce("group", "id")), few=True)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return made.select("doc_id", "id").join(named.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
 
